@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import read_table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linkage import repeated_documents
+
+    return repeated_documents(read_table(spark, sf_dir, "documentos"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .components import connected_groups
 
@@ -46,7 +52,7 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p6_ids, p7_mix, p7_shares, p8_found, p8_forms)}
+    return {f.__name__: f for f in (p2_found, p4_found, p6_ids, p7_mix, p7_shares, p8_found, p8_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
