@@ -15,6 +15,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_documents(read_table(spark, sf_dir, "documentos"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .names import supplier_names, variant_pairs
+
+    return variant_pairs(supplier_names(read_table(spark, sf_dir, "transacoes"), read_table(spark, sf_dir, "golden_dataset")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .components import connected_groups
 
@@ -52,7 +58,7 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p4_found, p6_ids, p7_mix, p7_shares, p8_found, p8_forms)}
+    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p6_ids, p7_mix, p7_shares, p8_found, p8_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
