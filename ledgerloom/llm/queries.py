@@ -27,6 +27,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_groups(read_table(spark, sf_dir, "matches"), "parent_doc_id", "child_doc_id")
 
 
+def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .debts import match_debts
+
+    return match_debts(*(read_table(spark, sf_dir, t) for t in ("transacoes", "duplicatas", "documentos")))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_matches(spark, sf_dir).select("transacao_id", "duplicata_id")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import encode_corpus
 
@@ -58,7 +68,7 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p6_ids, p7_mix, p7_shares, p8_found, p8_forms)}
+    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p5_matches, p6_ids, p7_mix, p7_shares, p8_found, p8_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
