@@ -5,10 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import read_table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_personal
+
+    return find_personal(read_table(spark, sf_dir, "documentos")).select("doc_id", "kind", "start_pos")
+
+
+def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import replace_personal
+
+    return replace_personal(read_table(spark, sf_dir, "documentos").select("id", "raw_text")).select(F.col("id").alias("doc_id"), "safe_text")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linkage import repeated_documents
 
@@ -68,7 +81,7 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p3_found, p4_found, p5_found, p5_matches, p6_ids, p7_mix, p7_shares, p8_found, p8_forms)}
+    return {f.__name__: f for f in (p1_found, p1_texts, p2_found, p3_found, p4_found, p5_found, p5_matches, p6_ids, p7_mix, p7_shares, p8_found, p8_forms)}
 
 
 def oracle_sql() -> dict[str, str]:
