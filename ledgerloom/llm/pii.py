@@ -17,8 +17,8 @@ from .pii_model import DIGITS, TAGS, Tagger, codes
 WEIGHTS = str(Path(__file__).with_name("pii_weights.npz"))
 #: Characters of a window and of the overlap of two.
 WINDOW, OVERLAP = 128, 48
-#: Windows of a matrix batch.
-BATCH = 768
+#: Windows of a matrix batch, and line shapes whose spans a worker remembers.
+BATCH, KEPT = 512, 150_000
 #: A line ends at a line break; texts without any part their lines by two blanks.
 ROW = re.compile(r"[^\r\n]+")
 CELL = re.compile(r"\S(?:[^\r\n ]| (?! ))*")
@@ -33,9 +33,10 @@ class Finder:
 
     def __init__(self, path: str = WEIGHTS):
         self.model = Tagger.load(path)
+        self.seen: dict[str, list] = {}
 
-    def tags(self, shapes: list[str]) -> list[np.ndarray]:
-        """Tags of each shape: windows are scored, their scores reconciled, and each shape decoded as a whole.
+    def decode(self, shapes: list[str]) -> list:
+        """Spans of each shape: windows are scored, their scores reconciled, and each shape decoded as a whole.
 
         Windows of a long shape overlap; where two cover a character, the one in
         which it lies further from the edge scores it.  Viterbi then runs over the
@@ -58,22 +59,22 @@ class Finder:
             x = np.zeros((len(part), part[-1][2] - part[-1][1]), np.uint8)
             for r, (k, a, b) in enumerate(part):
                 x[r, : b - a] = coded[k][a:b]
-            em = self.model.emissions(x)
+            em = self.model.emissions(x).transpose(1, 0, 2)
             for r, (k, a, b) in enumerate(part):
                 lo = a + OVERLAP // 2 if a else a
                 hi = b - OVERLAP // 2 if b < len(coded[k]) else b
                 scores[k][lo:hi] = em[r, lo - a : hi - a]
-        out: list = [None] * len(coded)
+        out: list = [()] * len(coded)
         order = sorted(range(len(coded)), key=lambda k: len(coded[k]))
         for i in range(0, len(order), BATCH):
             part = order[i : i + BATCH]
             n = np.array([len(coded[k]) for k in part])
-            em = np.zeros((len(part), n.max(), len(TAGS)), np.float32)
+            em = np.zeros((n[-1], len(part), len(TAGS)), np.float32)
             for r, k in enumerate(part):
-                em[r, : n[r]] = scores[k]
+                em[: n[r], r] = scores[k]
             y = self.model.viterbi(em, n)
-            for r, k in enumerate(part):
-                out[k] = y[r, : n[r]]
+            for r in np.flatnonzero(y.any(0)):
+                out[part[r]] = raw_spans(y[: n[r], r])
         return out
 
     def spans(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
@@ -84,10 +85,14 @@ class Finder:
             if not text:
                 continue
             cell = ROW if "\n" in text or "\r" in text else CELL
-            for m in cell.finditer(text):
-                shape = DIGITS.sub("9", m[0])
-                lines.append((t, m.start(), m.end(), number.setdefault(shape, len(number))))
-        found = [raw_spans(y) for y in self.tags(list(number))] if number else []
+            for m in cell.finditer(DIGITS.sub("9", text)):
+                lines.append((t, m.start(), m.end(), number.setdefault(m[0], len(number))))
+        fresh = [s for s in number if s not in self.seen]
+        if len(self.seen) + len(fresh) > KEPT:
+            self.seen.clear()
+            fresh = list(number)
+        self.seen.update(zip(fresh, self.decode(fresh)))
+        found = [self.seen[s] for s in number]
         out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
         for t, s, e, k in lines:
             if found[k]:

@@ -82,53 +82,76 @@ class Tagger:
 
     # inference ------------------------------------------------------------
     def _scan(self, x: np.ndarray, live: np.ndarray, d: str) -> np.ndarray:
-        """Hidden states of one direction; x (T, B) codes, live (T, B) 1 within the text."""
+        """Hidden states of one direction; x (T, B) codes, live (T, B) 1 within the text.
+
+        sigmoid(z) = (1 + tanh(z / 2)) / 2, so the gates' weights are halved and one
+        tanh serves all; every array of a step is written in place.
+        """
         p, h = self.p, self.h
-        table = p["E"] @ p[f"W{d}"] + p[f"b{d}"]
-        U, (T, B) = p[f"U{d}"], x.shape
+        half = np.r_[np.full(3 * h, 0.5, np.float32), np.ones(h, np.float32)]
+        table = (p["E"] @ p[f"W{d}"] + p[f"b{d}"]) * half
+        U, (T, B) = p[f"U{d}"] * half, x.shape
         out = np.empty((T, B, h), np.float32)
-        H, C = np.zeros((B, h), np.float32), np.zeros((B, h), np.float32)
+        C, z, g, q = np.zeros((B, h), np.float32), np.empty((B, 4 * h), np.float32), np.empty((B, 4 * h), np.float32), np.empty((B, h), np.float32)
+        H = np.zeros((B, h), np.float32)
         for t in range(T) if d == "f" else range(T - 1, -1, -1):
-            z = H @ U
-            z += table[x[t]]
-            s = sigmoid(z[:, : 3 * h])
-            C = C * s[:, h : 2 * h] + s[:, :h] * np.tanh(z[:, 3 * h :])
-            H = s[:, 2 * h : 3 * h] * np.tanh(C)
-            if d == "b":  # the backward direction starts at each text's own end
+            np.matmul(H, U, out=z)
+            np.take(table, x[t], axis=0, out=g, mode="clip")
+            z += g
+            np.tanh(z, out=z)
+            s = z[:, : 3 * h]
+            s *= 0.5
+            s += 0.5
+            C *= s[:, h : 2 * h]
+            np.multiply(s[:, :h], z[:, 3 * h :], out=q)
+            C += q
+            np.tanh(C, out=q)
+            H = out[t]
+            np.multiply(s[:, 2 * h :], q, out=H)
+            if d == "b" and live[t, 0] == 0:  # shapes are sorted by length: the first ends first; the direction starts at each text's own end
                 C *= live[t][:, None]
                 H *= live[t][:, None]
-            out[t] = H
         return out
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        """Tag scores (B, T, tags) of codes x (B, T); 0 pads at the right."""
+        """Tag scores (T, B, tags) of codes x (B, T) sorted by length; 0 pads at the right."""
         xt = np.ascontiguousarray(x.T)
         live = (xt > 0).astype(np.float32)
         p, h = self.p, self.h
         y = self._scan(xt, live, "f") @ p["V"][:h]
         y += self._scan(xt, live, "b") @ p["V"][h:]
-        return (y + p["c"]).transpose(1, 0, 2)
+        y += p["c"]
+        return y
 
     def viterbi(self, em: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Best tags (B, T) of scores em (B, T, tags) over the first n[b] positions."""
-        B, T, K = em.shape
-        A = (self.p["A"] + legal()).T.copy()  # [to, from]
-        back = np.zeros((T, B, K), np.uint8)
-        start = self.p["s"] + np.where([t[0] == "I" for t in TAGS], FLAT, 0).astype(np.float32)
-        v = em[:, 0] + start
+        """Best tags (T, B) of scores em (T, B, tags) over the first n[b] positions; n ascends.
+
+        The forward pass keeps scores only, with the predecessor on the leading axis
+        so that the maximum runs over contiguous rows; the way back looks up one
+        predecessor a text and step.
+        """
+        T, B, K = em.shape
+        A = np.ascontiguousarray(self.p["A"] + legal())  # [from, to]
+        v = np.empty((T, B, K), np.float32)
+        v[0] = em[0] + self.p["s"] + np.where([t[0] == "I" for t in TAGS], FLAT, 0).astype(np.float32)
+        w = np.empty((K, B, K), np.float32)
+        first = np.searchsorted(n, np.arange(T), side="right")  # texts from here on are longer than t
         for t in range(1, T):
-            w = v[:, None, :] + A[None]
-            k = w.argmax(2)
-            best = np.take_along_axis(w, k[..., None], 2)[..., 0] + em[:, t]
-            on = (t < n)[:, None]
-            back[t] = np.where(on, k, np.arange(K))
-            v = np.where(on, best, v)
-        tag = (v + self.p["e"]).argmax(1)
-        out = np.zeros((B, T), np.uint8)
-        rows = np.arange(B)
+            k = first[t]
+            np.add(v[t - 1, k:].T[:, :, None], A[:, None, :], out=w[:, k:])
+            np.max(w[:, k:], axis=0, out=v[t, k:])
+            v[t, k:] += em[t, k:]
+        out = np.zeros((T, B), np.uint8)
+        tag = np.zeros(B, np.int64)
+        At = np.ascontiguousarray(A.T)
         for t in range(T - 1, -1, -1):
-            out[:, t] = np.where(t < n, tag, 0)
-            tag = back[t][rows, tag]
+            k = first[t]
+            last = np.searchsorted(n, t + 1, side="right")  # texts k to last - 1 end here
+            if last > k:
+                tag[k:last] = (v[t, k:last] + self.p["e"]).argmax(1)
+            if last < B:
+                tag[last:] = (v[t, last:] + At[tag[last:]]).argmax(1)
+            out[t, k:] = tag[k:]
         return out
 
     # training -------------------------------------------------------------
