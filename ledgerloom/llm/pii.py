@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import WORD_BUSINESS, word_kind
 from .pii_model import DIGITS, TAGS, Tagger, codes
 
 WEIGHTS = str(Path(__file__).with_name("pii_weights.npz"))
@@ -24,6 +26,10 @@ ROW = re.compile(r"[^\r\n]+")
 CELL = re.compile(r"\S(?:[^\r\n ]| (?! ))*")
 FIGURE = re.compile(r"[0-9OolIiSsBZ]")
 WORD = re.compile(r"[^\W\d_]+\.?", re.UNICODE)
+#: What may follow a company's name but not a person's.
+COMPANY = re.compile(r"[ .,-]{1,3}(?:&|LTDA|LTD|EIRELI|EPP|S/A|S\.A|CIA\b|FILIAL|FIL\.|UN\. |\(MATRIZ|CD\b)", re.IGNORECASE)
+#: Lines that name a supplier.
+SUPPLIER = re.compile(r"(?:\S{1,3}mitente|\S{0,3}enefici\S+|\S{0,2}avorecido|\S{0,2}restador):? ", re.IGNORECASE)
 PARTICLES = {"de", "da", "do", "dos", "das", "e"}
 EDGE = " \t.,;:|/-–<>()[]\"'"
 
@@ -137,12 +143,27 @@ def checked(line: str, kind: str, a: int, b: int) -> tuple[str | None, int, int]
         return (kind, a, b) if len(FIGURE.findall(v)) >= 6 else (None, a, b)
     if kind == "NAME":
         parts = [w for w in WORD.findall(v) if w.lower() not in PARTICLES]
-        return (kind, a, b) if len(parts) >= 2 else (None, a, b)
+        if len(parts) < 2 or COMPANY.match(line, b) or any(_trade(w) for w in parts):
+            return None, a, b
+        # a supplier of two words, neither of them a given name or an initial, is a company's name cut short
+        if len(parts) == 2 and SUPPLIER.match(line) and not any(len(w.rstrip(".ªº")) == 1 or word_kind(_bare(w))[0] == "given" for w in parts):
+            return None, a, b
+        return kind, a, b
     if kind == "EMAIL":
         return (kind, a, b) if len(v) >= 6 else (None, a, b)
     return (kind, a, b) if len(v) >= 5 else (None, a, b)
 
 
+def _bare(word: str, cut: str = ".") -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", word.upper()) if not unicodedata.combining(c)).rstrip(cut)
+
+
+def _trade(word: str) -> bool:
+    """True for a line of business, written out or abbreviated with a dot."""
+    w = _bare(word, "")
+    return len(w) > 4 and w in WORD_BUSINESS or len(w) > 2 and w[-1] == "." and w[:-1] in WORD_BUSINESS
+
+
 _FINDERS: dict[str, Finder] = {}
 
 

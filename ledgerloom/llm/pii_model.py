@@ -270,11 +270,11 @@ def encode(lines: list[tuple[str, list]], width: int) -> tuple[np.ndarray, np.nd
     return x, y
 
 
-def train(path, steps: int = 4000, batch: int = 96, width: int = 128, seed: int = 11, rate: float = 4e-3, minutes: float = 1e9, say=print) -> "Tagger":
-    """Fit on lines of the grammar with Adam and save to ``path``; the learning rate falls to 0 over ``steps``."""
+def train(path, steps: int = 4000, batch: int = 96, width: int = 128, seed: int = 11, rate: float = 4e-3, minutes: float = 1e9, start: str | None = None, say=print) -> "Tagger":
+    """Fit on lines of the grammar with Adam and save to ``path``; the learning rate falls to 0 over ``steps``; ``start`` names weights to go on from."""
     import time
 
-    m = Tagger.new()
+    m = Tagger.load(start) if start else Tagger.new()
     source, began = Lines(seed), time.time()
     mo = {k: np.zeros_like(v) for k, v in m.p.items()}
     ve = {k: np.zeros_like(v) for k, v in m.p.items()}
@@ -312,4 +312,4 @@ def train(path, steps: int = 4000, batch: int = 96, width: int = 128, seed: int
 if __name__ == "__main__":
     import sys
 
-    train(sys.argv[1], steps=int(sys.argv[2]), minutes=float(sys.argv[3]))
+    train(sys.argv[1], steps=int(sys.argv[2]), minutes=float(sys.argv[3]), **({"start": sys.argv[4], "seed": 12, "rate": 2e-3} if len(sys.argv) > 4 else {}))
