@@ -1 +1,111 @@
-"""Queries."""
+"""Dictionaries, layout of words, links and event windows."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..catalog import query
+from ..operators import dictionary, layout
+from ..sources import files
+from ..sources.mail import route
+from ..streaming.files import session_counts, windowed_counts
+from .reports import TR, distinct_trans, load
+
+KNOWN = "k AS (SELECT supplier AS name, supplier AS canonical, row_number() OVER (ORDER BY supplier) AS ord FROM (SELECT DISTINCT upper(trim(split_part(file, '_', 3))) AS supplier FROM golden_dataset) WHERE length(supplier) > 2)"
+
+
+def known(spark, d):
+    s = files.suppliers_of_filenames(load(spark, d, "golden_dataset"))
+    return s.select("name", F.col("name").alias("canonical"), F.row_number().over(Window.orderBy("name")).alias("ord"))
+
+
+@query("supplier_dictionary", f"""
+WITH {KNOWN}, n AS (SELECT DISTINCT upper(trim(supplier_clean)) AS name FROM {TR} WHERE trim(supplier_clean) <> ''),
+one AS (SELECT n.name, k.canonical, 1.0 AS score, 1 AS tier FROM n JOIN k ON k.name = n.name), r1 AS (SELECT name FROM n WHERE name NOT IN (SELECT name FROM one)),
+t2 AS (SELECT r.name, k.canonical, k.ord, length(r.name) / greatest(length(k.name), length(r.name)) AS score FROM r1 r JOIN k ON contains(k.name, r.name) OR contains(r.name, k.name)),
+two AS (SELECT name, arg_min(canonical, ord) AS canonical, arg_min(score, ord) AS score, 2 AS tier FROM t2 WHERE score >= 0.6 GROUP BY name), r2 AS (SELECT name FROM r1 WHERE name NOT IN (SELECT name FROM two)),
+w AS (SELECT name, list_distinct(regexp_split_to_array(name, '\\s+')) AS ws FROM r2), kw AS (SELECT *, list_distinct(regexp_split_to_array(name, '\\s+')) AS ks FROM k),
+t3 AS (SELECT w.name, kw.canonical, kw.ord, len(list_intersect(ws, ks)) / least(len(ws), len(ks)) AS score FROM w JOIN kw ON len(list_intersect(ws, ks)) > 0),
+three AS (SELECT name, arg_min(canonical, (-score, ord)) AS canonical, max(score) AS score, 3 AS tier FROM t3 WHERE score >= 0.6 GROUP BY name)
+SELECT name, canonical, round(score, 6)::DOUBLE AS score, tier FROM (FROM one UNION ALL FROM two UNION ALL FROM three)""")
+def supplier_dictionary(spark, d):
+    return dictionary.match_names(distinct_trans(spark, d), known(spark, d), "supplier_clean", fuzzy=False).withColumn("score", F.round("score", 6))
+
+
+@query("supplier_fuzzy")
+def supplier_fuzzy(spark, d):
+    """All four tiers; the last has no SQL form and is tested against a plain loop."""
+    return dictionary.match_names(distinct_trans(spark, d), known(spark, d), "supplier_clean").withColumn("score", F.round("score", 6))
+
+
+@query("banned_filter", f"WITH b(n) AS (VALUES ('BANCO'), ('DIVERSOS'), ('PNEUS')), n AS (SELECT DISTINCT upper(trim(supplier_clean)) AS name FROM {TR} WHERE trim(supplier_clean) <> '') SELECT name FROM n WHERE EXISTS (FROM b WHERE contains(name, b.n) OR contains(b.n, name))")
+def banned_filter(spark, d):
+    b = spark.createDataFrame([("BANCO",), ("DIVERSOS",), ("PNEUS",)], "name string")
+    return dictionary.unwanted(distinct_trans(spark, d), b, "supplier_clean")
+
+
+# Words of printed lines, with coordinates made from their places: the same expressions on both engines.
+WORDS = """
+l AS (SELECT id AS doc_id, unnest(string_split(replace(raw_text, chr(13), ''), chr(10))) AS line, generate_subscripts(string_split(replace(raw_text, chr(13), ''), chr(10)), 1) - 1 AS li FROM documentos WHERE contains(raw_text, chr(10))),
+w AS (SELECT doc_id, li, unnest(string_split(line, ' ')) AS text, generate_subscripts(string_split(line, ' '), 1) - 1 AS wi FROM l),
+words AS (SELECT doc_id, wi * 60.0 AS x0, li * 20.0 AS y0, wi * 60.0 + 50 AS x1, li * 20.0 + 10 AS y1, text, li // 3 AS block, li * 1000 + wi AS word FROM w WHERE text <> '')"""
+
+
+def words(spark, d):
+    t = load(spark, d, "documentos").filter(F.contains("raw_text", F.lit("\n"))).select(F.col("id").alias("doc_id"), F.posexplode(F.split(F.replace("raw_text", F.lit("\r"), F.lit("")), "\n")).alias("li", "line"))
+    w = t.select("doc_id", "li", F.posexplode(F.split("line", " ")).alias("wi", "text")).filter("text <> ''")
+    return w.select("doc_id", (F.col("wi") * 60.0).alias("x0"), (F.col("li") * 20.0).alias("y0"), (F.col("wi") * 60.0 + 50).alias("x1"), (F.col("li") * 20.0 + 10).alias("y1"), "text", F.floor(F.col("li") / 3).cast("int").alias("block"), (F.col("li") * 1000 + F.col("wi")).alias("word"))
+
+
+@query("region_text", f"WITH {WORDS} SELECT doc_id, trim(string_agg(text, ' ' ORDER BY floor(y0 / 3), x0, word)) AS text FROM words WHERE greatest(0, least(x1, 300) - greatest(x0, 0)) * greatest(0, least(y1, 45) - greatest(y0, 0)) > (x1 - x0) * (y1 - y0) * 0.4 GROUP BY doc_id")
+def region_text(spark, d):
+    return layout.region_text(words(spark, d), 0, 0, 300, 45)
+
+
+@query("value_right", f"""
+WITH {WORDS}, p AS (SELECT *, lead(text) OVER v AS t1, lead(x1) OVER v AS nx, lead(y1) OVER v AS ny FROM words WINDOW v AS (PARTITION BY doc_id ORDER BY word)),
+a AS (SELECT doc_id, arg_min(greatest(x1, nx), word) AS ax1, arg_min(y0, word) AS ay0, arg_min(greatest(y1, ny), word) AS ay1 FROM p WHERE contains(upper(text), 'VALOR') AND contains(upper(t1), 'DO') GROUP BY doc_id)
+SELECT w.doc_id, trim(string_agg(text, ' ' ORDER BY floor(y0 / 3), x0, word)) AS value FROM words w JOIN a USING (doc_id)
+WHERE greatest(0, least(x1, ax1 + 200) - greatest(x0, ax1)) * greatest(0, least(y1, ay1 + 2) - greatest(y0, ay0 - 2)) > (x1 - x0) * (y1 - y0) * 0.4 GROUP BY w.doc_id""")
+def value_right(spark, d):
+    return layout.value_near(words(spark, d), "valor do", "right")
+
+
+@query("layout_top_blocks", f"WITH {WORDS}, b AS (SELECT doc_id, block, min(y0) AS y, string_agg(text, ' ' ORDER BY word) AS text FROM words GROUP BY 1, 2) SELECT doc_id, place::INT AS place, text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY y, block) AS place FROM b) WHERE place <= 5")
+def layout_top_blocks(spark, d):
+    return layout.top_blocks(words(spark, d))
+
+
+@query("supplier_header", f"WITH {WORDS}, b AS (SELECT doc_id, block, string_agg(text, ' ' ORDER BY word) AS t FROM words WHERE y1 < 200 GROUP BY 1, 2) SELECT doc_id, arg_min(t, block) AS header FROM b WHERE length(t) > 5 AND NOT (contains(upper(t), 'DANFE') OR contains(upper(t), 'NOTA FISCAL') OR contains(upper(t), 'BOLETO') OR contains(upper(t), 'COMPROVANTE')) GROUP BY doc_id")
+def supplier_header(spark, d):
+    return layout.supplier_header(words(spark, d))
+
+
+@query("gapped_lines", f"WITH {WORDS} SELECT doc_id, string_agg(text, ' ' ORDER BY x0, word) AS text, dense_rank() OVER (PARTITION BY doc_id ORDER BY y0) AS line FROM words GROUP BY doc_id, y0")
+def gapped_lines(spark, d):
+    return layout.gapped_lines(words(spark, d))
+
+
+@query("anchored_lines", f"WITH {WORDS} SELECT doc_id, string_agg(text, ' ' ORDER BY x0, word) AS text, dense_rank() OVER (PARTITION BY doc_id ORDER BY y0)::INT AS line FROM words GROUP BY doc_id, y0")
+def anchored_lines(spark, d):
+    return layout.anchored_lines(words(spark, d))
+
+
+@query("mail_route", "SELECT id, CASE WHEN ends_with(lower(original_path), '.xml') THEN 'xml' WHEN ends_with(lower(original_path), '.pdf') THEN 'pdf' WHEN email_subject IS NOT NULL AND length(trim(email_subject)) > 0 THEN 'link' WHEN length(trim(coalesce(raw_text, ''), ' ')) > 0 THEN 'text' ELSE 'skip' END AS route FROM documentos")
+def mail_route(spark, d):
+    m = load(spark, d, "documentos").select("id", F.col("email_subject").alias("html_body"), F.col("raw_text").alias("text_body"), F.array(F.struct(F.col("original_path").alias("filename"))).alias("attachments"))
+    return route(m).select("id", "route")
+
+
+@query("event_windows", "SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, time_bucket(INTERVAL '10 minutes', ts) + INTERVAL '10 minutes' AS \"end\", event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    """The windowed count of the stream, run over the table."""
+    return windowed_counts(load(spark, d, "events"), "ts", "event_type")
+
+
+@query("event_sessions", """
+WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= INTERVAL '30 minutes' OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s)
+SELECT min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS "end", user_id, count(*) AS n FROM g GROUP BY user_id, k""")
+def event_sessions(spark, d):
+    return session_counts(load(spark, d, "events"), "ts", "user_id")
