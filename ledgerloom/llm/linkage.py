@@ -49,28 +49,34 @@ def read_rows(df: DataFrame) -> DataFrame:
     h = F.regexp_extract(F.lower(F.trim("file_hash")), r"^(?:md5:)?\s*([0-9a-f]{32})$", 1)
     d = df.select("id", "lote_id", F.when((h != "") & (h != EMPTY_MD5), h).alias("hash"), read("raw_text", "doc_type", "doc_number", "access_key").alias("r"))
     d = d.filter("id is not null").select("id", "lote_id", "hash", "r.*")
-    # a paper is known by its signature once three values (or a unique one) are readable; else the row stands for itself
-    known = sum(F.col(f).isNotNull().cast("int") for f in ("number", "due", "made", "amount"))
-    whole = F.col("kind").isNotNull() & ((known >= 3) | (F.col("auth").isNotNull() & (known >= 2)) | F.col("chave").isNotNull())
-    return d.withColumn("sig", F.when(whole, F.sha2(F.to_json(F.struct("kind", *FIELDS)), 256)).otherwise(F.concat(F.lit("row:"), F.col("id"))))
+    # rows that print the same values are one signature, so copies are folded before any pair is made;
+    # the issuer, in which reading errors vary freely, counts only where no number tells papers apart
+    named = F.coalesce("number", "auth", "chave").isNotNull()
+    values = F.sha2(F.to_json(F.struct("kind", *[f for f in FIELDS if f != "issuer"], F.when(~named, F.col("issuer")).alias("issuer"))), 256)
+    return d.withColumn("sig", F.when(F.size(key_texts()) > 0, values).otherwise(F.concat(F.lit("row:"), F.col("id"))))
 
 
-def blocking_keys(sigs: DataFrame) -> DataFrame:
-    """(key, sid): each key pins a kind and two or three values, or one unique value.
+def key_texts() -> F.Column:
+    """Blocking keys of a row: each pins a kind and two or three values, or one unique value.
 
     A paper misses another copy only if reading errors hit values in all its keys.
-    Rows under one key differ in the few values it leaves open, and equal
-    signatures are one row, so no block grows with the number of copies.
+    Signatures under one key differ only in lost figures of the values it leaves
+    open, so a block does not grow with the number of copies of a paper.
     """
     k = lambda name, *cols: F.when(F.greatest(*[F.col(c).isNull().cast("int") for c in ("kind", *cols)]) == 0, F.concat_ws("|", F.lit(name), "kind", *cols))
     keys = F.array_compact(F.array(
-        k("nd", "number", "due"), k("nma", "number", "made", "amount"), k("dma", "due", "made", "amount"), k("nda", "number", "part", "amount", "due"),
+        k("nd", "number", "due"), k("nma", "number", "made", "amount"), k("dma", "due", "made", "amount"),
         F.when(F.col("kind") != "BOLETO", k("nm", "number", "made")), F.when(F.col("kind") != "BOLETO", k("na", "number", "amount")),
         F.when(F.col("kind").isin("NFE", "NFSE"), k("mai", "made", "amount", "issuer")),
         k("auth", "auth"), F.when(F.col("kind") == "COMPROVANTE", k("ma", "made", "amount", "issuer")), k("key", "chave"),
         F.when(F.col("part").cast("int") > 1, k("np", "number", "part")),
     ))
-    return sigs.select("sid", F.explode(F.array_distinct(keys)).alias("key")).select(F.xxhash64("key").alias("key"), "sid")
+    return F.array_distinct(keys)
+
+
+def blocking_keys(sigs: DataFrame) -> DataFrame:
+    """(key, sid) of every signature; see :func:`key_texts`."""
+    return sigs.select("sid", F.explode(key_texts()).alias("key")).select(F.xxhash64("key").alias("key"), "sid")
 
 
 def _nearly(a: F.Column, b: F.Column) -> F.Column:

@@ -99,7 +99,7 @@ def mix(docs: DataFrame, target: DataFrame, total: int | None = None, blocks: in
     ``j`` times before any is taken ``j + 1`` times, and a record is taken if its
     middle lies within the quota - so a source misses its quota by half a record
     at most.  The quota of every source is cut into blocks of total / ``blocks``,
-    and Pfair scheduling orders the blocks; ``slot`` and ``start_token`` give the
+    but at least the largest record, and Pfair scheduling orders the blocks; ``slot`` and ``start_token`` give the
     order of the mix.
 
     Records: doc_id, source, repeat (from 1), n_tokens, slot, start_token.
@@ -117,6 +117,8 @@ def mix(docs: DataFrame, target: DataFrame, total: int | None = None, blocks: in
     sized = cut(d.filter("n_tokens > 0"))
     share, repeats, have, quota = _plan(sized, target, total)
     size = sum(quota.values())
+    largest = sized.agg(F.max("n_tokens")).first()[0] or 1
+    blocks = max(1, min(blocks, int(size // largest)))
     block = max(size / blocks, 1e-9)
     slots = pfair_slots(quota, blocks) if size > 0 else []
     plan = spark.createDataFrame([(s, float(quota[s]), repeats[s]) for s in share], "source string, quota double, max_repeats int")

@@ -19,7 +19,7 @@ from .pii_model import DIGITS, TAGS, Tagger, codes
 WEIGHTS = str(Path(__file__).with_name("pii_weights.npz"))
 #: Characters of a window and of the overlap of two.
 WINDOW, OVERLAP = 128, 48
-#: Windows of a matrix batch, and line shapes whose spans a worker remembers.
+#: Windows of a matrix batch, and line shapes whose spans a task remembers.
 BATCH, KEPT = 512, 150_000
 #: A line ends at a line break; texts without any part their lines by two blanks.
 ROW = re.compile(r"[^\r\n]+")
@@ -186,6 +186,7 @@ def find_personal(df: DataFrame, id_col: str = "id", text: str = "raw_text", wei
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = finder(weights)
+        f.seen = {}  # shapes are remembered within a task, not beyond it
         for b in batches:
             spans = f.spans([x if isinstance(x, str) else None for x in b.iloc[:, 1]])
             n = [len(s) for s in spans]
@@ -204,8 +205,9 @@ def replace_personal(df: DataFrame, text: str = "raw_text", out: str = "safe_tex
     @F.pandas_udf(T.StringType())
     def mask(s: pd.Series) -> pd.Series:
         texts = [x if isinstance(x, str) else None for x in s]
-        res = []
-        for t, spans in zip(texts, finder(weights).spans(texts)):
+        f, res = finder(weights), []
+        f.seen = {}
+        for t, spans in zip(texts, f.spans(texts)):
             for kind, a, b in reversed(spans):
                 t = f"{t[:a]}[{kind}]{t[b:]}"
             res.append(t)
