@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,8 +17,10 @@ from .paper import kind_of_number, read_number, read_paper
 FIELDS = ["number", "part", "due", "made", "amount", "auth", "chave", "issuer"]
 READ = "kind string, " + ", ".join(f"{f} string" for f in FIELDS)
 EMPTY_MD5 = "d41d8cd98f00b204e9800998ecf8427e"
-#: Weights of field comparisons (log2 of m/u) before any are learned; agree, nearly, differ.
-PRIOR = {"number": (12.0, 6.0, -8.0), "part": (3.0, 0.0, -8.0), "due": (9.0, 5.0, -8.0), "made": (9.0, 5.0, -6.0), "amount": (10.0, 5.0, -8.0), "auth": (20.0, 9.0, -9.0), "chave": (20.0, 8.0, -9.0), "issuer": (6.0, 4.0, -4.0)}
+#: Shares of agree, nearly, differ among copies of a paper that count as this many observed pairs.
+PRIOR, PRIOR_PAIRS = (0.96, 0.025, 0.015), 40
+#: Fields whose value belongs to one paper, with the weights of agree, nearly, differ in bits.
+UNIQUE = {"auth": (26.0, 9.0, -9.0), "chave": (34.0, 8.0, -9.0)}
 
 
 def read_rows(df: DataFrame) -> DataFrame:
@@ -98,42 +100,38 @@ def comparison(p: DataFrame) -> DataFrame:
     return p.select(F.col("a.sid").alias("x"), F.col("b.sid").alias("y"), *cols)
 
 
-def learn_weights(patterns: list[dict], rounds: int = 25) -> dict[str, tuple[float, float, float]]:
-    """Fellegi-Sunter weights by expectation maximisation over pattern counts.
+def chance_agreement(sigs: DataFrame) -> dict[str, float]:
+    """Probability that two papers taken at random agree in a field: the sum of squared shares of its values."""
+    fields = [f for f in FIELDS if f not in UNIQUE]
+    long = sigs.select(F.inline(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f).alias("v")) for f in fields]))).filter("v is not null")
+    n = long.groupBy("f", "v").agg(F.count("*").cast("double").alias("n"))
+    rows = n.groupBy("f").agg((F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("u")).collect()  # one row a field
+    return {r["f"]: r["u"] for r in rows}
 
-    ``patterns`` has one entry for each distinct pattern (at most 4 ** 8), with its
-    number of pairs ``n``.  Levels are smoothed with the prior's counts, so fields
-    that hardly occur keep their prior weights.
+
+def learn_weights(patterns: list[dict], chance: dict[str, float]) -> dict[str, tuple[float, float, float]]:
+    """Weights in bits, log2(m / u), of agree, nearly and differ for each field.
+
+    m comes from labelled pairs, copies of one paper known by its access key or
+    authentication; ``patterns`` are their comparison patterns (at most 4 ** 8) with
+    counts ``n``.  u is the chance agreement of random papers.  The due date, which
+    labelled kinds lack, takes the rates of the other date.
     """
-    w = dict(PRIOR)
-    share = 0.5
-    for _ in range(rounds):
-        m = {f: [1e-9] * 3 for f in FIELDS}
-        u = {f: [1e-9] * 3 for f in FIELDS}
-        matched = total = 0.0
-        for p in patterns:
-            s = math.log2(share / (1 - share)) + sum(w[f][2 - p[f"c_{f}"]] / (3 if PRIOR[f][2 - p[f"c_{f}"]] > 0 else 1) for f in FIELDS if p[f"c_{f}"] is not None)
-            g = 1 / (1 + 2.0 ** -max(-60, min(60, s)))
-            matched += g * p["n"]
-            total += p["n"]
-            for f in FIELDS:
-                if p[f"c_{f}"] is not None:
-                    m[f][2 - p[f"c_{f}"]] += g * p["n"]
-                    u[f][2 - p[f"c_{f}"]] += (1 - g) * p["n"]
-        if not total:
-            return w
-        share = min(0.99, max(0.01, matched / total))
-        new = {}
+    m = {f: [x * PRIOR_PAIRS for x in PRIOR] for f in FIELDS}
+    for p in patterns:
         for f in FIELDS:
-            sm, su, k = sum(m[f]), sum(u[f]), 20.0
-            level = []
-            for i in range(3):
-                r = math.log2(((m[f][i] + 0.5) / (sm + 1.5)) / ((u[f][i] + 0.5) / (su + 1.5)))
-                trust = min(sm, su) / (min(sm, su) + k)
-                level.append(trust * r + (1 - trust) * PRIOR[f][i])
-            new[f] = (max(level[0], level[1], 0.5), level[1], min(level[2], -1.0))
-        w = new
-    return w
+            if p[f"c_{f}"] is not None:
+                m[f][2 - p[f"c_{f}"]] += p["n"]
+    m["due"] = m["made"]
+    out = dict(UNIQUE)
+    for f in FIELDS:
+        if f not in UNIQUE:
+            u = min(0.9, max(chance.get(f, 0.01), 2.0**-16))
+            near = min(0.9, 20 * u)
+            total = sum(m[f])
+            rate = [x / total for x in m[f]]
+            out[f] = (math.log2(rate[0] / u), math.log2(max(rate[1], 1e-4) / near), math.log2(max(rate[2], 1e-4)))
+    return out
 
 
 @dataclass
@@ -146,7 +144,7 @@ class History:
     members: DataFrame | None = None
     forest: DataFrame | None = None
     weights: dict | None = None
-    parts: list = field(default_factory=list)
+    papers: int = 0
 
     def add(self, name: str, rows: DataFrame) -> None:
         """Append rows as a new part; parts accepted before are never rewritten."""
@@ -168,13 +166,14 @@ def _roots(h: History, ids: DataFrame, col: str) -> DataFrame:
         cur._cut_path = step._cut_path
 
 
-def accept(h: History, batch: DataFrame, threshold: float = 8.0) -> History:
+def accept(h: History, batch: DataFrame, margin: float = 0.0) -> History:
     """Compare a batch with history and with itself, and take it into history.
 
     Only the batch is read and keyed; the persisted key and hash tables are probed
     by equi-joins, candidate pairs are scored with learned weights, and the
     representatives of the clusters they touch are updated in the forest.  The
-    smallest id of a paper is its representative.
+    smallest id of a paper is its representative.  A pair is one paper if its weights
+    exceed the odds of a random pair by ``margin`` bits.
     """
     rows = cut(read_rows(batch))
     fresh = rows.groupBy("sig").agg(F.min("id").alias("sid0"), *[F.first(c).alias(c) for c in ("kind", *FIELDS)])
@@ -193,8 +192,11 @@ def accept(h: History, batch: DataFrame, threshold: float = 8.0) -> History:
     joined = pairs.join(every_sig.alias("a"), F.col("x") == F.col("a.sid")).join(every_sig.alias("b"), F.col("y") == F.col("b.sid"))
     compared = cut(comparison(joined))
     if h.weights is None:
-        counts = compared.groupBy(*[f"c_{f}" for f in FIELDS]).count().withColumnRenamed("count", "n").collect()  # at most 4 ** 8 rows
-        h.weights = learn_weights([r.asDict() for r in counts])
+        known = compared.filter("c_chave = 2 or c_auth = 2").groupBy(*[f"c_{f}" for f in FIELDS]).count().withColumnRenamed("count", "n").collect()  # at most 4 ** 8 rows
+        h.weights = learn_weights([r.asDict() for r in known], chance_agreement(new))
+    h.papers += new.count()
+    # a random pair is one paper with odds of about a sixth to the number of papers
+    threshold = math.log2(max(h.papers, 64) / 0.16) + margin
     score = F.lit(0.0)
     for f, (agree, nearly, differ) in h.weights.items():
         score = score + F.when(F.col(f"c_{f}") == 2, agree).when(F.col(f"c_{f}") == 1, nearly).when(F.col(f"c_{f}") == 0, differ).otherwise(0.0)
@@ -222,7 +224,7 @@ def accept(h: History, batch: DataFrame, threshold: float = 8.0) -> History:
     return h
 
 
-def repeated_documents(df: DataFrame, waves: int = 2, threshold: float = 8.0) -> DataFrame:
+def repeated_documents(df: DataFrame, waves: int = 2, margin: float = 0.0) -> DataFrame:
     """Each repeated document with the accepted one it repeats: id_a, the paper's smallest id, and id_b.
 
     Batches (``lote_id``) are accepted in order, in ``waves`` groups of neighbouring
@@ -243,7 +245,7 @@ def repeated_documents(df: DataFrame, waves: int = 2, threshold: float = 8.0) ->
         cond = F.col("lote_id").isin([x for x in part if x is not None])
         if None in part:
             cond = F.coalesce(cond, F.lit(True)) if len(part) > 1 else F.col("lote_id").isNull()
-        h = accept(h, df.filter(cond), threshold)
+        h = accept(h, df.filter(cond), margin)
     if h.members is None:
         return df.select(F.col("id").cast("long").alias("id_a"), F.col("id").cast("long").alias("id_b")).limit(0)
     flat = _jump(cut(h.forest.distinct())).select(F.col("v").alias("sid"), F.col("p"))

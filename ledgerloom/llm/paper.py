@@ -17,7 +17,16 @@ LABELS = {
     "auth": ["autenticacao "],
     "part": ["parcela "],
     "chave": ["chave "],
+    "day": ["data "],
+    "estimate": ["estimativa "],
+    "ORCAMENTO": ["orcamento "],
+    "ROMANEIO": ["romaneio "],
+    "ORDEM": ["ordem de servico "],
+    "RELATORIO": ["relatorio de entrega "],
+    "DECLARACAO": ["declaracao "],
 }
+#: Titles of papers that are known by nothing else.
+TITLES = ("ORCAMENTO", "ROMANEIO", "ORDEM", "RELATORIO", "DECLARACAO")
 #: Kind of paper that a label or an opening word speaks for.
 KINDS = {"due": "BOLETO", "paid": "COMPROVANTE", "total": "COMPROVANTE", "auth": "COMPROVANTE", "chave": "NFE", "part": "BOLETO"}
 ISSUER = {"emitente": "NFE", "beneficiario": "BOLETO", "favorecido": "COMPROVANTE", "prestador": "NFSE"}
@@ -30,7 +39,7 @@ DATE = re.compile(r"([0-9OolIíSsBZ]{1,2}) ?/ ?([0-9OolIíSsBZ]{1,2}) ?/ ?([0-9O
 MONEY = re.compile(r"[0-9OolIíSsBZ][0-9OolIíSsBZ., ]*[.,] ?[0-9OolIíSsBZ]{1,2}(?![0-9])")
 RUN = re.compile(r"[0-9OolIíSsBZ]+")
 PARTS = re.compile(r"([0-9OolIíSsBZ]{1,2}) ?/ ?([0-9OolIíSsBZ]{1,2})(?![0-9/])")
-INLINE = re.compile(r" (?=(?:vencimento|data do processamento|no documento|\(=\) valor do|valor total da nota|emissao|pago em|autenticacao|beneficiario|emitente|favorecido|prestador|parcela|chave|valor liquido|data de emissao) ?)")
+INLINE = re.compile(r" (?=(?:vencim|data d|n\S{0,2} {1,2}\S{0,2}ocu\S+ \d|\(=\)|valor total|valor liq|emiss|pa\S?o em|total pago|aut\S?nti\S+ \d|benef|emitente|favorec|prestador|chave \d))")
 
 
 def plain(s: str) -> str:
@@ -103,6 +112,7 @@ def read_paper(text: str | None) -> dict[str, str | None]:
     if not text or not text.strip():
         return out
     votes = dict.fromkeys(("NFE", "NFSE", "BOLETO", "COMPROVANTE"), 0)
+    other: dict[str, str | None] = {}
     flat = plain(text)
     lines = []
     for row in BREAK.split(flat):
@@ -112,8 +122,7 @@ def read_paper(text: str | None) -> dict[str, str | None]:
     lines = [x for x in lines if x]
     if not lines:
         return out
-    if max(map(len, lines)) > 240:
-        lines = [y for x in lines for y in (INLINE.split(x) if len(x) > 240 else [x])]
+    lines = [y for x in lines for y in (INLINE.split(x) if len(x) > 60 else [x])]
     for line in lines:
         m = FIRST.search(line)
         head = line[: m.start()] if m else line
@@ -126,6 +135,15 @@ def read_paper(text: str | None) -> dict[str, str | None]:
                 d = DATE.match(tail)
                 if d and not out[kind]:
                     out[kind] = digits(d[0])
+            elif kind == "day":
+                d = DATE.match(tail)
+                other.setdefault("made", digits(d[0]) if d else None)
+            elif kind == "estimate":
+                a = MONEY.match(tail)
+                other.setdefault("amount", digits(a[0]) if a else None)
+            elif kind in TITLES and "kind" not in other:
+                n = RUN.match(tail)
+                other |= {"kind": kind, "number": digits(n[0]).lstrip("0") if n else None}
             elif kind == "paid":
                 d = DATE.match(tail)
                 if d and not out["made"]:
@@ -169,6 +187,8 @@ def read_paper(text: str | None) -> dict[str, str | None]:
     best = max(votes.values())
     if best:
         out["kind"] = next(k for k, v in votes.items() if v == best)
+    elif "kind" in other:
+        out |= other
     return out
 
 
