@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
+
 # Letters that look the same, one row per shape: Latin, Cyrillic, Greek ("." where a script has none).
 SHAPES = """
 AАΑ BВΒ CСϹ EЕΕ GԌ. HНΗ IІΙ JЈͿ KКΚ MМΜ N.Ν OОΟ PРΡ QԚ. SЅ. TТΤ VѴ. WԜ. XХΧ YҮΥ ZꓜΖ
@@ -104,9 +106,10 @@ def same_looking_pairs(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     ignored, whatever their names.
     """
     d = df.select(F.col(id_col).alias("_id"), F.col(text).alias("_t")).filter("_id is not null and _t is not null")
-    d = d.withColumn("_f", visual_form_udf("_t")).filter(F.length(F.regexp_replace("_f", r"(?U)\s", "")) > 0)
+    d = d.withColumn("_f", visual_form_udf("_t"))
     key = lambda c: F.sha2(c, 256)
-    members = d.select("_id", key("_f").alias("_f"), key("_t").alias("_t"))
+    # written once: every later step reads hashes instead of folding the texts again
+    members = cut(d.select("_id", F.when(F.length(F.regexp_replace("_f", r"(?U)\s", "")) > 0, key("_f")).alias("_f"), key("_t").alias("_t"))).filter("_f is not null")
     classes = members.select("_f", "_t").distinct()
     each = classes.join(classes.groupBy("_f").count().filter("count > 1"), "_f", "left_semi")
     kept = members.join(each, ["_f", "_t"], "left_semi")
