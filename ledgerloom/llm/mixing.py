@@ -113,8 +113,8 @@ def mix(docs: DataFrame, target: DataFrame, total: int | None = None, blocks: in
     Extra columns are ignored.
     """
     spark = docs.sparkSession
-    d = token_counts(docs.select("doc_id", "source", "text"), **tokenizer).select("doc_id", "source", "n_tokens")
-    sized = cut(d.filter("n_tokens > 0"))
+    # a text that is not empty has a token; filtering on the count would count twice
+    sized = cut(token_counts(docs.select("doc_id", "source", "text").filter("length(text) > 0"), **tokenizer).select("doc_id", "source", "n_tokens"))
     share, repeats, have, quota = _plan(sized, target, total)
     size = sum(quota.values())
     largest = sized.agg(F.max("n_tokens")).first()[0] or 1
