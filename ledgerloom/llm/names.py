@@ -56,10 +56,10 @@ BRANCH = re.compile(r"\bFILIAL\s*\d*|\bFIL\b\.?\s*(?:NORTE|SUL|LESTE|OESTE|\d+)?
 FILLER = {"", "DIVERSOS", "NAO IDENTIFICADO", "N IDENTIFICADO", "DESCONHECIDO", "FORNECEDOR", "FORNECEDORES", "NAO INFORMADO", "UNKNOWN", "NA", "N A", "TESTE", "OUTROS", "NULL", "NONE", "SEM NOME", "A IDENTIFICAR", "CONSUMIDOR", "VARIOS", "NAO CONSTA", "SEM FORNECEDOR", "BENEFICIARIO", "IDENTIFICAR", "PENDENTE", "VERIFICAR", "SUPPLIER", "XXX", "FAVORECIDO", "EMITENTE"}
 # Given names and the short forms in use for them.
 SHORT = {
-    "ALEXANDRE": "XANDE ALEX XANDAO LEXANDRE", "ANTONIO": "TONINHO TONHO TONI TOINHO", "APARECIDA": "CIDA CIDINHA APARECIDINHA", "BEATRIZ": "BIA BEA", "CATARINA": "CATA CATINHA KATIA CACA", "CLAUDIO": "CLAUDINHO CACO",
-    "DANIEL": "DANI DANIELZINHO DAN", "EDUARDO": "DUDU EDU DUDA", "FERNANDO": "NANDO FERNANDINHO", "FRANCISCO": "CHICO CHIQUINHO KIKO", "GABRIELA": "GABI BIELA GABRIELINHA", "GERALDO": "GEGE GERALDINHO", "HELENA": "LENA LENINHA HELENINHA",
-    "ISABEL": "BEL ISA BELINHA", "JOAQUIM": "QUIM QUINCAS JOCA", "JOSE": "ZE ZECA ZEZINHO JUCA", "LEONARDO": "LEO LEOZINHO", "LUIZ": "LUIZINHO LULU LUISINHO LUIS", "MARGARIDA": "GUIDA MAGUI MARGA", "MARIA": "MARIAZINHA MARIINHA MARI", "NORBERTO": "BERTO NONO NORBERTINHO",
-    "OTAVIO": "TAVINHO TAVIO", "PATRICIA": "PATI TICIA PATY PATRI", "RAIMUNDO": "MUNDO MUNDINHO RAI", "ROBERTO": "BETO BETINHO ROBERTINHO", "SEBASTIAO": "TIAO BASTIAO SEBA TIAOZINHO", "TEREZINHA": "TEREZA TETE TEREZ TECA", "ULISSES": "ULI", "VICENTE": "VICENTINHO VICE", "WANDA": "WANDINHA VANDA",
+    "ALEXANDRE": "XANDE ALE ALEX XANDAO LEXANDRE", "ANTONIO": "TONINHO TONHO TONI TOINHO", "APARECIDA": "CIDA CIDINHA APARECIDINHA", "BEATRIZ": "BIA BEA", "CATARINA": "CATA CATI CATITA CATINHA KATIA CACA", "CLAUDIO": "CLAUDINHO CAU CACO",
+    "DANIEL": "DANI DANIELZINHO DAN", "EDUARDO": "DUDU EDU DUDA", "FERNANDO": "NANDO FE FERNANDINHO", "FRANCISCO": "CHICO CHIQUINHO KIKO", "GABRIELA": "GABI BIBI BIELA GABRIELINHA", "GERALDO": "GEGE GERALDINHO", "HELENA": "LENA LENINHA HELENINHA",
+    "ISABEL": "BEL ISA BELINHA", "JOAQUIM": "QUIM QUINZINHO QUINCAS JOCA", "JOSE": "ZE ZECA ZEZINHO JUCA", "LEONARDO": "LEO NARDO LEOZINHO", "LUIZ": "LUIZINHO LULU LUISINHO LUIS", "MARGARIDA": "GUIDA MAGUI MARGA", "MARIA": "MARIAZINHA MARIINHA MARI", "NORBERTO": "BERTO NONO NORBE NOBINHO NORBERTINHO",
+    "OTAVIO": "TAVINHO OTAVINHO TAVIO", "PATRICIA": "PATI TICIA PATY PATRI", "RAIMUNDO": "MUNDO MUNDINHO RAI", "ROBERTO": "BETO BETINHO ROBERTINHO", "SEBASTIAO": "TIAO BASTIAO SEBA TIAOZINHO", "TEREZINHA": "TEREZA TETE TEREZ TECA", "ULISSES": "ULI", "VICENTE": "VICENTINHO VIVI CENTE VICE", "WANDA": "WANDINHA VANDA",
 }
 FIRST = {w: g for g, ws in SHORT.items() for w in [g, *ws.split()]}
 
@@ -116,7 +116,7 @@ def parse_name(raw: str | None) -> tuple[list[str], list[str], list[str]] | None
     """(core words, given names, lines of business) of a spelling; None for no supplier."""
     if not raw:
         return None
-    s = "".join(c for c in unicodedata.normalize("NFKD", raw.upper()) if not unicodedata.combining(c))
+    s = "".join(c for c in unicodedata.normalize("NFKD", raw.upper().replace("Mª", "MARIA")) if not unicodedata.combining(c))
     if re.sub(r"[^A-Z0-9]+", " ", s).strip() in FILLER:
         return None
     s = re.sub(r"\bS\s*[/.]\s*A\b\.?|\bS\.A\b\.?", " SA ", BRANCH.sub(" ", s))

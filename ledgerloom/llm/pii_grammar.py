@@ -19,7 +19,7 @@ Otavio Patrícia Patricia Raimundo Roberto Sebastião Sebastiao Terezinha Ulisse
 Paulo Carlos Marcos Lucas Mateus Rafael Bruno Marcelo Rodrigo Gustavo Sandra Juliana Camila Vera Rosa Lúcia
 Sônia Célia Marta Silvia Regina Fátima Adriana Luciana Renata Débora Simone Mário Sérgio Jorge Manoel""".split()
 NICK = """Xande Toninho Tonho Cida Bia Cacá Claudinho Dani Dudu Edu Nando Chico Gabi Gegê Lena Bel Quim Zé Zeca
-Kiko Tícia Ticia Vivi Ale Tete Tica Juca Toco Rô Mila Mª Norbe Bastião Mundinho Leninha Cidinha Léo Lu Guida Mariazinha Beto Betinho Nonô Tavinho Pati Raí Tião Tetê Tereza Uli Vicentinho Wandinha""".split()
+Kiko Bibi Fe Catita Cati Cau Nardo Cente Quinzinho Nobinho Otavinho Tícia Ticia Vivi Ale Tete Tica Juca Toco Rô Mila Mª Norbe Bastião Mundinho Leninha Cidinha Léo Lu Guida Mariazinha Beto Betinho Nonô Tavinho Pati Raí Tião Tetê Tereza Uli Vicentinho Wandinha""".split()
 CATEGORY = """Sementes|Fertilizantes|Pneus|Tratores|Transportes|Comércio de Peças|Lubrificantes|Veterinária|
 Implementos Agrícolas|Materiais de Construção|Energia|Telecomunicações|Contabilidade|Seguros|Refrigeração|
 Irrigação|Embalagens|Distribuidora|Laticínios|Ferragens|Auto Posto|Posto|Nutrição Animal|Agropecuária|
