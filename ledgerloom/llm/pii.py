@@ -9,6 +9,7 @@ from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -184,16 +185,17 @@ def find_personal(df: DataFrame, id_col: str = "id", text: str = "raw_text", wei
 
     schema = T.StructType([T.StructField("doc_id", df.schema[id_col].dataType), T.StructField("kind", T.StringType()), T.StructField("start_pos", T.LongType()), T.StructField("end_pos", T.LongType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = finder(weights)
         f.seen = {}  # shapes are remembered within a task, not beyond it
         for b in batches:
-            spans = f.spans([x if isinstance(x, str) else None for x in b.iloc[:, 1]])
+            spans = f.spans(b.column(1).to_pylist())
             n = [len(s) for s in spans]
             flat = [s for x in spans for s in x]
-            yield pd.DataFrame({"doc_id": b.iloc[:, 0].repeat(n).to_numpy(), "kind": [k for k, _, _ in flat], "start_pos": np.array([s for _, s, _ in flat], "int64"), "end_pos": np.array([e for _, _, e in flat], "int64")})
+            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([k for k, _, _ in flat], pa.string()), pa.array([s for _, s, _ in flat], pa.int64()), pa.array([e for _, _, e in flat], pa.int64())], names=schema.names)
 
-    return df.select(F.col(id_col), F.col(text)).mapInPandas(run, schema)
+    return df.select(F.col(id_col), F.col(text)).mapInArrow(run, schema)
 
 
 def replace_personal(df: DataFrame, text: str = "raw_text", out: str = "safe_text", weights: str = WEIGHTS) -> DataFrame:
