@@ -177,3 +177,11 @@ def link_confidence(url: Column, label: Column) -> Column:
 def json_answer(text: Column, schema: str) -> Column:
     """Struct read from the outermost braces of a text, fences around it ignored; null where unreadable."""
     return F.from_json(F.regexp_extract(text, r"(?s)(\{.*\})", 1), schema, {"mode": "PERMISSIVE"})
+
+
+def labelled_dates(text: Column) -> tuple[Column, Column, Column]:
+    """(due, emission, payment) as printed after their labels; null where there is none."""
+    up = F.upper(text)
+    get = lambda p: F.nullif(F.regexp_extract(up, p, 1), F.lit(""))
+    day = r"([0-9]{2}/[0-9]{2}/[0-9]{4})"
+    return get(rf"VENCIMENTO[:\s]*{day}"), get(rf"EMISS[ÃA]O[:\s]*{day}"), get(rf"(?:PAGO EM|PAGAMENTO EM)\s+{day}")

@@ -87,3 +87,27 @@ def auction_assignment(pairs: DataFrame, a: str, b: str, gain: str) -> DataFrame
         nxt = cut(own.join(won, "_b", "left").select("_b", F.coalesce("bidder", "owner").alias("owner"), F.coalesce("bid", "price").alias("price")))
         drop_cut(own, won)
         own = nxt
+
+
+def greedy_flow(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, flow): amounts sent from a to b within cap_a and cap_b, cheapest pairs first, larger possible amounts before smaller.
+
+    In each round pairs that come first for both sides send what both have left;
+    a side that is used up leaves.  Every round uses up a side, and the result
+    equals a loop that always sends the pair first by (cost, larger amount left, ids).
+    """
+    left, done = cut(pairs.filter("cap_a > 0 and cap_b > 0")), None
+    while True:
+        order = [F.col("cost"), F.desc("most"), F.col(a), F.col(b)]
+        p = left.withColumn("most", F.least("cap_a", "cap_b"))
+        best = cut(p.withColumn("_i", F.row_number().over(Window.partitionBy(a).orderBy(*order))).withColumn("_j", F.row_number().over(Window.partitionBy(b).orderBy(*order))).filter("_i = 1 and _j = 1").select(a, b, F.col("most").alias("flow")))
+        if not best.limit(1).count():
+            drop_cut(left)
+            return best if done is None else done
+        done = best if done is None else done.unionByName(best)
+        ua, ub = best.select(F.col(a), F.col("flow").alias("fa")), best.select(F.col(b), F.col("flow").alias("fb"))
+        sent = best.select(a, b)
+        nxt = left.join(ua, a, "left").join(ub, b, "left").join(sent, [a, b], "left_anti")
+        nxt = cut(nxt.select(a, b, (F.col("cap_a") - F.coalesce("fa", F.lit(0))).alias("cap_a"), (F.col("cap_b") - F.coalesce("fb", F.lit(0))).alias("cap_b"), "cost").filter("cap_a > 0 and cap_b > 0"))
+        drop_cut(left)
+        left = nxt

@@ -1,3 +1,3 @@
 """Queries of the engine; importing this package registers them in the catalog."""
 
-from . import matching, reports, scalars, scans  # noqa: F401
+from . import fields, matching, reports, scalars, scans  # noqa: F401

@@ -66,10 +66,12 @@ def interval_candidates(spark, d):
     return ranges.interval_join(n, b, "n_made", F.date_sub("b_due", 45), F.date_add("b_due", 15), 30, [("n_s", "b_s")]).select(F.col("b_id").alias("slip"), F.col("n_id").alias("bill"))
 
 
-@query("entity_tolerant", f"{BN} SELECT b.id AS slip, n.id AS bill FROM b JOIN n ON b.s = n.s WHERE b.tag IS NULL OR n.tag IS NULL OR b.tag = n.tag")
+@query("entity_tolerant", f"{BN} SELECT b.id AS slip, n.id AS bill FROM b JOIN n ON b.s = n.s AND b.made = n.made WHERE b.tag IS NULL OR n.tag IS NULL OR b.tag = n.tag")
 def entity_tolerant(spark, d):
+    """Slips and bills of one supplier and emission date unless both name different entities."""
     b, n = sides(spark, d)
-    return ranges.null_tolerant_join(b, n, "b_tag", "n_tag", ("b_s", "n_s")).select(F.col("b_id").alias("slip"), F.col("n_id").alias("bill"))
+    b, n = b.withColumn("kb", F.concat("b_s", F.lit("|"), F.col("b_made").cast("string"))), n.withColumn("kn", F.concat("n_s", F.lit("|"), F.col("n_made").cast("string")))
+    return ranges.null_tolerant_join(b, n, "b_tag", "n_tag", ("kb", "kn")).select(F.col("b_id").alias("slip"), F.col("n_id").alias("bill"))
 
 
 @query("installment_match", f"WITH {VIEW}, b AS (SELECT * FROM x WHERE {SLIP}) SELECT u.id AS installment, b.id AS slip FROM (SELECT DISTINCT * FROM duplicatas) u JOIN {TR} t ON t.doc_id = u.nfe_id JOIN b ON b.s = upper(trim(t.supplier_clean)) AND abs(u.amount_cents - b.v) <= 5 GROUP BY ALL")

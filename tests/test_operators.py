@@ -113,3 +113,28 @@ def test_layout(spark):
     assert rows(layout.value_near(w, "valor do", "below", 40)) == [(1, "abaixo")]
     assert len(rows(layout.anchored_lines(w))) == len(rows(layout.gapped_lines(w))) == 2
     assert layout.value_near(w.limit(0), "x", "right").count() == 0
+
+
+def test_greedy_flow(spark):
+    r = random.Random(8)
+    ca, cb = {a: r.randrange(5, 30) for a in range(6)}, {b: r.randrange(5, 30) for b in range(6)}
+    p = [(a, b, ca[a], cb[b], r.randrange(5)) for a in ca for b in cb if r.random() < 0.6]
+    got = graph.greedy_flow(spark.createDataFrame(p, "a long, b long, cap_a long, cap_b long, cost long"), "a", "b").collect()
+    la, lb, open_, want = dict(ca), dict(cb), {(a, b): c for a, b, _, _, c in p}, {}
+    while True:
+        best = min(((c, -min(la[a], lb[b]), a, b) for (a, b), c in open_.items() if la[a] and lb[b]), default=None)
+        if best is None:
+            break
+        _, f, a, b = best
+        want[a, b] = -f
+        la[a] += f
+        lb[b] += f
+        del open_[a, b]
+    assert {(x["a"], x["b"]): x["flow"] for x in got} == want
+
+
+def test_scores(spark):
+    from ledgerloom.functions import scores
+
+    df = spark.createDataFrame([(100, 100), (1000, 1015), (0, 5), (1000, 2000)], "a long, b long")
+    assert [x[0] for x in df.select(scores.value_score(F.col("a"), F.col("b"))).collect()] == [1.0, 0.85, 0.0, 0.0]
