@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .names import WORD_BUSINESS, word_kind
+from .pii_grammar import GIVEN, NICK
 from .pii_model import DIGITS, TAGS, Tagger, codes
 
 WEIGHTS = str(Path(__file__).with_name("pii_weights.npz"))
@@ -147,7 +148,7 @@ def checked(line: str, kind: str, a: int, b: int) -> tuple[str | None, int, int]
         if len(parts) < 2 or COMPANY.match(line, b) or any(_trade(w) for w in parts):
             return None, a, b
         # a supplier of two words, neither of them a given name or an initial, is a company's name cut short
-        if len(parts) == 2 and SUPPLIER.match(line) and not any(len(w.rstrip(".ªº")) == 1 or word_kind(_bare(w))[0] == "given" for w in parts):
+        if len(parts) == 2 and SUPPLIER.match(line) and not any(len(w.rstrip(".ªº")) == 1 or _bare(w) in KNOWN or word_kind(_bare(w))[0] == "given" for w in parts):
             return None, a, b
         return kind, a, b
     if kind == "EMAIL":
@@ -165,6 +166,7 @@ def _trade(word: str) -> bool:
     return len(w) > 4 and w in WORD_BUSINESS or len(w) > 2 and w[-1] == "." and w[:-1] in WORD_BUSINESS
 
 
+KNOWN = {_bare(w) for w in GIVEN + NICK}
 _FINDERS: dict[str, Finder] = {}
 
 
