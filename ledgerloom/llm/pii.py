@@ -87,27 +87,42 @@ class Finder:
 
     def spans(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
         """(kind, start, end) of every personal value of each text; equal line shapes are decoded once."""
-        number: dict[str, int] = {}
-        lines: list[tuple[int, int, int, int]] = []
+        lines: list[tuple[int, int, int, str]] = []
         for t, text in enumerate(texts):
             if not text:
                 continue
             cell = ROW if "\n" in text or "\r" in text else CELL
             for m in cell.finditer(DIGITS.sub("9", text)):
-                lines.append((t, m.start(), m.end(), number.setdefault(m[0], len(number))))
-        fresh = [s for s in number if s not in self.seen]
-        if len(self.seen) + len(fresh) > KEPT:
-            self.seen.clear()
-            fresh = list(number)
-        self.seen.update(zip(fresh, self.decode(fresh)))
-        found = [self.seen[s] for s in number]
+                lines.append((t, m.start(), m.end(), m[0]))
+        cells = {k for _, _, _, k in lines}
+        self.learn(cells)
+        # two blanks may also be a reading error within a value: where spans of one kind meet
+        # at a cell's edge, the two cells are decoded as one and kept so if a span crosses
+        joined = {}
+        for i, ((t, s, e, k), (u, p, q, n)) in enumerate(zip(lines, lines[1:])):
+            x, y = self.seen[k], self.seen[n]
+            if t == u and x and y and x[-1][2] == e - s and y[0][1] == 0 and x[-1][0] == y[0][0] and "\n" not in texts[t][e:p] and "\r" not in texts[t][e:p]:
+                joined[i] = f"{k}{texts[t][e:p]}{n}"
+        self.learn(cells.union(joined.values()))
         out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-        for t, s, e, k in lines:
-            if found[k]:
+        i = 0
+        while i < len(lines):
+            t, s, e, k = lines[i]
+            if i in joined and any(a < e - s < b for _, a, b in self.seen[joined[i]]):
+                k, e, i = joined[i], lines[i + 1][2], i + 1
+            i += 1
+            if self.seen[k]:
                 line = texts[t][s:e]
-                out[t] += [(kind, s + a, s + b) for kind, a, b in map(lambda p: checked(line, *p), found[k]) if kind]
+                out[t] += [(kind, s + a, s + b) for kind, a, b in map(lambda p: checked(line, *p), self.seen[k]) if kind]
         return out
 
+    def learn(self, shapes: set[str]) -> None:
+        """Decode the shapes not seen in this task yet."""
+        fresh = sorted(shapes - self.seen.keys())
+        if len(self.seen) > KEPT:  # what this batch needs stays
+            self.seen = {k: v for k, v in self.seen.items() if k in shapes}
+        self.seen.update(zip(fresh, self.decode(fresh)))
+
 
 def raw_spans(y: np.ndarray) -> list[tuple[str, int, int]]:
     """Spans of a tag sequence."""
