@@ -85,8 +85,8 @@ def osa(a: str, b: str, most: int = 2) -> int:
 
 
 def edits(n: int) -> int:
-    """Edits allowed in a word of n letters."""
-    return 0 if n < 4 else 1 if n < 6 else 2
+    """Edits allowed in a word of n letters; words too short or far too long for a name must be equal."""
+    return 0 if n < 4 or n > 48 else 1 if n < 6 else 2
 
 
 @lru_cache(400_000)

@@ -30,6 +30,8 @@ FIGURE = re.compile(r"[0-9OolIiSsBZ]")
 WORD = re.compile(r"[^\W\d_]+\.?", re.UNICODE)
 #: What may follow a company's name but not a person's.
 COMPANY = re.compile(r"[ .,-]{1,3}(?:&|LTDA|LTD|EIRELI|EPP|S/A|S\.A|CIA\b|FILIAL|FIL\.|UN\. |\(MATRIZ|CD\b)", re.IGNORECASE)
+#: A label of a person's number right before its value.
+LABEL = re.compile(r"(?:habilita\S+|cnh|cpf|cpf/mf|c\.p\.f\.|pis|nis|pis/pasep|identidade|rg|r\.g\.)(?: nº| do pagador)?:? $", re.IGNORECASE)
 #: Lines that name a supplier.
 SUPPLIER = re.compile(r"(?:\S{1,3}mitente|\S{0,3}enefici\S+|\S{0,2}avorecido|\S{0,2}restador):? ", re.IGNORECASE)
 PARTICLES = {"de", "da", "do", "dos", "das", "e"}
@@ -155,6 +157,8 @@ def checked(line: str, kind: str, a: int, b: int) -> tuple[str | None, int, int]
         while a > 0 and line[a - 1] in "(+0123456789":
             a -= 1
         v = line[a:b]
+        if LABEL.search(line, 0, a) and "(" not in v and "+" not in v:
+            kind = "ID_NUMBER"  # eleven figures after the label of a person's number
         return (kind, a, b) if len(FIGURE.findall(v)) >= 8 else (None, a, b)
     if kind == "ID_NUMBER":
         return (kind, a, b) if len(FIGURE.findall(v)) >= 6 else (None, a, b)

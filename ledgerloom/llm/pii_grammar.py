@@ -138,8 +138,8 @@ class Lines:
             return r.choice(["CPF ", "CPF: ", "cpf/mf ", "C.P.F. nº ", "CPF do pagador: ", "CPF nº "]), self.cpf()
         if u < 0.82:
             return r.choice(["RG ", "RG nº ", "R.G. ", "Identidade: ", "RG: "]), self.rg()
-        if u < 0.9:
-            return r.choice(["CNH ", "CNH nº ", "CNH: "]), self.num("99999999999")
+        if u < 0.91:
+            return r.choice(["CNH ", "CNH nº ", "CNH: ", "Habilitação: ", "habilitação: "]), self.num("99999999999")
         return r.choice(["PIS ", "NIS: ", "PIS/PASEP ", "PIS: "]), self.num(r.choice(["999.99999.99-9", "99999999999"]))
 
     def address(self) -> str:
