@@ -174,14 +174,17 @@ def dedup_ingest(spark, d):
     return T.ingest_new(docs.filter("lote_id >= 3"), docs.filter("lote_id < 3"), "file_hash", "id").filter("file_hash is not null").select("id", "file_hash")
 
 
-@query("upsert_fields", """
-WITH t AS (SELECT DISTINCT * FROM transacoes), o AS (SELECT id, amount_cents, due_date FROM t WHERE id % 3 <> 0),
-     n AS (SELECT id, CASE WHEN id % 2 = 0 THEN 0 ELSE amount_cents + 1 END AS amount_cents, CASE WHEN id % 5 = 0 THEN NULL ELSE emission_date END AS due_date FROM t WHERE id % 4 = 0 OR id % 3 = 0)
+@query("upsert_fields", f"""
+WITH o AS (SELECT doc_id AS id, arg_min(amount_cents, id) AS amount_cents, arg_min(due_date, id) FILTER (due_date IS NOT NULL) AS due_date FROM {TR} GROUP BY doc_id),
+     n AS (SELECT boleto_id AS id, arg_min(amount_cents, id) AS amount_cents, arg_min(due_date, id) AS due_date FROM (SELECT DISTINCT * FROM duplicatas) WHERE boleto_id IS NOT NULL GROUP BY boleto_id)
 SELECT coalesce(n.id, o.id) AS id, coalesce(nullif(n.amount_cents, 0), o.amount_cents) AS amount_cents, coalesce(n.due_date, o.due_date) AS due_date FROM o FULL JOIN n ON n.id = o.id""")
 def upsert_fields(spark, d):
-    t = distinct_trans(spark, d)
-    new = t.filter("id % 4 = 0 or id % 3 = 0").select("id", F.when(F.col("id") % 2 == 0, F.lit(0).cast("bigint")).otherwise(F.col("amount_cents") + 1).alias("amount_cents"), F.when(F.col("id") % 5 != 0, F.col("emission_date")).alias("due_date"))
-    return T.upsert(t.filter("id % 3 <> 0").select("id", "amount_cents", "due_date"), new, "id", ["amount_cents"], ["due_date"])
+    """Fields of every document, from its first transaction, overwritten by the installment that names it."""
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(c)
+    old = distinct_trans(spark, d).withColumn("k", F.col("doc_id")).groupBy("k").agg(first("amount_cents"), first("due_date")).withColumnRenamed("k", "id")
+    u = load(spark, d, "duplicatas").dropDuplicates(["id"]).filter("boleto_id is not null")
+    new = u.groupBy("boleto_id").agg(first("amount_cents"), first("due_date")).withColumnRenamed("boleto_id", "id")
+    return T.upsert(old, new, "id", ["amount_cents"], ["due_date"])
 
 
 @query("bulk_edit", "SELECT id, CASE WHEN id IN (SELECT boleto_id FROM duplicatas) THEN 'T9' ELSE entity_tag END AS entity_tag, status FROM documentos")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..catalog import query
 from ..operators import dictionary, layout
@@ -12,12 +11,12 @@ from ..sources.mail import route
 from ..streaming.files import session_counts, windowed_counts
 from .reports import TR, distinct_trans, load
 
-KNOWN = "k AS (SELECT supplier AS name, supplier AS canonical, row_number() OVER (ORDER BY supplier) AS ord FROM (SELECT DISTINCT upper(trim(split_part(file, '_', 3))) AS supplier FROM golden_dataset) WHERE length(supplier) > 2)"
+KNOWN = "k AS (SELECT supplier AS name, supplier AS canonical, supplier AS ord FROM (SELECT DISTINCT upper(trim(split_part(file, '_', 3))) AS supplier FROM golden_dataset) WHERE length(supplier) > 2)"
 
 
 def known(spark, d):
     s = files.suppliers_of_filenames(load(spark, d, "golden_dataset"))
-    return s.select("name", F.col("name").alias("canonical"), F.row_number().over(Window.orderBy("name")).alias("ord"))
+    return s.select("name", F.col("name").alias("canonical"), F.col("name").alias("ord"))
 
 
 @query("supplier_dictionary", f"""
