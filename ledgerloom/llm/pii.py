@@ -98,13 +98,16 @@ class Finder:
                 lines.append((t, m.start(), m.end(), m[0]))
         cells = {k for _, _, _, k in lines}
         self.learn(cells)
-        # two blanks may also be a reading error within a value: where spans of one kind meet
-        # at a cell's edge, the two cells are decoded as one and kept so if a span crosses
+        # a value may go on in the next cell, as two blanks can be a reading error and lines are
+        # broken anywhere: where a span ends a cell and is no value yet, or after blanks one of its
+        # kind opens the next, the two cells are decoded as one and kept so if a span crosses
         joined = {}
         for i, ((t, s, e, k), (u, p, q, n)) in enumerate(zip(lines, lines[1:])):
             x, y = self.seen[k], self.seen[n]
-            if t == u and x and y and x[-1][2] == e - s and y[0][1] == 0 and x[-1][0] == y[0][0] and "\n" not in texts[t][e:p] and "\r" not in texts[t][e:p]:
-                joined[i] = f"{k}{texts[t][e:p]}{n}"
+            if t == u and x and x[-1][2] == e - s:
+                opens = y and y[0][1] == 0 and x[-1][0] == y[0][0] and not set("\r\n") & set(texts[t][e:p])
+                if opens or checked(texts[t][s:e], *x[-1])[0] is None:
+                    joined[i] = f"{k}{texts[t][e:p]}{n}"
         self.learn(cells.union(joined.values()))
         out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
         i = 0
