@@ -42,10 +42,14 @@ PARTS = re.compile(r"([0-9OolIíSsBZ]{1,2}) ?/ ?([0-9OolIíSsBZ]{1,2})(?![0-9/])
 INLINE = re.compile(r" (?=(?:vencim|data d|n\S{0,2} {1,2}\S{0,2}ocu\S+ \d|\(=\)|valor total|valor liq|emiss|pa\S?o em|total pago|aut\S?nti\S+ \d|benef|emitente|favorec|prestador|chave \d))")
 
 
+#: Letters without their accents, by code point; characters of other kinds stay as they are.
+BARE = {c: unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x250) if unicodedata.normalize("NFD", chr(c)) != chr(c)} | {ord("º"): "o", ord("ª"): "a", ord("°"): "o"} | dict.fromkeys(range(0x300, 0x370))
+
+
 def plain(s: str) -> str:
-    """Lower case without accents; as long as the input except for joined letters."""
-    s = s.lower().replace("º", "o").replace("ª", "a").replace("°", "o")
-    return s if s.isascii() else "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
+    """Lower case without accents."""
+    s = s.lower()
+    return s if s.isascii() else s.translate(BARE)
 
 
 def near(a: str, b: str, most: int) -> int:
@@ -93,6 +97,8 @@ def issuer_word(word: str) -> str | None:
 @lru_cache(50_000)
 def opener_kind(head: str) -> str | None:
     for k, v in OPENERS.items():
+        if abs(len(head) - len(k)) > 24 or head[:1] != k[0] and head[1:2] not in k[:3]:
+            continue
         if head.startswith(k) or len(k) > 5 and len(set(head[: len(k)]) ^ set(k)) <= 2 and near(head[: len(k)], k, 1) <= 1:
             return v
     return None
