@@ -128,6 +128,8 @@ def read_paper(text: str | None) -> dict[str, str | None]:
     lines = [x for x in lines if x]
     if not lines:
         return out
+    # a line may break between a label and its value
+    lines += [f"{a} {b}" for a, b in zip(lines, lines[1:]) if len(a) < 32 and (b[0] in "0123456789" or b[:2] == "r$") and not FIRST.search(a)]
     lines = [y for x in lines for y in (INLINE.split(x) if len(x) > 60 else [x])]
     for line in lines:
         m = FIRST.search(line)

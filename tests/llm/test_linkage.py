@@ -16,6 +16,8 @@ def test_read_paper():
     assert (r["kind"], r["number"], r["part"], r["due"], r["made"], r["amount"], r["issuer"]) == ("BOLETO", "12345", "1", "10022024", "10012024", "10050", "acme pneus ltda")
     n = read_paper("Banco X  Rccibo do Pagador\nBenefciário ACME\nVencirnento 1O/02/2024\nNº documcnto 12345\n(=) alor do docurnento R$ 1OO,50\nData do proccssamento 10/01/2024")
     assert (n["number"], n["due"], n["made"], n["amount"]) == ("12345", "10022024", "10012024", "10050")
+    b = read_paper("Beneficiário ACME\nVencimento\n10/02/2024\nNº documento\n12345\n(=) Valor do documento\nR$ 10,00")
+    assert (b["due"], b["number"], b["amount"]) == ("10022024", "12345", "1000")
     assert set(read_paper(None).values()) == set(read_paper(" ").values()) == {None}
     assert read_paper("x" * 100_000)["kind"] is None
 

@@ -70,6 +70,11 @@ def test_windows_do_not_matter(finder):
     assert kinds["NAME"] == kinds["ADDRESS"] == 4
 
 
+def test_broken_lines(finder):
+    text = "Motorista: José\nVronral placa XYZ2031\nPagador: Raimundo Frabres\nUlisses Zordel pediu segunda via"
+    assert [(k, text[a:b]) for k, a, b in finder.spans([text])[0]] == [("NAME", "José\nVronral"), ("NAME", "Raimundo Frabres"), ("NAME", "Ulisses Zordel")]
+
+
 def test_find_and_replace(spark):
     rows = [(1, "Att. Sra. Wanda Brelfim\nPedido nº 6756-8831\nFone: (29) 4801-9667", "k"), (2, None, "k"), (3, "", "k"), (4, "   ", "k"), (5, "E-mail: nf.tonpa@campo.example", "k"), (5, "E-mail: nf.tonpa@campo.example", "k"), (6, "x " * 60_000, "k")]
     df = spark.createDataFrame(rows, "id long, raw_text string, kind string")
