@@ -115,7 +115,7 @@ def entity_lookup(spark, d):
 
 @query("cross_validation")
 def cross_validation(spark, d):
-    """Names on matched documents: approved, doubtful or rejected by their word sets; tested on literal rows."""
+    """Names on matched documents: approved, doubtful or rejected by their word sets; the ratio is tested on literal rows."""
     p = matched_names(spark, d)
     r = S.pair_udf(S.token_set_ratio)(S.normalise_company(F.col("a")), S.normalise_company(F.col("b")))
     return p.withColumn("ratio", F.round(r, 6)).withColumn("verdict", F.when(F.col("ratio") >= 0.8, "APPROVED").when(F.col("ratio") >= 0.6, "WARNING").otherwise("REJECTED"))
