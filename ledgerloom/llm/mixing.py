@@ -61,6 +61,20 @@ def pfair_slots(weight: dict[str, float], blocks: int) -> list[tuple[str, int, i
     return out
 
 
+def whole_slots(weight: dict[str, float], blocks: int) -> list[tuple[str, int, int]]:
+    """:func:`pfair_slots` in which every source of weight above 0 has a block.
+
+    A source of less than one block may be due only after the last slot; its one
+    block gets a slot of its own, such slots evenly spread between the others.
+    """
+    slots = pfair_slots(weight, blocks)
+    lost = sorted({s for s, v in weight.items() if v > 0} - {s for s, _, _ in slots})
+    n = len(slots)
+    for i, s in reversed(list(enumerate(lost))):
+        slots.insert((i + 1) * n // (len(lost) + 1), (s, 0, 0))
+    return [(s, k, slot) for slot, (s, k, _) in enumerate(slots)]
+
+
 def sized_offsets(df: DataFrame, group: str, order: str, size: str, rows_per_bucket: int = 50_000) -> DataFrame:
     """``df`` with ``start``: the size of its group's rows before it, and ``group_size``.
 
@@ -99,8 +113,9 @@ def mix(docs: DataFrame, target: DataFrame, total: int | None = None, blocks: in
     ``j`` times before any is taken ``j + 1`` times, and a record is taken if its
     middle lies within the quota - so a source misses its quota by half a record
     at most.  The quota of every source is cut into blocks of total / ``blocks``,
-    but at least the largest record, and Pfair scheduling orders the blocks; ``slot`` and ``start_token`` give the
-    order of the mix.
+    and Pfair scheduling orders the blocks; ``slot`` and ``start_token`` give the
+    order of the mix.  A record belongs to the block it starts in, and a source of
+    less than one block has one slot.
 
     Records: doc_id, source, repeat (from 1), n_tokens, slot, start_token.
     Shares: source, target_share, actual_share, tokens, records, times (most
@@ -117,10 +132,8 @@ def mix(docs: DataFrame, target: DataFrame, total: int | None = None, blocks: in
     sized = cut(token_counts(docs.select("doc_id", "source", "text").filter("length(text) > 0"), **tokenizer).select("doc_id", "source", "n_tokens"))
     share, repeats, have, quota = _plan(sized, target, total)
     size = sum(quota.values())
-    largest = sized.agg(F.max("n_tokens")).first()[0] or 1
-    blocks = max(1, min(blocks, int(size // largest)))
     block = max(size / blocks, 1e-9)
-    slots = pfair_slots(quota, blocks) if size > 0 else []
+    slots = whole_slots(quota, blocks) if size > 0 else []
     plan = spark.createDataFrame([(s, float(quota[s]), repeats[s]) for s in share], "source string, quota double, max_repeats int")
     at = spark.createDataFrame(slots, "source string, block int, slot int")
     rows = sized_offsets(sized.join(F.broadcast(plan), "source"), "source", "doc_id", "n_tokens")

@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from ledgerloom.llm.mixing import mix, pfair_slots, quotas, sized_offsets
+from ledgerloom.llm.mixing import mix, pfair_slots, quotas, sized_offsets, whole_slots
 from ledgerloom.llm.tokens import TOKENIZER_DIR
 
 
@@ -50,3 +50,26 @@ def test_mix(spark):
     assert all(abs(x["actual_share"] - 0.5) < 0.06 for x in sh.collect())
     rec, sh = mix(df.limit(0), target)
     assert rec.count() == 0 and sorted(x["tokens"] for x in sh.collect()) == [0, 0, 0]
+
+
+def test_every_source_has_a_slot():
+    w = {"a": 0.9, "b": 0.0996, "c": 0.0003, "d": 0.0001, "e": 0.0}
+    slots = whole_slots(w, 100)
+    assert [x[2] for x in slots] == list(range(102)) and {x[0] for x in slots} == {"a", "b", "c", "d"}
+    for s in w:
+        assert [k for x, k, _ in slots if x == s] == list(range(sum(x == s for x, _, _ in slots)))
+    assert whole_slots({"a": 0.5, "b": 0.5}, 10) == pfair_slots({"a": 0.5, "b": 0.5}, 10)
+
+
+@pytest.mark.skipif(not os.path.exists(f"{TOKENIZER_DIR}/byte_bpe_50k.json"), reason="no vocabulary files")
+@pytest.mark.parametrize("blocks", [4096, 10])
+def test_mix_keeps_sources_below_a_block(spark, blocks):
+    """One long text, and a source of less than a block: all records within its quota are in the mix."""
+    docs = [(0, "big", "palavra " * 2000), *[(i, "big", "palavra " * 20) for i in range(1, 100)], *[(1000 + i, "tiny", "nota") for i in range(5)]]
+    target = spark.createDataFrame([("big", 1.0, 1), ("tiny", 1.0, 1)], "source string, target_share double, max_repeats int")
+    rec, sh = mix(spark.createDataFrame(docs, "doc_id long, source string, text string"), target, blocks=blocks)
+    got = rec.collect()
+    assert sorted(x["doc_id"] for x in got) == sorted(x[0] for x in docs)
+    s = {x["source"]: x for x in sh.collect()}
+    assert s["tiny"]["records"] == 5 and s["tiny"]["tokens"] == s["tiny"]["available_tokens"]
+    assert len({x["slot"] for x in got if x["source"] == "big"} & {x["slot"] for x in got if x["source"] == "tiny"}) == 0
