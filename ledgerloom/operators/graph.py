@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -111,3 +113,108 @@ def greedy_flow(pairs: DataFrame, a: str, b: str) -> DataFrame:
         nxt = cut(nxt.select(a, b, (F.col("cap_a") - F.coalesce("fa", F.lit(0))).alias("cap_a"), (F.col("cap_b") - F.coalesce("fb", F.lit(0))).alias("cap_b"), "cost").filter("cap_a > 0 and cap_b > 0"))
         drop_cut(left)
         left = nxt
+
+
+FAR = 45  # days from which on all distances cost the same
+
+
+def _level(gap: int | None) -> int:
+    """Cost of a pair of one supplier in hundredths, from its days apart; as scores.match_cost."""
+    return int((0.2 if gap is None else 0.5 if abs(gap) > FAR else abs(gap) / 45.0 * 0.3) * 100)
+
+
+def flow_of(cap_a: list[int], cap_b: list[int], day_a: list, day_b: list, tag_a: list, tag_b: list) -> list[tuple[int, int, int]]:
+    """(i, j, amount) sent between rows of one supplier, each pair considered unless both tags are given and differ.
+
+    Always the pair first by (cost, larger amount left, i, j), as :func:`greedy_flow`,
+    but pairs are never listed: cost depends on days apart only, so the largest
+    amount left by tag and day tells the best pair of a cost.  Memory follows rows
+    and days; each step uses up a row and passes over the rows once.
+    """
+    ca, cb = np.array(cap_a, dtype=np.int64), np.array(cap_b, dtype=np.int64)
+    known = [d for d in [*day_a, *day_b] if d is not None]
+    first = min(known, default=0)
+    days = max(known, default=0) - first + 1
+    at = lambda v: np.array([days if d is None else d - first for d in v], dtype=np.int64)  # noqa: E731  missing days come last
+    da, db = at(day_a), at(day_b)
+    names = {x: k + 1 for k, x in enumerate(sorted({x for x in [*tag_a, *tag_b] if x is not None}))}
+    ta, tb = (np.array([names.get(x, 0) for x in v], dtype=np.int64) for v in (tag_a, tag_b))
+    n = days + 1
+    top_a, top_b = np.zeros((len(names) + 1, n), np.int64), np.zeros((len(names) + 1, n), np.int64)
+    np.maximum.at(top_a, (ta, da), ca)
+    np.maximum.at(top_b, (tb, db), cb)
+    by = lambda t, d: {k: np.array(v) for k, v in _grouped(zip(t.tolist(), d.tolist())).items()}
+    rows_a, rows_b = by(ta, da), by(tb, db)
+    ua, ub = np.unique(da[da < days]), np.unique(db[db < days])
+    apart = set(np.unique(np.minimum(np.abs(ua[:, None] - ub[None, :]), FAR + 1)).tolist())
+    levels: dict[int, list] = {}
+    for g in [None, *sorted(apart)]:
+        if g is not None or (da == days).any() or (db == days).any():
+            levels.setdefault(_level(g), []).append(g)
+    out = []
+    for level in sorted(levels):
+        gaps = levels[level]
+        while True:
+            reach = np.maximum(top_b, top_b[0])
+            reach[0] = top_b.max(axis=0)
+            best = np.zeros_like(reach)
+            on, to = best[:, :days], reach[:, :days]
+            for g in gaps:
+                if g is None:
+                    np.maximum(on, reach[:, days:], out=on)
+                    best[:, days] = np.maximum(best[:, days], reach.max(axis=1))
+                elif g > FAR:
+                    if days > g:
+                        np.maximum(on[:, g:], np.maximum.accumulate(to, axis=1)[:, :-g], out=on[:, g:])
+                        np.maximum(on[:, :-g], np.maximum.accumulate(to[:, ::-1], axis=1)[:, ::-1][:, g:], out=on[:, :-g])
+                elif g == 0:
+                    np.maximum(on, to, out=on)
+                elif days > g:
+                    np.maximum(on[:, g:], to[:, :-g], out=on[:, g:])
+                    np.maximum(on[:, :-g], to[:, g:], out=on[:, :-g])
+            most = int(np.minimum(top_a, best).max())
+            if most <= 0:
+                break
+            i = int(np.argmax((ca >= most) & (best[ta, da] >= most)))
+            missing = (db == days) | (da[i] == days)
+            gap = np.minimum(np.abs(db - da[i]), FAR + 1)
+            fits = np.zeros(len(cb), bool)
+            for g in gaps:
+                fits |= missing if g is None else ~missing & (gap == g)
+            j = int(np.argmax(fits & (cb >= most) & ((ta[i] == 0) | (tb == 0) | (tb == ta[i]))))
+            out.append((i, j, most))
+            ca[i] -= most
+            cb[j] -= most
+            x, y = (int(ta[i]), int(da[i])), (int(tb[j]), int(db[j]))
+            top_a[x], top_b[y] = ca[rows_a[x]].max(), cb[rows_b[y]].max()
+    return out
+
+
+def _grouped(keys) -> dict[tuple, list[int]]:
+    out: dict[tuple, list[int]] = {}
+    for i, k in enumerate(keys):
+        out.setdefault(k, []).append(i)
+    return out
+
+
+def supplier_flow(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(payment, bill, flow) between all rows of a supplier; columns of both: id, s, v (amount), day, tag.
+
+    The rows of a supplier meet in one task, their pairs nowhere; see :func:`flow_of`.
+    """
+    both = a.select("s").distinct().join(b.select("s").distinct(), "s")
+    day = F.datediff("day", F.lit("1970-01-01").cast("date")).alias("day")
+    side = lambda x, n: x.filter("v > 0").select("s", F.lit(n).alias("side"), "id", "v", day, "tag")
+    rows = side(a, 0).unionByName(side(b, 1)).join(both, "s", "left_semi")
+    kind = dict(rows.dtypes)["id"]
+
+    def send(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        p, n = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        days = [[None if pd.isna(d) else int(d) for d in x["day"]] for x in (p, n)]
+        tags = [[None if pd.isna(t) or not t else t for t in x["tag"]] for x in (p, n)]
+        got = flow_of(p["v"].tolist(), n["v"].tolist(), *days, *tags)
+        pid, nid = p["id"].tolist(), n["id"].tolist()
+        return pd.DataFrame([(pid[i], nid[j], f) for i, j, f in got], columns=["payment", "bill", "flow"])
+
+    return rows.groupBy("s").applyInPandas(send, f"payment {kind}, bill {kind}, flow bigint")

@@ -140,11 +140,7 @@ def fraction_match(spark, d):
 
 @query("flow_totals")
 def flow_totals(spark, d):
-    """Payments and bills joined by flow: each pair of a supplier carries what both have left, dearest pairs last; capacities are tested."""
-    from ..operators.ranges import ratio_join
-
+    """Payments and all other papers of their supplier joined by flow: each pair carries what both have left, dearest pairs last, unless both name different entities; capacities are tested."""
     x = view(spark, d)
-    p, n = x.filter("k = 'COMPROVANTE'"), x.filter("k in ('NFE', 'NFSE')")
-    j = ratio_join(p.toDF(*[f"p_{c}" for c in p.columns]), n.toDF(*[f"n_{c}" for c in n.columns]), "p_v", "n_v", 100.0, [("p_s", "n_s")])
-    cost = F.floor(scores.match_cost(F.col("n_made"), F.col("p_due"), F.col("p_s"), F.col("n_s"), F.col("p_tag"), F.col("n_tag")) * 100).cast("bigint")
-    return graph.greedy_flow(j.select(F.col("p_id").alias("payment"), F.col("n_id").alias("bill"), F.col("p_v").alias("cap_a"), F.col("n_v").alias("cap_b"), cost.alias("cost")), "payment", "bill")
+    p, n = x.filter("k = 'COMPROVANTE'"), x.filter("k is null or k <> 'COMPROVANTE'")
+    return graph.supplier_flow(p.withColumn("day", F.col("due")), n.withColumn("day", F.col("made")))

@@ -138,3 +138,42 @@ def test_scores(spark):
 
     df = spark.createDataFrame([(100, 100), (1000, 1015), (0, 5), (1000, 2000)], "a long, b long")
     assert [x[0] for x in df.select(scores.value_score(F.col("a"), F.col("b"))).collect()] == [1.0, 0.85, 0.0, 0.0]
+
+
+def test_supplier_flow(spark):
+    """All pairs of a supplier, against the plain loop over them."""
+    import datetime
+
+    from ledgerloom.functions import scores
+
+    random.seed(5)
+    day = lambda: random.choice([None, datetime.date(2024, 1, 1) + datetime.timedelta(days=random.choice([random.randrange(70), random.randrange(200)]))])
+    side = lambda n, at: [(at + i, f"s{i % 4}" if i % 13 else None, random.choice([5, 40, 40, 900, random.randrange(1, 500)]), day(), random.choice([None, "VG", "MV"])) for i in range(n)]
+    a, b = side(90, 0), side(120, 1000)
+    schema = "id long, s string, v long, day date, tag string"
+    x, y = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    got = graph.supplier_flow(x, y).collect()
+    cost = F.floor(scores.match_cost(F.col("n_day"), F.col("p_day"), F.col("p_s"), F.col("n_s"), F.col("p_tag"), F.col("n_tag")) * 100)
+    j = x.toDF(*[f"p_{c}" for c in x.columns]).join(y.toDF(*[f"n_{c}" for c in y.columns]), F.col("p_s") == F.col("n_s")).filter("p_tag is null or n_tag is null or p_tag = n_tag")
+    pairs = [tuple(r) for r in j.select("p_id", "n_id", cost.cast("long")).collect()]
+    ca, cb, want = {r[0]: r[2] for r in a}, {r[0]: r[2] for r in b}, {}
+    while pairs := [p for p in pairs if ca[p[0]] > 0 and cb[p[1]] > 0]:
+        p, n, _ = min(pairs, key=lambda q: (q[2], -min(ca[q[0]], cb[q[1]]), q[0], q[1]))
+        f = want[p, n] = min(ca[p], cb[n])
+        ca[p] -= f
+        cb[n] -= f
+    assert {(r["payment"], r["bill"]): r["flow"] for r in got} == want
+
+
+def test_flow_totals_pays_small_bills(spark, tmp_path, monkeypatch):
+    """One payment covers a bill, a slip and an unknown paper far below its amount; other entities stay out."""
+    import datetime
+
+    from ledgerloom.plans import fields
+
+    d = datetime.date(2024, 1, 1)
+    rows = [(1, "COMPROVANTE", 1000, "VG"), (2, "NFE", 100, "VG"), (3, "BOLETO", 200, None), (4, "UNKNOWN", 300, "VG"), (5, "NFSE", 400, "MV")]
+    x = spark.createDataFrame([(i, i, "S", v, k, t, d, d, None) for i, k, v, t in rows], "id long, doc_id long, s string, v long, k string, tag string, due date, made date, line string")
+    monkeypatch.setattr(fields, "view", lambda *_: x)
+    got = {(r["payment"], r["bill"]): r["flow"] for r in fields.flow_totals(spark, "").collect()}
+    assert got == {(1, 2): 100, (1, 3): 200, (1, 4): 300}
