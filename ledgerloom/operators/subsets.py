@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,3 +74,75 @@ def subset_matches(targets: DataFrame, items: DataFrame, key: str, target: str,
     p = g.withColumn("at", pick("c", "_t")).filter("at is not null")
     parts = F.array_sort(F.transform("at", lambda i: F.get("c", i)["_i"]))
     return p.select(tid, parts.alias("parts"), F.aggregate(F.transform("at", lambda i: F.get("c", i)["_v"]), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+
+
+def first_of(values: np.ndarray, target: int, tol: int, r: int) -> list[int] | None:
+    """Positions of the first ``r`` values, by position, whose sum is within ``tol`` of ``target``; any number of values.
+
+    Exact: values that no ``r`` with the smallest or largest others can bring to the
+    target are left out, the last two places are found by bisection, and four places
+    are only tried if two pair sums meet the target.
+    """
+    n = len(values)
+    if r > n:
+        return None
+    if r == 1:
+        hit = np.flatnonzero(np.abs(values - target) <= tol)
+        return [int(hit[0])] if len(hit) else None
+    if r == 2:
+        order = np.argsort(values, kind="stable")
+        ranked = values[order]
+        lo, hi = np.searchsorted(ranked, target - tol - values), np.searchsorted(ranked, target + tol - values, "right")
+        for i in np.flatnonzero(hi > lo).tolist():
+            later = order[lo[i] : hi[i]]
+            later = later[later > i]
+            if len(later):
+                return [i, int(later.min())]
+        return None
+    ranked = np.sort(values)
+    keep = np.flatnonzero((values + ranked[1 - r :].sum() >= target - tol) & (values + ranked[: r - 1].sum() <= target + tol))
+    if len(keep) < n:
+        hit = first_of(values[keep], target, tol, r)
+        return hit and [int(keep[i]) for i in hit]
+    if r == 4 and n <= 2000:
+        x, y = np.triu_indices(n, 1)
+        sums = np.sort(values[x] + values[y])
+        if not (np.searchsorted(sums, target + tol - sums, "right") > np.searchsorted(sums, target - tol - sums)).any():
+            return None
+    for i in range(n - r + 1):
+        hit = first_of(values[i + 1 :], target - int(values[i]), tol, r - 1)
+        if hit:
+            return [i, *(i + 1 + k for k in hit)]
+    return None
+
+
+def first_sets(targets: DataFrame, items: DataFrame, key: str, target: str, value: str, tid: str, iid: str, tol: int = 5, most: int = 5, per_row: int = 16) -> DataFrame:
+    """(tid, parts, total): the first set of up to ``most`` of all items of a key that meets each target.
+
+    Fewest items first, then by distance from the target, ids breaking ties, as
+    :func:`subset_matches`, but no item is left out.  The items of a key meet
+    ``per_row`` of its targets at a time, so a hot key is spread over tasks.
+    """
+    lists = items.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("_k")).agg(F.array_sort(F.collect_list(F.struct(F.col(iid).alias("i"), F.col(value).alias("v")))).alias("_c"))
+    t = targets.select(tid, F.col(key).alias("_k"), F.col(target).alias("_t")).filter("_t is not null").join(items.select(F.col(key).alias("_k")).distinct(), "_k", "left_semi")
+    n = t.groupBy("_k").agg(F.ceil(F.count("*") / per_row).alias("_n"))
+    some = t.join(n, "_k").groupBy("_k", F.pmod(F.xxhash64(tid), "_n").alias("_salt")).agg(F.collect_list(F.struct(F.col(tid).alias("id"), F.col("_t").alias("t"))).alias("_some"))
+    # spread over tasks by key and salt: the lists are short for most keys and long for a few
+    met = some.join(lists, "_k").repartition("_k", "_salt")
+    kind = dict(targets.dtypes)[tid], dict(items.dtypes)[iid]
+
+    def pick(batches):
+        for b in batches:
+            out = []
+            for some, ids, v in zip(b["_some"], b["_i"], b["_v"]):
+                v = np.array(v, dtype=np.int64)
+                for x in some:
+                    order = np.argsort(np.abs(v - x["t"]), kind="stable")
+                    for r in range(1, most + 1):
+                        at = first_of(v[order], int(x["t"]), tol, r)
+                        if at:
+                            out.append((x["id"], sorted(ids[order[k]] for k in at), int(v[order[at]].sum())))
+                            break
+            yield pd.DataFrame(out, columns=[tid, "parts", "total"])
+
+    return met.select("_some", F.col("_c.i").alias("_i"), F.col("_c.v").alias("_v")).mapInPandas(pick, f"{tid} {kind[0]}, parts array<{kind[1]}>, total bigint")

@@ -45,9 +45,9 @@ def match_two_to_one(spark, d):
 
 @query("subset_sums")
 def subset_sums(spark, d):
-    """Bills with the first set of up to four slips that adds up to them; tested against trying all sets."""
+    """Bills with the first set of up to five of all their supplier's slips that adds up to them; tested against trying all sets."""
     x = view(spark, d).filter("s is not null")
-    return subsets.subset_matches(x.filter(BILL), x.filter(SLIP), "s", "v", "v", "id", "id", 5, 4, 50).select(F.col("id").alias("bill"), F.array_join(F.transform("parts", lambda i: i.cast("string")), ",").alias("slips"), "total")
+    return subsets.first_sets(x.filter(BILL), x.filter(SLIP), "s", "v", "v", "id", "id", 5, 5).select(F.col("id").alias("bill"), F.array_join(F.transform("parts", lambda i: i.cast("string")), ",").alias("slips"), "total")
 
 
 @query("group_candidates", f"{BN} SELECT n.id AS bill, b.id AS slip, abs(b.v - n.v) AS diff FROM n JOIN b ON b.s = n.s AND abs(b.v - n.v) <= greatest(100, floor(n.v * 0.05))")

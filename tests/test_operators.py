@@ -177,3 +177,33 @@ def test_flow_totals_pays_small_bills(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(fields, "view", lambda *_: x)
     got = {(r["payment"], r["bill"]): r["flow"] for r in fields.flow_totals(spark, "").collect()}
     assert got == {(1, 2): 100, (1, 3): 200, (1, 4): 300}
+
+
+def test_first_of():
+    import numpy as np
+
+    random.seed(8)
+    for n, top in [(9, 60), (9, 400), (12, 3000), (7, 20)] * 12:
+        v = [random.randrange(-3, top) for _ in range(n)]
+        target = random.randrange(3 * top)
+        for r in range(1, 6):
+            want = next((list(c) for c in itertools.combinations(range(n), r) if abs(sum(v[i] for i in c) - target) <= 2), None)
+            assert subsets.first_of(np.array(v), target, 2, r) == want
+
+
+def test_subset_sums_takes_five_of_all_slips(spark, monkeypatch):
+    """Five slips, and slips farther from the bill than fifty others; sums of the others miss it."""
+    from ledgerloom.plans import matching
+
+    slips = [("far", 900_000 + 1000 * i) for i in range(60)] + [("far", 1_007), ("far", 2_014), ("far", 4_028)] + [("five", 10_001), ("five", 20_010), ("five", 40_100), ("five", 81_000), ("five", 170_000)]
+    bills = [("far", 7_049), ("five", 321_111), ("five", 500_000), ("none", 5)]
+    rows = [(i, s, v, "BOLETO") for i, (s, v) in enumerate(slips)] + [(100 + i, s, v, "NFE") for i, (s, v) in enumerate(bills)]
+    x = spark.createDataFrame(rows, "id long, s string, v long, k string")
+    monkeypatch.setattr(matching, "view", lambda *_: x)
+    got = {r["bill"]: (r["slips"], r["total"]) for r in matching.subset_sums(spark, "").collect()}
+    assert got == {100: ("60,61,62", 7_049), 101: ("63,64,65,66,67", 321_111)}
+    # sixty slips lie nearer to a dearer bill than two of its parts
+    dear = spark.createDataFrame([*rows, (200, "far", 3 * 900_000 + 3000 + 1_007 + 2_014, "NFE")], x.schema)
+    monkeypatch.setattr(matching, "view", lambda *_: dear)
+    got = {r["bill"]: r["total"] for r in matching.subset_sums(spark, "").collect()}
+    assert got[200] == 3 * 900_000 + 3000 + 1_007 + 2_014
