@@ -37,6 +37,23 @@ def match_costs(spark, d):
     return p.select(F.col("b_id").alias("slip"), F.col("n_id").alias("bill"), F.round(scores.match_cost(F.col("n_made"), F.col("b_due"), F.col("b_s"), F.col("n_s"), F.col("b_tag"), F.col("n_tag")), 6).alias("cost"))
 
 
+@query("match_costs_all")
+def match_costs_all(spark, d):
+    """Costs of all slips and bills within ten per cent, whatever and even without suppliers; tested against trying all pairs.
+
+    Slips are split by a salt and bills repeated for each, as amounts have few bins.
+    """
+    b, n = sides(spark, d)
+    from ..operators.ranges import ratio_join
+
+    salts = 12
+    b = b.withColumn("salt", F.pmod(F.xxhash64("b_id"), F.lit(salts)))
+    n = n.withColumn("salt_n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    p = ratio_join(b, n, "b_v", "n_v", 10.0, [("salt", "salt_n")])
+    cost = scores.match_cost(F.col("n_made"), F.col("b_due"), F.col("b_s"), F.col("n_s"), F.col("b_tag"), F.col("n_tag"))
+    return p.select(F.col("b_id").alias("slip"), F.col("n_id").alias("bill"), F.round(cost, 6).alias("cost"))
+
+
 @query("persist_pairs", """
 WITH g AS (SELECT parent_doc_id AS doc, min(child_doc_id) AS island FROM matches WHERE confidence BETWEEN 0.9 AND 1 AND parent_doc_id IS NOT NULL AND child_doc_id IS NOT NULL GROUP BY 1),
      h AS (SELECT doc, min(doc) OVER (PARTITION BY island) AS head FROM g)

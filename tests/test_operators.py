@@ -207,3 +207,29 @@ def test_subset_sums_takes_five_of_all_slips(spark, monkeypatch):
     monkeypatch.setattr(matching, "view", lambda *_: dear)
     got = {r["bill"]: r["total"] for r in matching.subset_sums(spark, "").collect()}
     assert got[200] == 3 * 900_000 + 3000 + 1_007 + 2_014
+
+
+def test_match_costs_all(spark, monkeypatch):
+    """Every pair within ten per cent: unlike first words, a contained name, a missing name, different entities."""
+    import datetime
+
+    from ledgerloom.plans import fields
+
+    random.seed(9)
+    names = ["ALFA COMERCIO LTDA", "COMERCIAL ALFA COMERCIO LTDA", "ALFA", None, "BETA S/A"]
+    day = lambda: random.choice([None, datetime.date(2024, 1, 1) + datetime.timedelta(days=random.randrange(90))])
+    side = lambda n: [(i, random.choice(names), random.choice([100, 109, 110, 111, 5000, random.randrange(90, 130)]), day(), day(), random.choice([None, "VG", "MV"])) for i in range(n)]
+    a, b = side(60), side(50)
+    schema = "id long, s string, v long, due date, made date, tag string"
+    x, y = spark.createDataFrame(a, schema), spark.createDataFrame(b, schema)
+    monkeypatch.setattr(fields, "sides", lambda *_: (x.toDF(*[f"b_{c}" for c in x.columns]), y.toDF(*[f"n_{c}" for c in y.columns])))
+    got = [(r["slip"], r["bill"], r["cost"]) for r in fields.match_costs_all(spark, "").collect()]
+    want = []
+    for i, s, v, due, _, tag in a:
+        for j, s2, v2, _, made, tag2 in b:
+            if abs(v - v2) * 100 <= 10 * min(v, v2):
+                gap = abs((due - made).days) if due and made else None
+                cost = 0.2 if gap is None else 0.5 if gap > 45 else gap / 45 * 0.3
+                cost += 0 if s is None or s2 is None or s == s2 else 0.1 if s in s2 or s2 in s else 0.3
+                want.append((i, j, round(min(1.0, cost + (tag is not None and tag2 is not None and tag != tag2)), 6)))
+    assert len(got) == len(want) and {x[:2]: pytest.approx(x[2], abs=2e-6) for x in want} == {x[:2]: x[2] for x in got}
