@@ -72,6 +72,8 @@ def key_texts() -> F.Column:
         F.when(F.col("kind").isin("NFE", "NFSE"), k("mai", "made", "amount", "issuer")),
         k("auth", "auth"), F.when(F.col("kind") == "COMPROVANTE", k("ma", "made", "amount", "issuer")), k("key", "chave"),
         F.when(F.col("part").cast("int") > 1, k("np", "number", "part")),
+        # slips whose dates are lost on either side; no part counts as part 0
+        F.when(F.col("kind") == "BOLETO", F.concat(k("npa", "number", "amount"), F.lit("|"), F.coalesce("part", F.lit("0")))),
     ))
     return F.array_distinct(keys)
 

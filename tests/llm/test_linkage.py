@@ -64,3 +64,21 @@ def test_same_result_in_one_wave_or_many(spark, rows, waves):
 
 def test_empty(spark, rows):
     assert repeated_documents(spark.createDataFrame([], COLS)).count() == 0
+
+
+def test_slips_with_lost_dates_meet(spark, rows):
+    """Against brute force: copies of a slip share a key whichever dates are lost, and are linked with one date lost on each."""
+    import itertools
+
+    from ledgerloom.llm.linkage import key_texts, read_rows
+
+    lost = [(due, made) for due in ("10/02/2024", "") for made in ("10/01/2024", "")]
+    papers = [(no, part) for no in (60001, 60002) for part in (1, 0)]
+    scans = [(200 + i, p, slip(due, p[0], p[1], "812,33", made)) for i, (p, (due, made)) in enumerate(itertools.product(papers, lost))]
+    df = spark.createDataFrame([(i, 9, None, t, "BOLETO", None, None, None) for i, _, t in scans], COLS)
+    keys = {r["id"]: set(r["k"]) for r in read_rows(df).select("id", key_texts().alias("k")).collect()}
+    alike = {(a[0], b[0]) for a, b in itertools.combinations(scans, 2) if a[1] == b[1]}
+    assert alike <= {(x, y) for x, y in itertools.combinations(sorted(keys), 2) if keys[x] & keys[y]}
+    two = [(300, 5, None, slip("", 60003, 1, "77,10"), "BOLETO", None, None, None), (301, 6, None, slip("10/02/2024", 60003, 1, "77,10", ""), "BOLETO", None, None, None)]
+    got = sorted(map(tuple, repeated_documents(spark.createDataFrame([*rows, *two], COLS)).collect()))
+    assert got == [*WANT, (300, 301)]
