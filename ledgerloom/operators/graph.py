@@ -23,25 +23,25 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
 
     Each round links every neighbour larger than a vertex to the vertex's smallest
     neighbour, then every smaller one; edges become stars in about log2 of the
-    longest path rounds.  Rounds are cut, so losing an executor repeats one round.
+    longest path rounds.  Edges are read once.  Rounds are cut, so losing an executor
+    repeats one round; while a round's vertices are written, those are counted that
+    have a smaller neighbour and another one as well - none is left when all is stars.
     """
-    e = edges.select(F.col(src).alias("x"), F.col(dst).alias("y")).filter("x is not null and y is not null")
-    verts = cut(e.select(F.col("x").alias("id")).union(e.select("y")).distinct())
-    cur = cut(e.filter("x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
+    e = cut(edges.select(F.greatest(src, dst).alias("x"), F.least(src, dst).alias("y")).filter(F.col(src).isNotNull() & F.col(dst).isNotNull()).distinct())
+    cur = e.filter("x <> y")
+    last = None
     while True:
         both = cur.union(cur.select("y", "x"))
-        least = both.groupBy("x").agg(F.min("y").alias("n")).select("x", F.least("x", "n").alias("m"))
-        large = cut(both.join(least, "x").filter("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).filter("x <> y").distinct())
+        stars = cut(both.groupBy("x").agg(F.min("y").alias("n"), F.count("*").alias("c")).select("x", F.least("x", "n").alias("m"), "c"), count="m < x and c > 1")
+        if not stars.counted:
+            lab = stars.select(F.col("x").alias("id"), F.col("m").alias("component"))
+            alone = e.filter("x = y").select(F.col("x").alias("id")).join(lab, "id", "left_anti").withColumn("component", F.col("id"))
+            return lab.unionByName(alone)
+        large = cut(both.join(stars.select("x", "m"), "x").filter("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).filter("x <> y").distinct())
         least = large.groupBy("x").agg(F.min("y").alias("m"))
-        small = large.join(least, "x").filter("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(least.select("x", F.col("m").alias("y"))).distinct()
-        nxt = cut(small)
-        changed = nxt.exceptAll(cur).limit(1).count() or cur.exceptAll(nxt).limit(1).count()
-        drop_cut(cur, large)
-        cur = nxt
-        if not changed:
-            break
-    lab = cur.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("m"))
-    return verts.join(lab, "id", "left").select("id", F.coalesce("m", "id").alias("component"))
+        nxt = cut(large.join(least, "x").filter("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).unionByName(least.select("x", F.col("m").alias("y"))).distinct())
+        drop_cut(stars, large, last)
+        cur = last = nxt
 
 
 def greedy_pairs(pairs: DataFrame, a: str, b: str, *order: Column) -> DataFrame:
@@ -53,8 +53,8 @@ def greedy_pairs(pairs: DataFrame, a: str, b: str, *order: Column) -> DataFrame:
     """
     left, done = cut(pairs), None
     while True:
-        best = cut(left.withColumn("_i", F.row_number().over(Window.partitionBy(a).orderBy(*order))).withColumn("_j", F.row_number().over(Window.partitionBy(b).orderBy(*order))).filter("_i = 1 and _j = 1").drop("_i", "_j"))
-        if not best.limit(1).count():
+        best = cut(left.withColumn("_i", F.row_number().over(Window.partitionBy(a).orderBy(*order))).withColumn("_j", F.row_number().over(Window.partitionBy(b).orderBy(*order))).filter("_i = 1 and _j = 1").drop("_i", "_j"), count=F.lit(True))
+        if not best.counted:
             drop_cut(left)
             return best if done is None else done
         done = best if done is None else done.unionByName(best)
@@ -82,8 +82,8 @@ def auction_assignment(pairs: DataFrame, a: str, b: str, gain: str) -> DataFrame
         w = Window.partitionBy(a).orderBy(F.desc("v"), b)
         top = v.withColumn("k", F.row_number().over(w)).withColumn("second", F.lead("v").over(w)).filter("k = 1 and v > 0")
         bids = top.select("_b", F.col(a).alias("bidder"), (F.col("price") + F.col("v") - F.greatest(F.coalesce("second", F.lit(0)), F.lit(0)) + 1).alias("bid"))
-        won = cut(bids.groupBy("_b").agg(F.max_by(F.struct("bidder", "bid"), F.struct("bid", F.col("bidder"))).alias("w")).select("_b", "w.*"))
-        if not won.limit(1).count():
+        won = cut(bids.groupBy("_b").agg(F.max_by(F.struct("bidder", "bid"), F.struct("bid", F.col("bidder"))).alias("w")).select("_b", "w.*"), count=F.lit(True))
+        if not won.counted:
             out = own.filter("owner is not null").select(F.col("owner").alias(a), F.col("_b").alias(b))
             return out.join(p, [a, b]).select(a, b, (F.col("g") / scale).cast("bigint").alias(gain))
         nxt = cut(own.join(won, "_b", "left").select("_b", F.coalesce("bidder", "owner").alias("owner"), F.coalesce("bid", "price").alias("price")))
@@ -102,8 +102,8 @@ def greedy_flow(pairs: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         order = [F.col("cost"), F.desc("most"), F.col(a), F.col(b)]
         p = left.withColumn("most", F.least("cap_a", "cap_b"))
-        best = cut(p.withColumn("_i", F.row_number().over(Window.partitionBy(a).orderBy(*order))).withColumn("_j", F.row_number().over(Window.partitionBy(b).orderBy(*order))).filter("_i = 1 and _j = 1").select(a, b, F.col("most").alias("flow")))
-        if not best.limit(1).count():
+        best = cut(p.withColumn("_i", F.row_number().over(Window.partitionBy(a).orderBy(*order))).withColumn("_j", F.row_number().over(Window.partitionBy(b).orderBy(*order))).filter("_i = 1 and _j = 1").select(a, b, F.col("most").alias("flow")), count=F.lit(True))
+        if not best.counted:
             drop_cut(left)
             return best if done is None else done
         done = best if done is None else done.unionByName(best)

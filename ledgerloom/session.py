@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,27 +18,69 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors share, from ``spark.checkpoint.dir``.
 
-    A temporary folder is made only where the setting is empty, as in local tests.
+    A temporary folder is made only where the setting is empty and all executors run
+    on this machine; on a cluster a folder of its own on each machine would lose
+    rows, so the setting is required there.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
         d = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
 
 
-def cut(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_FOLDERS: dict[str, str] = {}
+
+
+def work_dir(spark: SparkSession) -> str:
+    """This application's own part of the shared folder; it is deleted when the driver ends."""
+    app = spark.sparkContext.applicationId
+    path = _FOLDERS.get(app)
+    if path is None or not path.startswith(shared_dir(spark)):
+        path = _FOLDERS[app] = f"{shared_dir(spark)}/ledgerloom-{app}-{uuid.uuid4().hex[:8]}"
+        jvm = spark.sparkContext._jvm
+
+        def clean() -> None:
+            try:  # the session may be stopped by now, its JVM is not
+                p = jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(p, True)
+            except Exception:  # noqa: BLE001
+                pass
+
+        atexit.register(clean)
+    return path
+
+
+def cut(df: DataFrame, partition_by: list[str] | None = None, count: Column | str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The lineage ends there, so a lost executor costs no recomputation of earlier
     rounds, the plan is computed once, and the reader knows the table's true size.
+    With ``count``, rows that meet the condition are counted as they are written and
+    ``counted`` of the result is above 0 if there is one; it is exact unless a task
+    was repeated.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/cut-{uuid.uuid4().hex}"
+    schema, seen = df.schema, None
+    if count is not None:
+        seen = Observation()
+        df = df.observe(seen, F.count_if(F.expr(count) if isinstance(count, str) else count).alias("n"))
     w = df.write.option("compression", "zstd")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
     out._cut_path = path
+    out.counted = seen.get.get("n", 0) if seen else None
     return out
 
 
@@ -45,9 +89,7 @@ def drop_cut(*tables: DataFrame | None) -> None:
     for df in tables:
         path = getattr(df, "_cut_path", None)
         if path:
-            sc = df.sparkSession.sparkContext
-            p = sc._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+            remove(df.sparkSession, path)
 
 
 def size_in_bytes(df: DataFrame) -> int:
