@@ -42,14 +42,10 @@ PARTS = re.compile(r"([0-9OolIíSsBZ]{1,2}) ?/ ?([0-9OolIíSsBZ]{1,2})(?![0-9/])
 INLINE = re.compile(r" (?=(?:vencim|data d|n\S{0,2} {1,2}\S{0,2}ocu\S+ \d|\(=\)|valor total|valor liq|emiss|pa\S?o em|total pago|aut\S?nti\S+ \d|benef|emitente|favorec|prestador|chave \d))")
 
 
-#: Letters without their accents, by code point; characters of other kinds stay as they are.
-BARE = {c: unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x250) if unicodedata.normalize("NFD", chr(c)) != chr(c)} | {ord("º"): "o", ord("ª"): "a", ord("°"): "o"} | dict.fromkeys(range(0x300, 0x370))
-
-
 def plain(s: str) -> str:
-    """Lower case without accents."""
+    """Lower case without accents, width and raised letters; characters without an ASCII base are left out."""
     s = s.lower()
-    return s if s.isascii() else s.translate(BARE)
+    return s if s.isascii() else unicodedata.normalize("NFKD", s.replace("°", "o")).encode("ascii", "ignore").decode()
 
 
 def near(a: str, b: str, most: int) -> int:
@@ -68,17 +64,19 @@ def near(a: str, b: str, most: int) -> int:
 
 _FORMS = [(kind, f, frozenset(f), 1 if len(f) < 9 else 2 if len(f) < 14 else 4) for kind, forms in LABELS.items() for f in forms]
 _EXACT = {f: kind for kind, f, _, _ in _FORMS}
+#: No text longer than this is within the edits allowed of a label; no opener is decided by more letters than this.
+LONGEST = max(len(f) + most for _, f, _, most in _FORMS)
+LONGEST_OPENER = max(map(len, OPENERS))
 
 
-@lru_cache(200_000)
 def label_of(head: str) -> str | None:
     """Kind of value announced by the text before a line's first figure."""
     if head in _EXACT:
         return _EXACT[head]
-    best, letters = None, frozenset(head)
+    best, letters, n = None, frozenset(head), len(head)
     for kind, f, own, most in _FORMS:
-        # an edit changes the sets of letters by two at most
-        if abs(len(f) - len(head)) <= most and len(letters ^ own) <= 2 * most:
+        # an edit changes the length by one and the sets of letters by two at most
+        if -most <= len(f) - n <= most and len(letters ^ own) <= 2 * most:
             d = near(head, f, most)
             if d <= most and (best is None or d < best[0]):
                 best = (d, kind)
@@ -91,19 +89,26 @@ def issuer_word(word: str) -> str | None:
     if w in ISSUER:
         return w
     hits = [k for k in ISSUER if len(set(w) ^ set(k)) <= 4 and near(w, k, 2) <= 2]
-    return hits[0] if len(hits) == 1 and len(w) > 5 else None
+    return hits[0] if len(hits) == 1 else None
 
 
-@lru_cache(50_000)
 def opener_kind(head: str) -> str | None:
+    """Kind of paper whose opening words begin ``head``, up to one wrong letter in the longer ones."""
     for k, v in OPENERS.items():
-        if abs(len(head) - len(k)) > 24 or head[:1] != k[0] and head[1:2] not in k[:3]:
-            continue
-        if head.startswith(k) or len(k) > 5 and len(set(head[: len(k)]) ^ set(k)) <= 2 and near(head[: len(k)], k, 1) <= 1:
+        if head.startswith(k):
+            return v
+        # with one edit the first letters agree, or the second letter of either is the first or second of the other
+        if len(k) > 5 and head and (head[0] == k[0] or head[1:2] in k[:2] or head[0] == k[1]) and len(set(head[: len(k)]) ^ set(k)) <= 2 and near(head[: len(k)], k, 1) <= 1:
             return v
     return None
 
 
+@lru_cache(400_000)
+def said_by(head: str) -> tuple[str | None, str | None]:
+    """(kind of value, kind of paper) that the text before a line's first figure speaks for."""
+    return label_of(head) if len(head) <= LONGEST else None, opener_kind(head[:LONGEST_OPENER].strip())
+
+
 def digits(s: str) -> str:
     return re.sub(r"\D", "", s.translate(FIGURES))
 
@@ -124,18 +129,21 @@ def read_paper(text: str | None) -> dict[str, str | None]:
     for row in BREAK.split(flat):
         cells = [c for c in row.split("  ") if c]
         # two blanks part the lines of some scans, but may also be a reading error within a line
-        lines += [c.strip() for c in cells] + [f"{a.strip()} {b.strip()}" for a, b in zip(cells, cells[1:]) if len(a) < 48 and not FIRST.search(a)]
+        lines += [c.strip() for c in cells]
+        if len(cells) > 1:
+            lines += [f"{a.strip()} {b.strip()}" for a, b in zip(cells, cells[1:]) if len(a) <= LONGEST and not FIRST.search(a)]
     lines = [x for x in lines if x]
     if not lines:
         return out
     # a line may break between a label and its value
-    lines += [f"{a} {b}" for a, b in zip(lines, lines[1:]) if len(a) < 32 and (b[0] in "0123456789" or b[:2] == "r$") and not FIRST.search(a)]
-    lines = [y for x in lines for y in (INLINE.split(x) if len(x) > 60 else [x])]
-    for line in lines:
+    lines += [f"{a} {b}" for a, b in zip(lines, lines[1:]) if (b[0] in "0123456789" or b[:2] == "r$") and len(a) <= LONGEST and not FIRST.search(a)]
+    for line in [y for x in lines for y in INLINE.split(x)]:
         m = FIRST.search(line)
         head = line[: m.start()] if m else line
-        kind = label_of(head) if m and len(head) < 64 else None
-        if kind:
+        kind, opens = said_by(head)
+        if opens:
+            votes[opens] += 1
+        if m and kind:
             tail = line[m.start() :]
             if kind in KINDS:
                 votes[KINDS[kind]] += 1
@@ -183,11 +191,8 @@ def read_paper(text: str | None) -> dict[str, str | None]:
                 k = digits(tail)
                 if len(k) == 44:
                     out["chave"] = k
-        k = opener_kind(head[:40].strip())
-        if k:
-            votes[k] += 1
         word, _, rest = line.partition(" ")
-        w = issuer_word(word) if 6 <= len(word) <= 15 and rest else None
+        w = issuer_word(word) if rest else None
         if w:
             votes[ISSUER[w]] += 1
             if not out["issuer"]:
