@@ -39,6 +39,33 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file in the shared folder at once: under another name first, then renamed over the old one."""
+    sc = spark.sparkContext
+    fs_path = sc._jvm.org.apache.hadoop.fs.Path
+    new, old = fs_path(f"{path}.{uuid.uuid4().hex[:8]}"), fs_path(path)
+    fs = old.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(new, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(new, old):  # file systems that do not rename over a file
+        fs.delete(old, False)
+        fs.rename(new, old)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """Content of a small file in the shared folder; None if there is none."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    text = bytes(stream.readAllBytes()).decode()
+    stream.close()
+    return text
+
+
 _FOLDERS: dict[str, str] = {}
 
 
