@@ -17,12 +17,11 @@ def _jump(parent: DataFrame) -> DataFrame:
     """
     while True:
         up = parent.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        nxt = cut(parent.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p"), (F.coalesce("pp", "p") != F.col("p")).alias("moved")))
-        moved = nxt.filter("moved").limit(1).count()
+        nxt = cut(parent.join(up, "p", "left").select("v", F.coalesce("pp", "p").alias("p"), (F.coalesce("pp", "p") != F.col("p")).alias("moved")), count="moved")
         drop_cut(parent)
         parent = nxt.drop("moved")
         parent._cut_path = nxt._cut_path
-        if not moved:
+        if not nxt.counted:
             return parent
 
 
@@ -31,9 +30,13 @@ def connected_groups(pairs: DataFrame, a: str, b: str, id_name: str = "doc_id",
 
     Rounds of: every vertex takes the smallest label among itself and its
     neighbours, pointer jumping turns those labels into roots, edges are rewritten
-    to roots and loops and repeats dropped.  Only local minima survive a round, so
-    the vertices at least halve.  Each round is written to the shared folder; the
-    loop ends when no edge joins two labels.
+    to roots and loops and repeats dropped.  Every larger end of an edge is merged
+    into its smallest neighbour, so a round takes away at least one vertex of every
+    edge's component and merges all of a star around its smallest end; on random or
+    path-shaped graphs about half of the vertices go, but a star whose hub has the
+    largest id keeps all but that one as roots until the next round joins them.  Each
+    round is written to the shared folder; edges between labels are counted as they
+    are written and the loop ends when there are none.
 
     Skew: minima are found by an aggregate with map-side combine, repeats of an
     edge are dropped before any join, and the label side of every join has one row
@@ -45,18 +48,16 @@ def connected_groups(pairs: DataFrame, a: str, b: str, id_name: str = "doc_id",
     """
     e = pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).filter("x is not null and y is not null")
     e = e.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct()
-    first = cut(e)
+    first = cut(e, count="x <> y")
     edges, labels = first, None
-    while True:
+    while edges.counted:
         live = edges.filter("x <> y")
-        if not live.limit(1).count():
-            break
         parent = cut(live.groupBy(F.col("x").alias("v")).agg(F.min("y").alias("p")))
         root = _jump(parent)
         # the larger end of an edge always has a label; the smaller may be a root without one
         rx, ry = root.select(F.col("v").alias("x"), F.col("p").alias("rx")), root.select(F.col("v").alias("y"), F.col("p").alias("ry"))
         rewritten = live.join(rx, "x").join(ry, "y", "left").select("rx", F.coalesce("ry", "y").alias("ry"))
-        nxt = cut(rewritten.filter("rx <> ry").select(F.greatest("rx", "ry").alias("x"), F.least("rx", "ry").alias("y")).distinct())
+        nxt = cut(rewritten.filter("rx <> ry").select(F.greatest("rx", "ry").alias("x"), F.least("rx", "ry").alias("y")).distinct(), count=F.lit(True))
         if labels is None:
             labels = root
         else:

@@ -56,12 +56,49 @@ def rows():
 WANT = [(1, 3), (1, 4), (1, 5), (1, 13), (10, 11)]
 
 
-@pytest.mark.parametrize("waves", [1, 5])
+@pytest.mark.parametrize("waves", [1, 3, None])
 def test_same_result_in_one_wave_or_many(spark, rows, waves):
     got = sorted(map(tuple, repeated_documents(spark.createDataFrame(rows, COLS), waves=waves).collect()))
     assert got == WANT
 
 
+def test_history_is_opened_again(spark, rows, tmp_path, monkeypatch):
+    """Batches accepted by several openings of one folder, with merged parts and a batch that failed halfway, give the same pairs."""
+    from ledgerloom.llm import linkage
+    from ledgerloom.llm.linkage import History, accept, pairs_of, read_rows
+
+    monkeypatch.setattr(linkage, "MERGE", 2)
+    path, read = tmp_path.as_uri() + "/h", read_rows(spark.createDataFrame(rows, COLS))
+    h = History(spark, path, 3)
+    h.learn(read)
+    weights = h.weights
+    accept(h, read.filter("lote_id <= 2"))
+    again = History(spark, path)
+    assert again.meta["buckets"] == 3 and again.weights == {k: list(v) for k, v in weights.items()}
+    again.write("members", read.selectExpr("id", "id as sid", "hash"), again.meta["next"])  # fails before it is committed
+    for cond in ("lote_id = 3", "lote_id = 4", "lote_id > 4 or lote_id is null"):
+        accept(History(spark, path), read.filter(cond))
+    last = History(spark, path)
+    assert len(last.parts()) < 4 and last.read("members").count() == len(rows) - 1
+    assert sorted(map(tuple, pairs_of(last).collect())) == WANT
+
+
+def test_probe_leaves_history_in_place(spark, rows, tmp_path):
+    """The probe of the key table needs no exchange of the table: its buckets are joined as they lie."""
+    from ledgerloom.llm.linkage import History, accept, read_rows
+
+    h = History(spark, tmp_path.as_uri() + "/h", 3)
+    accept(h, read_rows(spark.createDataFrame(rows, COLS)))
+    probe = h.read("keys").hint("shuffle_hash").alias("a").join(h.read("keys").alias("b"), "key")
+    assert "Exchange" not in probe._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_length_decides():
+    """Long company names after the opening words, long label cells and short lines with several labels."""
+    assert read_paper("NF-e da Empresa Acme")["kind"] == read_paper("NF-e da Empresa Acme Com Nome Longo Ltda")["kind"] == "NFE"
+    assert read_paper("Vencimento 10/02/2024 Nº documento 12345")["number"] == "12345"
+
+
 def test_empty(spark, rows):
     assert repeated_documents(spark.createDataFrame([], COLS)).count() == 0
 
