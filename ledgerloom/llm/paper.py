@@ -69,6 +69,7 @@ LONGEST = max(len(f) + most for _, f, _, most in _FORMS)
 LONGEST_OPENER = max(map(len, OPENERS))
 
 
+@lru_cache(400_000)
 def label_of(head: str) -> str | None:
     """Kind of value announced by the text before a line's first figure."""
     if head in _EXACT:
@@ -92,6 +93,7 @@ def issuer_word(word: str) -> str | None:
     return hits[0] if len(hits) == 1 else None
 
 
+@lru_cache(400_000)
 def opener_kind(head: str) -> str | None:
     """Kind of paper whose opening words begin ``head``, up to one wrong letter in the longer ones."""
     for k, v in OPENERS.items():
@@ -103,10 +105,6 @@ def opener_kind(head: str) -> str | None:
     return None
 
 
-@lru_cache(400_000)
-def said_by(head: str) -> tuple[str | None, str | None]:
-    """(kind of value, kind of paper) that the text before a line's first figure speaks for."""
-    return label_of(head) if len(head) <= LONGEST else None, opener_kind(head[:LONGEST_OPENER].strip())
 
 
 def digits(s: str) -> str:
@@ -124,7 +122,8 @@ def read_paper(text: str | None) -> dict[str, str | None]:
         return out
     votes = dict.fromkeys(("NFE", "NFSE", "BOLETO", "COMPROVANTE"), 0)
     other: dict[str, str | None] = {}
-    flat = plain(text)
+    # a line may hold several labels
+    flat = INLINE.sub("\n", plain(text))
     lines = []
     for row in BREAK.split(flat):
         cells = [c for c in row.split("  ") if c]
@@ -137,13 +136,14 @@ def read_paper(text: str | None) -> dict[str, str | None]:
         return out
     # a line may break between a label and its value
     lines += [f"{a} {b}" for a, b in zip(lines, lines[1:]) if (b[0] in "0123456789" or b[:2] == "r$") and len(a) <= LONGEST and not FIRST.search(a)]
-    for line in [y for x in lines for y in INLINE.split(x)]:
+    for line in lines:
         m = FIRST.search(line)
         head = line[: m.start()] if m else line
-        kind, opens = said_by(head)
+        opens = opener_kind(head[:LONGEST_OPENER])
         if opens:
             votes[opens] += 1
-        if m and kind:
+        kind = label_of(head) if m and len(head) <= LONGEST else None
+        if kind:
             tail = line[m.start() :]
             if kind in KINDS:
                 votes[KINDS[kind]] += 1
