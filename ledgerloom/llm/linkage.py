@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+import re
 import uuid
 
 import pandas as pd
@@ -17,6 +18,7 @@ from .components import _jump, connected_groups
 from .paper import kind_of_number, read_number, read_paper
 
 FIELDS = ["number", "part", "due", "made", "amount", "auth", "chave", "issuer"]
+NO_FIGURE = re.compile("[^0-9]+")
 READ = "kind string, " + ", ".join(f"{f} string" for f in FIELDS)
 EMPTY_MD5 = "d41d8cd98f00b204e9800998ecf8427e"
 #: Shares of agree, nearly, differ among copies of a paper that count as this many observed pairs.
@@ -25,30 +27,28 @@ PRIOR, PRIOR_PAIRS = (0.96, 0.025, 0.015), 40
 UNIQUE = {"auth": (26.0, 9.0, -9.0), "chave": (34.0, 8.0, -9.0)}
 
 
+def row_of(text: str | None, doc_type: str | None, number: str | None, key: str | None) -> tuple:
+    """(kind, *FIELDS) of one row: what its text says, and where that is silent, its columns."""
+    r = read_paper(text)
+    kind = r["kind"] or (doc_type if doc_type in ("NFE", "NFSE", "BOLETO", "COMPROVANTE") else kind_of_number(number))
+    no, part = read_number(number) if number and (kind in ("COMPROVANTE", "BOLETO") or not r["number"]) else (None, None)
+    chave = r["chave"]
+    if kind == "NFE" and key:
+        a = NO_FIGURE.sub("", key)
+        chave = a if len(a) == 44 else chave
+    if kind == "COMPROVANTE":
+        return kind, None, None, r["due"], r["made"], r["amount"], r["auth"] or no, chave, r["issuer"]
+    part = (r["part"] or part) if kind == "BOLETO" else None
+    return kind, r["number"] or no, None if part == "0" else part, r["due"], r["made"], r["amount"], r["auth"], chave, r["issuer"]
+
+
 def read_rows(df: DataFrame) -> DataFrame:
     """id, batch, hash and what each row's paper says; see :func:`read_paper`."""
 
     @F.pandas_udf(T._parse_datatype_string(READ))
     def read(text: pd.Series, doc_type: pd.Series, number: pd.Series, key: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, k, n, a in zip(text, doc_type, number, key):
-            r = read_paper(t)
-            r["kind"] = r["kind"] or (k if k in ("NFE", "NFSE", "BOLETO", "COMPROVANTE") else kind_of_number(n))
-            a = "".join(c for c in a or "" if c.isdigit())
-            no, part = read_number(n)
-            if r["kind"] == "NFE" and len(a) == 44:
-                r["chave"] = a
-            if r["kind"] == "COMPROVANTE":
-                r["auth"], r["number"] = r["auth"] or no, None
-            else:
-                r["number"] = r["number"] or no
-            if r["kind"] == "BOLETO":
-                r["part"] = r["part"] or part
-                r["part"] = None if r["part"] == "0" else r["part"]
-            else:
-                r["part"] = None
-            rows.append(r)
-        return pd.DataFrame(rows, columns=["kind", *FIELDS]).astype(object)
+        rows = [row_of(*r) for r in zip(text.tolist(), doc_type.tolist(), number.tolist(), key.tolist())]
+        return pd.DataFrame(dict(zip(("kind", *FIELDS), map(list, zip(*rows)))), columns=["kind", *FIELDS], dtype=object)
 
     h = F.regexp_extract(F.lower(F.trim("file_hash")), r"^(?:md5:)?\s*([0-9a-f]{32})$", 1)
     d = df.select("id", "lote_id", F.when((h != "") & (h != EMPTY_MD5), h).alias("hash"), read("raw_text", "doc_type", "doc_number", "access_key").alias("r"))
@@ -113,13 +113,15 @@ def comparison(p: DataFrame) -> DataFrame:
     return p.selectExpr("a.sid as x", "b.sid as y", *map(_level, FIELDS))
 
 
+CHANCE = [f for f in FIELDS if f not in UNIQUE]
+
+
 def chance_agreement(sigs: DataFrame) -> dict[str, float]:
     """Probability that two papers taken at random agree in a field: the sum of squared shares of its values."""
-    fields = [f for f in FIELDS if f not in UNIQUE]
-    long = sigs.select(F.inline(F.array(*[F.struct(F.lit(k).alias("f"), F.when(F.col(f).isNotNull(), F.xxhash64(f)).alias("v")) for k, f in enumerate(fields)]))).filter("v is not null")
+    long = sigs.select(F.inline(F.array(*[F.struct(F.lit(k).alias("f"), F.col(f).alias("v")) for k, f in enumerate(CHANCE)]))).filter("v is not null")
     n = long.groupBy("f", "v").agg(F.count("*").cast("double").alias("n"))
     rows = n.groupBy("f").agg((F.sum(F.col("n") * F.col("n")) / (F.sum("n") * F.sum("n"))).alias("u")).collect()  # one row a field
-    return {fields[r["f"]]: r["u"] for r in rows}
+    return {CHANCE[r["f"]]: r["u"] for r in rows}
 
 
 def learn_weights(patterns: list[dict], chance: dict[str, float]) -> dict[str, tuple[float, float, float]]:
@@ -209,10 +211,13 @@ class History:
         return self.read(table, [part])
 
     def commit(self, part: int) -> None:
-        """Let a written part count, and merge parts of one level once there are :data:`MERGE` of them."""
+        """Let a written part count."""
         self.meta["parts"].append([0, part])
         self.meta["next"] = part + 1
         self.save()
+
+    def merge(self) -> None:
+        """Merge parts of one level where there are :data:`MERGE` of them."""
         level = 0
         while len(old := [n for lv, n in self.meta["parts"] if lv == level]) >= MERGE:
             new = self.meta["next"]
@@ -235,11 +240,15 @@ class History:
         Chance agreement counts all rows.  Copies of one paper, known by equal access
         key or authentication, are each compared with the smallest id of theirs, so
         a value held by many rows gives as many comparisons as rows; about ``sample``
-        labelled rows are taken at most, whole labels chosen by hash.
+        labelled papers are taken at most, whole labels chosen by hash.
         """
-        sigs = cut(rows.groupBy("sig").agg(F.min("id").alias("sid"), *[F.first(c, True).alias(c) for c in ("kind", *FIELDS)]), count="chave is not null or auth is not null")
+        label = F.coalesce("chave", "auth")
+        # one row a signature, values as hashes: fixed width, so it is aggregated without sorting
+        hashed = [F.when(F.col(f).isNotNull(), F.xxhash64(f)).alias(f) for f in CHANCE]
+        sigs = cut(rows.select(F.xxhash64("sig").alias("sig"), label.isNotNull().alias("label"), *hashed).groupBy("sig").agg(*[F.first(c).alias(c) for c in ("label", *CHANCE)]), count="label")
         share = int(min(1.0, sample / max(1, sigs.counted)) * 1_000_000)
-        known = sigs.withColumn("label", F.coalesce("chave", "auth")).filter(F.col("label").isNotNull() & (F.pmod(F.xxhash64(F.lit(7), "label"), F.lit(1_000_000)) < share))
+        known = rows.withColumn("label", label).filter(F.col("label").isNotNull() & (F.pmod(F.xxhash64(F.lit(7), "label"), F.lit(1_000_000)) < share))
+        known = known.groupBy("label", "sig").agg(F.min(F.struct("id", "kind", *FIELDS)).alias("f")).select("label", F.col("f.id").alias("sid"), *[F.col(f"f.{c}").alias(c) for c in ("kind", *FIELDS)])
         first = known.groupBy("label").agg(F.min(F.struct("sid", "kind", *FIELDS)).alias("f"), F.count("*").alias("n")).filter("n > 1").select("label", "f.*")
         pairs = known.alias("a").join(first.alias("b"), "label").filter("a.sid <> b.sid and a.kind = b.kind")
         counted = comparison(pairs).groupBy(*[f"c_{f}" for f in FIELDS]).count().withColumnRenamed("count", "n").collect()  # at most 4 ** 8 rows
@@ -275,6 +284,7 @@ def accept(h: History, rows: DataFrame, margin: float = 0.0) -> None:
     """
     if h.weights is None:
         h.learn(rows)
+    h.merge()
     n, past = h.meta["next"], bool(h.parts())
     fresh = rows.groupBy("sig").agg(F.min("id").alias("sid0"), *[F.first(c, True).alias(c) for c in ("kind", *FIELDS)])
     known = h.read("sigs").select("sig", F.col("sid").alias("old"))
