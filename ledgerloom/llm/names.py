@@ -65,28 +65,53 @@ FIRST = {w: g for g, ws in SHORT.items() for w in [g, *ws.split()]}
 
 
 def osa(a: str, b: str, most: int = 2) -> int:
-    """Edit distance with neighbouring letters swapped as one edit; ``most + 1`` if larger."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
+    """Edit distance with neighbouring letters swapped as one edit; ``most + 1`` if larger.
+
+    Only cells within ``most`` of the diagonal are filled, so the work follows the
+    length of the words, however long they are.
+    """
+    n, m, far = len(a), len(b), most + 1
+    if abs(n - m) > most:
+        return far
     if a == b:
         return 0
-    prev2, prev = None, list(range(len(b) + 1))
-    for i, c in enumerate(a, 1):
-        row = [i]
-        for j, d in enumerate(b, 1):
-            v = min(prev[j] + 1, row[j - 1] + 1, prev[j - 1] + (c != d))
-            if prev2 and j > 1 and c == b[j - 2] and a[i - 2] == d:
-                v = min(v, prev2[j - 2] + 1)
-            row.append(v)
+    # what is equal at both ends takes no edit
+    k = 0
+    while k < n and k < m and a[k] == b[k]:
+        k += 1
+    while n > k and m > k and a[n - 1] == b[m - 1]:
+        n, m = n - 1, m - 1
+    a, b, n, m = a[k:n], b[k:m], n - k, m - k
+    if not n or not m:
+        return min(n + m, far)
+    width = 2 * most + 1
+    prev2, prev = None, [j - most if j >= most else far for j in range(width)]
+    for i in range(1, n + 1):
+        row = [far] * width
+        for d in range(width):
+            j = i + d - most
+            if j < 0 or j > m:
+                continue
+            if j == 0:
+                row[d] = i if i < far else far
+                continue
+            v = prev[d] + (a[i - 1] != b[j - 1])
+            if d + 1 < width and prev[d + 1] + 1 < v:
+                v = prev[d + 1] + 1
+            if d and row[d - 1] + 1 < v:
+                v = row[d - 1] + 1
+            if prev2 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1] and prev2[d] + 1 < v:
+                v = prev2[d] + 1
+            row[d] = v if v < far else far
         if min(row) > most:
-            return most + 1
+            return far
         prev2, prev = prev, row
-    return min(prev[-1], most + 1)
+    return min(prev[m - n + most], far)
 
 
 def edits(n: int) -> int:
-    """Edits allowed in a word of n letters; words too short or far too long for a name must be equal."""
-    return 0 if n < 4 or n > 48 else 1 if n < 6 else 2
+    """Edits allowed in a word of n letters; words too short for an edit to mean the same word must be equal."""
+    return 0 if n < 4 else 1 if n < 6 else 2
 
 
 @lru_cache(400_000)
@@ -139,21 +164,43 @@ def parse_name(raw: str | None) -> tuple[list[str], list[str], list[str]] | None
 
 
 def best_assignment(gain: list[list[float]]) -> list[tuple[int, int]]:
-    """Optimal one-to-one assignment of few rows to columns by dynamic programming over column sets; pairs of gain > 0."""
+    """Optimal one-to-one assignment of rows to columns, any number of both; pairs of gain > 0.
+
+    Shortest augmenting paths with potentials (Hungarian method), cubic in the number of words.
+    """
     n, m = len(gain), len(gain[0]) if gain else 0
-    best: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
-    for i in range(n):
-        nxt = dict(best)
-        for used, (v, picks) in best.items():
-            for j in range(m):
-                if not used >> j & 1 and gain[i][j] > 0:
-                    k, w = used | 1 << j, v + gain[i][j]
-                    if k not in nxt or nxt[k][0] < w:
-                        nxt[k] = (w, (*picks, (i, j)))
-        best = nxt
-    return list(max(best.values())[1]) if best else []
+    if not n or not m:
+        return []
+    if n > m:
+        return sorted((i, j) for j, i in best_assignment([list(c) for c in zip(*gain)]))
+    u, v, match = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        match[0], at = i, 0
+        least, way, used = [float("inf")] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while match[at]:
+            used[at] = True
+            row, step, nxt = match[at], float("inf"), 0
+            for j in range(1, m + 1):
+                if not used[j]:
+                    c = -gain[row - 1][j - 1] - u[row] - v[j]
+                    if c < least[j]:
+                        least[j], way[j] = c, at
+                    if least[j] < step:
+                        step, nxt = least[j], j
+            for j in range(m + 1):
+                if used[j]:
+                    u[match[j]] += step
+                    v[j] -= step
+                else:
+                    least[j] -= step
+            at = nxt
+        while at:
+            match[at] = match[way[at]]
+            at = way[at]
+    return sorted((match[j] - 1, j - 1) for j in range(1, m + 1) if match[j] and gain[match[j] - 1][j - 1] > 0)
 
 
+@lru_cache(400_000)
 def word_gain(a: str, b: str) -> float:
     """1 for equal words, less by each edit, 0.3 for an initial or abbreviation, 0 if they cannot be the same word."""
     if a == b:
@@ -191,8 +238,6 @@ def align(a: tuple, b: tuple) -> str | None:
             fb.remove(g)
             given["same"] += 1
     one, two = one + fa, two + fb
-    if len(one) > 9 or len(two) > 9:
-        return "full" if sorted(one) == sorted(two) else None
     known = set(SHORT)
     gain = [[0.0 if x in known and y in known and x != y else word_gain(x, y) for y in two] for x in one]
     picks = best_assignment(gain)
@@ -210,17 +255,27 @@ def align(a: tuple, b: tuple) -> str | None:
     same_biz = bool(ba and bb)
     if strong >= 2 and (same_biz or given["same"] or not company and not left and not right):
         return "full"
-    if strong >= 2 or strong == 1 and (same_biz or given["same"] or weak) or strong == 0 and weak >= 2 and (given["same"] or same_biz):
+    if strong >= 2 or strong == 1 and (same_biz or given["same"] or weak):
         return "part"
     return None
 
 
+#: Letters of a word that the delete index looks at: two words within k edits share a form of their beginnings with up to k letters deleted.
+BEGIN = 10
+
+
 def deletes(word: str, k: int) -> set[str]:
-    """The word and everything left of it after up to k deletions."""
-    out, edge = {word}, {word}
+    """The word's beginning and everything left of it after up to k deletions.
+
+    Exact for whole words: where the beginnings align, each edit takes at most one
+    letter from either, and letters that one side has in excess are among its own
+    deletions.  Longer words cost no more entries.
+    """
+    out = {word[:BEGIN]}
+    edge = out
     for _ in range(k):
         edge = {w[:i] + w[i + 1 :] for w in edge for i in range(len(w))}
-        out |= edge
+        out = out | edge
     return out
 
 
@@ -230,16 +285,6 @@ def parsed(s: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([r or (None, None, None) for r in rows], columns=["core", "given", "biz"])
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def index_words(core: pd.Series) -> pd.Series:
-    """Words of a name under which it is searched: core words, and two of them run together."""
-    out = []
-    for c in core:
-        w = [x for x in ([] if c is None else c) if len(x) >= 4]
-        out.append(sorted({*w, *(p + q for p, q in itertools.permutations(w, 2))}) if len(w) <= 9 else sorted(set(w)))
-    return pd.Series(out)
-
-
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def delete_neighbours(word: pd.Series) -> pd.Series:
     return pd.Series([sorted(deletes(w, edits(len(w)))) for w in word])
@@ -247,7 +292,7 @@ def delete_neighbours(word: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.BooleanType())
 def close_words(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([osa(x, y, 2) <= min(edits(len(x)), edits(len(y))) for x, y in zip(a, b)], dtype=bool)
+    return pd.Series([osa(x, y, k) <= k for x, y in zip(a, b) for k in (min(edits(len(x)), edits(len(y))),)], dtype=bool)
 
 
 def _align_udf():
@@ -258,6 +303,52 @@ def _align_udf():
     return run
 
 
+def near_words(words: DataFrame, runs: DataFrame) -> DataFrame:
+    """(w, v): words within one or two edits of each other, both ways and with themselves, and pairs of words run together with the word they give.
+
+    ``words`` has the distinct words w, ``runs`` the distinct pairs of words written
+    as one, w.  Both go into the symmetric-delete index; runs meet only words long
+    enough to be one.  The lengths of two words close to each other differ by two at
+    most, which is checked before the edit distance.
+    """
+    entry = lambda d: d.select("w", F.explode(delete_neighbours("w")).alias("k")).select("w", F.xxhash64("k").alias("k"))
+    index = cut(entry(words.filter("length(w) >= 4").select("w")).withColumn("run", F.lit(False)).unionByName(entry(runs.select("w")).withColumn("run", F.lit(True))))
+    own, long, run = index.filter("not run"), index.filter("not run and length(w) >= 8"), index.filter("run")
+    fits = F.abs(F.length("i.w") - F.length("j.w")) <= 2
+    meet = lambda x, y, cond: x.alias("i").join(y.alias("j"), "k").filter(cond & fits).select(F.col("i.w").alias("w"), F.col("j.w").alias("v"), F.col("i.run").alias("run")).distinct()
+    met = meet(own, own, F.col("i.w") < F.col("j.w")).unionByName(meet(run, long, F.lit(True)))
+    # evaluated once: the mirror reads what is written here
+    near = cut(met.filter(close_words("w", "v")))
+    back = near.filter("not run").select(F.col("v").alias("w"), F.col("w").alias("v"))
+    return near.select("w", "v").unionByName(back).unionByName(words.select("w", F.col("w").alias("v"))).distinct()
+
+
+def candidates(forms: DataFrame) -> DataFrame:
+    """(fid, gid), fid < gid: forms that can be one supplier: a close word and something else in common.
+
+    To be linked, two forms need a close word and also another close word, an
+    initial or an abbreviation, a line of business or a given name.  Therefore a form
+    is looked up under (close word, first letter of another word), (close word, line
+    of business) and (close word, given name), never under a word alone - a word that
+    many forms share is split by what stands beside it.  Under a word alone it is
+    looked up only where an edit changed the word's first letter, or where two of
+    its words run together give the word; both are rare for any one word.
+    """
+    letters = lambda w: F.transform(F.filter(F.concat("core", "given"), lambda x: x != w), lambda x: F.concat(F.lit("l:"), F.substring(x, 1, 1)))
+    beside = F.array_distinct(F.concat(letters(F.col("w")), F.transform("biz", lambda x: F.concat(F.lit("b:"), x)), F.transform("given", lambda x: F.concat(F.lit("g:"), x)), F.when(F.size(F.filter("core", lambda x: x == F.col("w"))) > 1, F.array(F.concat(F.lit("l:"), F.substring("w", 1, 1)))).otherwise(F.array().cast("array<string>"))))
+    words = cut(forms.select("fid", "core", "given", "biz", F.explode(F.array_distinct(F.filter("core", lambda x: F.length(x) > 1))).alias("w")).select("fid", "w", beside.alias("beside")))
+    long = F.array_distinct(F.filter("core", lambda x: F.length(x) >= 4))
+    runs = cut(forms.select("fid", long.alias("c")).select("fid", F.explode(F.flatten(F.transform("c", lambda p: F.transform(F.filter("c", lambda q: q != p), lambda q: F.concat(p, q))))).alias("w")).distinct())
+    near = cut(near_words(words.select("w").distinct(), runs.select("w").distinct()))
+    every = F.lit("*")
+    here = words.select(F.col("fid").alias("gid"), F.col("w").alias("v"), F.explode(F.concat("beside", F.array(every))).alias("by"))
+    moved = F.substring("w", 1, 1) != F.substring("v", 1, 1)
+    there = words.join(near, "w").select("fid", "v", F.explode(F.when(moved, F.concat("beside", F.array(every))).otherwise(F.col("beside"))).alias("by"))
+    there = there.unionByName(runs.join(near, "w").select("fid", "v", every.alias("by")))
+    met = there.join(here, ["v", "by"]).filter("fid <> gid")
+    return met.select(F.least("fid", "gid").alias("fid"), F.greatest("fid", "gid").alias("gid")).distinct()
+
+
 def name_groups(names: DataFrame, col: str = "name") -> DataFrame:
     """(name, group): spellings of one supplier share a group; spellings of no supplier and null are left out.
 
@@ -265,25 +356,24 @@ def name_groups(names: DataFrame, col: str = "name") -> DataFrame:
        legal forms, branches and particles, given names without short forms).
     2. Distinct words go into a symmetric-delete index: two words within one or two
        edits share a form with as many letters deleted.  Words run together are
-       found as they are indexed, too.
-    3. Forms that share a close word are aligned by optimal assignment of their
-       words, initials and abbreviations permitted.
+       found as they are indexed, too; words of two and three letters must be equal.
+    3. Forms that share a close word and one thing more (see :func:`candidates`) are
+       aligned by optimal assignment of their words, initials and abbreviations
+       permitted, however many words they have.
     4. Sure alignments are joined into groups by minimum labels.  A group without a
        complete form (words dropped, initials only) joins the group with a complete
        form that it fits, if there is exactly one; if it fits several it stays apart.
+       A name of initials alone is linked to nothing.
 
-    Nothing is capped: a frequent word costs as many comparisons as forms share it.
+    Nothing is capped.  A word shared by n forms costs as many comparisons as forms
+    share it and a letter, line of business or given name beside it.
     """
     d = names.select(F.col(col).alias("name")).filter("name is not null").distinct()
     d = d.withColumn("p", parsed("name")).filter("p.core is not null").select("name", "p.*")
     d = cut(d.withColumn("form", F.concat_ws("|", F.array_join(F.array_sort("core"), " "), F.array_join(F.array_sort("given"), " "), F.array_join(F.array_sort("biz"), " "))))
-    forms = cut(d.groupBy("form").agg(F.min("name").alias("n"), F.min_by("core", "name").alias("core"), F.min_by("given", "name").alias("given"), F.min_by("biz", "name").alias("biz")).withColumn("fid", F.xxhash64("form")))
-    words = cut(forms.select("fid", F.explode(index_words("core")).alias("w")))
-    own = words.select("w").distinct()
-    index = own.select("w", F.explode(delete_neighbours("w")).alias("k")).select("w", F.xxhash64("k").alias("k"))
-    near = index.alias("i").join(index.alias("j"), "k").filter("i.w < j.w").select(F.col("i.w").alias("w"), F.col("j.w").alias("v")).distinct().filter(close_words("w", "v"))
-    near = cut(near.unionByName(near.select(F.col("v").alias("w"), F.col("w").alias("v"))).unionByName(own.select("w", F.col("w").alias("v"))))
-    cand = words.join(near, "w").join(words.select(F.col("fid").alias("gid"), F.col("w").alias("v")), "v").filter("fid < gid").select("fid", "gid").distinct()
+    # numbered as they are written: no two forms share a number
+    forms = cut(d.groupBy("form").agg(F.min(F.struct("name", "core", "given", "biz")).alias("f")).select("form", "f.core", "f.given", "f.biz").withColumn("fid", F.monotonically_increasing_id()))
+    cand = candidates(forms)
     f = forms.select("fid", "core", "given", "biz")
     g = f.select([F.col(c).alias({"fid": "gid", "core": "core2", "given": "given2", "biz": "biz2"}[c]) for c in f.columns])
     pairs = cut(cand.join(f, "fid").join(g, "gid").withColumn("how", _align_udf()("core", "given", "biz", "core2", "given2", "biz2")).filter("how is not null").select("fid", "gid", "how"))
@@ -297,7 +387,7 @@ def name_groups(names: DataFrame, col: str = "name") -> DataFrame:
     gl = both.join(lab, "fid").join(lab.select(F.col("fid").alias("gid"), F.col("grp").alias("other")), "gid").filter("grp <> other").select("grp", "other").distinct()
     gl = gl.join(anchors, "grp", "left_anti").join(anchors.withColumnRenamed("grp", "other"), "other", "left_semi")
     joined = gl.groupBy("grp").agg(F.count("*").alias("n"), F.min("other").alias("top")).filter("n = 1").select("grp", "top")
-    out = d.select("name", F.xxhash64("form").alias("fid")).join(lab, "fid").join(joined, "grp", "left")
+    out = d.select("name", "form").join(forms.select("form", "fid"), "form").join(lab, "fid").join(joined, "grp", "left")
     return out.select("name", F.coalesce("top", "grp").alias("group"))
 
 
@@ -305,8 +395,8 @@ def variant_pairs(names: DataFrame, col: str = "name") -> DataFrame:
     """name_a < name_b: two different spellings, as stored, of one supplier; see :func:`name_groups`.
 
     Null, empty and filler names give no pair; repeated names count once; an empty
-    table gives no rows.  Long names are aligned whole; beyond nine words two names
-    must have the same words.  Other columns are ignored.
+    table gives no rows.  Long names and long words are compared whole.  Other columns
+    are ignored.
     """
     g = cut(name_groups(names, col))
     # compared as bytes, which orders UTF-8 by code point
