@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,13 +13,14 @@ from pyspark.sql import types as T
 
 from ..session import cut
 
-# Letters that look the same, one row per shape: Latin, Cyrillic, Greek ("." where a script has none).
+# Letters that look the same, one row per shape, by script in the order of SCRIPTS ("." where a script has none).
 SHAPES = """
-AАΑ BВΒ CСϹ EЕΕ GԌ. HНΗ IІΙ JЈͿ KКΚ MМΜ N.Ν OОΟ PРΡ QԚ. SЅ. TТΤ VѴ. WԜ. XХΧ YҮΥ ZꓜΖ
-aаα cсϲ dԁ. eе. hһ. iі. jјϳ oоο pрρ qԛ. sѕ. vѵν wԝ. xх. yу.
-.ПΠ .ГΓ .ФΦ
+AАΑ.Ꭺꓮ BВΒ.Ᏼꓐ CСϹ.Ꮯꓚ D...Ꭰꓓ EЕΕ.Ꭼꓰ F.Ϝ..ꓝ GԌ..Ꮐꓖ HНΗ.Ꮋꓧ IІΙ..ꓲ JЈͿ.Ꭻꓙ KКΚ.Ꮶꓗ L...Ꮮꓡ MМΜ.Ꮇꓟ N.Ν..ꓠ OОΟՕ.ꓳ PРΡ.Ꮲꓑ QԚ.... R...Ꭱꓣ SЅ.ՏᏚꓢ
+TТΤ.Ꭲꓔ U..Ս.ꓴ VѴ..Ꮩꓦ WԜ..Ꮃꓪ XХΧ..ꓫ YҮΥ..ꓬ Z.Ζ.Ꮓꓜ
+aаα... cсϲ... dԁ.... eе.... g..ց.. hһ.հ.. iі.... jјϳ... lӏ.... n..ո.. oоοօ.. pрρ... qԛ.զ.. sѕ.... u..ս.. vѵν... wԝ.... xх.... yу....
+.ПΠ... .ГΓ... .ФΦ...
 """.split()
-SCRIPTS = ("LATIN", "CYRILLIC", "GREEK")
+SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE", "LISU")
 #: shape of a letter -> its spelling by script
 SPELL = {}
 for _row in SHAPES:
@@ -35,26 +37,51 @@ TABLE = {ord(c): None for c in UNSEEN} | {c: None for c in range(0xFE00, 0xFE10)
 TABLE |= str.maketrans({"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "Ǆ": "DŽ", "ǆ": "dž", "Ǉ": "LJ", "ǉ": "lj", "Ǌ": "NJ", "ǌ": "nj", "Ĳ": "IJ", "ĳ": "ij"})
 #: Half-width katakana and their marks take their ordinary forms.
 TABLE |= {c: unicodedata.normalize("NFKC", chr(c)) for c in range(0xFF65, 0xFFA0)}
+#: Letters and figures in another type face (bold, script, double-struck and so on) and roman numerals take their ordinary forms, by their own decompositions.
+TABLE |= {c: unicodedata.normalize("NFKC", chr(c)) for lo, hi in ((0x2100, 0x2150), (0x1D400, 0x1D800), (0x1EE00, 0x1EF00)) for c in range(lo, hi) if unicodedata.decomposition(chr(c)).startswith("<font>")}
+TABLE |= {c: unicodedata.normalize("NFKC", chr(c)) for c in range(0x2160, 0x2180) if unicodedata.decomposition(chr(c)).startswith("<compat>")}
+# Second letters of one script for one shape - script g, micro sign, Kelvin, Ohm and Angstrom signs (by NFD), palochka.
+TABLE |= str.maketrans({"\u0261": "g", "\u00b5": "\u03bc", "\u04c0": "\u0406"})
 #: A text of only these characters is its own form.
 PLAIN = re.compile(r"[\t\n\r -~ª°ºÀ-ÖØ-öø-ÿ]*")
 TOKEN = re.compile("[^\\W\\d_](?:[^\\W\\d_]|[\u0300-\u036f])*")
-FOREIGN = re.compile("[\u0370-\u052f\ua4dc]")
+FOREIGN = re.compile("[\u0370-\u058f\u13a0-\u13ff\uab70-\uabbf\ua4d0-\ua4ff]")
+#: Writing systems that use several scripts together: a letter of one belongs to the system as well.
+SYSTEMS = {"CJK": ("JAPANESE", "KOREAN", "CHINESE"), "HIRAGANA": ("JAPANESE",), "KATAKANA": ("JAPANESE",), "HANGUL": ("KOREAN",), "BOPOMOFO": ("CHINESE",)}
 
 
+@lru_cache(20_000)
+def own_scripts(c: str) -> frozenset:
+    """Resolved script set of one letter: its script and the writing systems that use it; empty for marks and signs, which go with any."""
+    if unicodedata.combining(c) or not c.isalpha():
+        return frozenset()
+    script = unicodedata.name(c, "?").replace("HALFWIDTH ", "").replace("KATAKANA-HIRAGANA", "KATAKANA").split(" ")[0]
+    return frozenset([script, *SYSTEMS.get(script, ())])
+
+
+@lru_cache(20_000)
 def scripts_of(c: str) -> frozenset:
     """Scripts in which the letter's shape exists; empty for marks, which go with any letter."""
-    if c in SPELL:
-        return frozenset(SPELL[c])
-    if unicodedata.combining(c):
-        return frozenset()
-    return frozenset([unicodedata.name(c, "?").split(" ")[0]])
+    return frozenset(SPELL[c]) if c in SPELL else own_scripts(c)
+
+
+def script_use(token: str) -> str:
+    """'mixed' if no script holds all letters of a token as they are, 'whole' if one does but another script has all its shapes, else 'single'."""
+    t = unicodedata.normalize("NFD", token.translate(TABLE))
+    own = [x for x in map(own_scripts, t) if x]
+    if not own:
+        return "single"
+    if not frozenset.intersection(*own):
+        return "mixed"
+    shapes = frozenset.intersection(*[x for x in map(scripts_of, t) if x])
+    return "whole" if shapes - frozenset.union(*own) and "LATIN" not in own[0] else "single"
 
 
 def spell(token: str) -> str:
     """A token (decomposed) in one script.
 
     The script sets of its letters' shapes are intersected.  Of the scripts left
-    the first of Latin, Cyrillic, Greek spells the whole token - a whole-script
+    the first in the order of SCRIPTS spells the whole token - a whole-script
     look-alike therefore becomes Latin.  Where none is left the token mixes
     scripts in earnest and each shape takes its first script.  The result depends
     on shapes only, so tokens that look the same come out equal.
@@ -96,6 +123,34 @@ def with_visual_form(df: DataFrame, text: str = "text", out: str = "form") -> Da
     return df.withColumn(out, visual_form_udf(F.col(text)))
 
 
+def script_findings(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, mixed, whole): tokens of each text that mix scripts, and tokens of one script that another script could spell alike.
+
+    Null texts have null counts; texts without letters have 0.
+    """
+
+    @F.pandas_udf("mixed int, whole int")
+    def count(s: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in s:
+            use = [] if not isinstance(x, str) or PLAIN.fullmatch(x) else [script_use(m) for m in TOKEN.findall(x) if not m.isascii()]
+            rows.append((use.count("mixed"), use.count("whole")) if isinstance(x, str) else (None, None))
+        return pd.DataFrame(rows, columns=["mixed", "whole"]).astype("Int32")
+
+    return df.select(F.col(id_col), count(F.col(text)).alias("_c")).select(id_col, "_c.mixed", "_c.whole")
+
+
+def same_looking_groups(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, group_id): the smallest id of all texts that look the same, exact copies included; texts without a visible character have none.
+
+    The linear form of :func:`same_looking_pairs`: one row a text, however many look alike.
+    """
+    d = df.select(F.col(id_col).alias("_id"), visual_form_udf(F.col(text)).alias("_f")).filter("_id is not null")
+    d = cut(d.select("_id", F.when(F.length(F.regexp_replace("_f", r"(?U)\s", "")) > 0, F.sha2("_f", 256)).alias("_f")))
+    g = d.filter("_f is not null").groupBy("_f").agg(F.min("_id").alias("group_id"))
+    return d.join(g, "_f", "left").select(F.col("_id").alias(id_col), "group_id")
+
+
 def same_looking_pairs(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Pairs id_a < id_b of texts that look the same but differ in code points.
 

@@ -80,8 +80,26 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_visual_form(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "form")
 
 
+def p8_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lookalike import same_looking_groups
+
+    return same_looking_groups(read_table(spark, sf_dir, "documents"))
+
+
+def p8_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lookalike import script_findings
+
+    return script_findings(read_table(spark, sf_dir, "documents"))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .names import name_groups, supplier_names
+
+    return name_groups(supplier_names(read_table(spark, sf_dir, "transacoes"), read_table(spark, sf_dir, "golden_dataset")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_texts, p2_found, p3_found, p4_found, p5_found, p5_matches, p6_ids, p7_mix, p7_shares, p8_found, p8_forms)}
+    return {f.__name__: f for f in (p1_found, p1_texts, p2_found, p3_found, p4_found, p5_found, p5_matches, p6_ids, p7_mix, p7_shares, p8_found, p8_forms, p3_groups, p8_groups, p8_scripts)}
 
 
 def oracle_sql() -> dict[str, str]:
