@@ -114,6 +114,18 @@ def edits(n: int) -> int:
     return 0 if n < 4 else 1 if n < 6 else 2
 
 
+def letters_of(w: str) -> int:
+    """The letters in use as bits."""
+    out = 0
+    for c in w:
+        out |= 1 << (ord(c) & 31)
+    return out
+
+
+#: Words that may be misspelt: lines of business of six letters and more, then given names; with length, letters, edits and meaning.
+_FUZZY = [(x, len(x), letters_of(x), 1 if len(x) < 9 else 2, ("business", WORD_BUSINESS[x])) for x in _LONG] + [(x, len(x), letters_of(x), 1, ("given", x)) for x in SHORT if len(x) >= 6]
+
+
 @lru_cache(400_000)
 def word_kind(w: str) -> tuple[str, str]:
     """('business', code), ('given', name), ('drop', '') or ('core', word) for one word."""
@@ -123,13 +135,13 @@ def word_kind(w: str) -> tuple[str, str]:
         return "business", WORD_BUSINESS[w]
     if w in FIRST:
         return "given", FIRST[w]
-    if len(w) >= 6:
-        for x in _LONG:
-            if abs(len(x) - len(w)) <= 2 and osa(w, x, 1 if len(x) < 9 else 2) <= (1 if len(x) < 9 else 2):
-                return "business", WORD_BUSINESS[x]
-        for x in SHORT:
-            if len(x) >= 6 and osa(w, x, 1) <= 1:
-                return "given", x
+    n = len(w)
+    if n >= 6:
+        mask = letters_of(w)
+        for x, m, letters, most, kind in _FUZZY:
+            # an edit changes the length by one and the letters in use by two at most
+            if -most <= m - n <= most and (letters ^ mask).bit_count() <= 2 * most and osa(w, x, most) <= most:
+                return kind
     if len(w) >= 4:  # a line of business cut off at the end of a narrow field
         begun = {WORD_BUSINESS[x] for x in _LONG if x.startswith(w)}
         if len(begun) == 1:
