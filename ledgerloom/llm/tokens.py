@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 from collections.abc import Iterator
@@ -54,10 +55,19 @@ SELECT wid, list(tok ORDER BY pos) AS ids FROM state WHERE tok >= 0 GROUP BY wid
 """
 
 
+#: Letters of contracted words that a task remembers for its next batches.
+REMEMBERED = 4_000_000
+
+
 class WordEncoder:
-    """Ids of distinct words; one DuckDB connection with the merge table per task."""
+    """Ids of distinct words; one DuckDB connection with the merge table per task.
+
+    Words contracted for one batch are remembered for the next ones of the task, up
+    to :data:`REMEMBERED` letters; then it begins anew.
+    """
 
     def __init__(self, path: str):
+        self.forget()
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         vocab = model["vocab"]
@@ -71,6 +81,10 @@ class WordEncoder:
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
         self.cut = regex.compile(PATTERN)
 
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.off, self.ids, self.letters = np.zeros(1, np.int64), np.zeros(0, np.int32), 0
+
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids): the ids of word k are ids[offsets[k]:offsets[k + 1]]."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
@@ -87,8 +101,10 @@ class WordEncoder:
         return np.r_[0, np.cumsum(np.diff(ids.offsets.to_numpy()))], ids.flatten().to_numpy()
 
     def encode(self, texts: list[str | None]) -> pa.Array:
-        """Ids of each text; the distinct words of all texts are contracted together, once."""
-        number: dict[str, int] = {}
+        """Ids of each text; the distinct words of all texts that are not remembered are contracted together, once."""
+        if self.letters > REMEMBERED:
+            self.forget()
+        number, start = self.number, len(self.number)
         seq, count = [], np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
             if t:
@@ -97,7 +113,12 @@ class WordEncoder:
                 seq.extend([number.setdefault(w, len(number)) for w in ws])
         if not number:
             return pa.ListArray.from_arrays(pa.array(np.zeros(len(texts) + 1), pa.int32()), pa.array([], pa.int32()))
-        off, ids = self.encode_words(list(number))
+        fresh = list(itertools.islice(number, start, None))
+        if fresh:
+            off, ids = self.encode_words(fresh)
+            self.off, self.ids = np.r_[self.off, self.off[-1] + off[1:]], np.r_[self.ids, ids]
+            self.letters += sum(map(len, fresh))
+        off, ids = self.off, self.ids
         k = np.array(seq, np.int64)
         size = (off[1:] - off[:-1])[k]
         where = np.repeat(off[k] - (np.cumsum(size) - size), size) + np.arange(size.sum())

@@ -24,6 +24,17 @@ def test_against_the_library(gold):
     assert WordEncoder(PATH).encode(TEXTS).to_pylist() == gold
 
 
+def test_words_are_remembered(gold, monkeypatch):
+    """Batches one after the other, with and without forgetting in between, give the same ids."""
+    from ledgerloom.llm import tokens
+
+    for most in (4_000_000, 100):
+        monkeypatch.setattr(tokens, "REMEMBERED", most)
+        e = WordEncoder(PATH)
+        assert [ids for k in range(0, len(TEXTS), 7) for ids in e.encode(TEXTS[k : k + 7]).to_pylist()] == gold
+        assert e.encode([None, ""]).to_pylist() == [[], []]
+
+
 def test_corpus(spark, gold):
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(TEXTS)], "doc_id long, text string, ids string")
     got = {x["doc_id"]: x["ids"] for x in encode_corpus(df, at_once=300).collect()}
