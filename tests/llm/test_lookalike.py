@@ -1,7 +1,7 @@
 import itertools
 import random
 
-from ledgerloom.llm.lookalike import SPELL, same_looking_pairs, spell, visual_form, with_visual_form
+from ledgerloom.llm.lookalike import SPELL, same_looking_groups, same_looking_pairs, script_findings, script_use, spell, visual_form, with_visual_form
 
 SAME = [
     ("À atenção do financeirο", "À atenção do financeiro"),
@@ -15,7 +15,7 @@ SAME = [
     ("Оplatа", "Oplata"),
     ("で", "で"),
 ]
-DIFFERENT = [("a", "A"), ("e", "é"), ("1", "2"), ("nº", "no"), ("a\nb", "a b"), ("0", "O"), ("l", "1"), ("x", "x!"), ("ё", "е")]
+DIFFERENT = [("a", "A"), ("e", "é"), ("1", "2"), ("nº", "no"), ("a\nb", "a b"), ("0", "O"), ("l", "1"), ("x", "x!"), ("ё", "е"), ("ı", "i"), ("x²", "x2"), ("ʼ", "'")]
 
 
 def test_forms():
@@ -34,6 +34,17 @@ def test_script_choice():
     assert spell("жa") == spell("жа")
 
 
+def test_script_sets():
+    assert [script_use(x) for x in ("boleto", "bоleto", "рара", "привет", "日本カタカナ", "한국漢字", "Ａbc", "123", "")] == ["single", "mixed", "whole", "single", "single", "single", "single", "single", "single"]
+
+
+def test_groups_and_findings(spark):
+    df = spark.createDataFrame([(3, "boleto рара", "z"), (1, "bоleto papa", "z"), (2, "outro", "z"), (4, None, "z"), (5, " ", "z"), (6, "boleto papa", "z")], "doc_id long, text string, form string")
+    assert {tuple(r) for r in same_looking_groups(df).collect()} == {(1, 1), (3, 1), (6, 1), (2, 2), (4, None), (5, None)}
+    assert {tuple(r) for r in script_findings(df).collect()} == {(3, 0, 1), (1, 1, 0), (2, 0, 0), (4, None, None), (5, 0, 0), (6, 0, 0)}
+    assert same_looking_groups(df.limit(0)).count() == script_findings(df.limit(0)).count() == 0
+
+
 def test_any_swap_of_shapes_keeps_the_form():
     r = random.Random(1)
     for _ in range(200):

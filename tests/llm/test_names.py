@@ -40,6 +40,55 @@ def test_align():
     assert all(align(p(a), p(b)) is None for a, b in differ)
 
 
+def test_long_words_and_names():
+    """Edits in words of any length, swaps at the edge of what the index looks at, and names of ten words and more."""
+    assert osa("x" * 20_000, "x" * 10_000 + "y" + "x" * 9_999) == 1
+    for a, b in (("abcdefghijklmnop", "abcdefghikjlmnop"), ("abcdefghijklmnop", "xabcdefghijlmnop"), ("abcdefghij" * 10, "abcdefghij" * 9 + "abcdefghi")):
+        assert osa(a, b) <= 2 and deletes(a, 2) & deletes(b, 2)
+    ten = "ALTOVEL BRANQUEL CASTAVEL DOMIVEL ESTAVREL FRANTOVEL GRANTUVEL HORTIVEL JANTOVREL LUMIVREL"
+    assert align(p(ten), p(ten.replace("LUMIVREL", "LUMIVRAL"))) == "full"
+    assert align(p(ten), p(" ".join(reversed(ten.split())))) == "full"
+
+
+def test_short_words_and_shared_words(spark):
+    """Words of two and three letters count, and a word that many suppliers share links none of them."""
+    shared = [f"BRENTUVAL {w} PNEUS LTDA" for w in ("ACMELOR", "DOMINTRA", "FOLQUENT", "GARDUMES", "HESPIRUL", "JUNTOLAR", "KRIMBALO", "LOSTREVI")]
+    rows = ["TIM XPO", "TIM XPOO", "TIM QRA", *shared, "Acmelor Brentuval Pneu's"]
+    got = set(map(tuple, variant_pairs(spark.createDataFrame([(x,) for x in rows], "name string")).collect()))
+    assert got == {("TIM XPO", "TIM XPOO"), tuple(sorted((shared[0], rows[-1])))}
+
+
+def test_candidates_against_all_pairs(spark):
+    """Every two forms that align are candidates."""
+    from ledgerloom.llm.names import candidates
+
+    r = random.Random(7)
+    syl = ["BRA", "TUL", "NEM", "DOR", "VIS", "CAL"]
+    word = lambda: "".join(r.choice(syl) for _ in range(r.randrange(2, 4)))
+
+    def typo(w):
+        k = r.randrange(len(w))
+        return r.choice([w, w, w[:k] + w[k + 1 :], w[:k] + "X" + w[k:], w[:k] + w[k + 1 : k + 2] + w[k : k + 1] + w[k + 2 :], w[0]])
+
+    names = []
+    for _ in range(25):
+        base = [word() for _ in range(r.randrange(1, 4))] + r.choice([["PNEUS"], [], ["SEMENTES"]]) + r.choice([[], ["MARIA"]])
+        for _ in range(4):
+            v = [typo(w) if w not in ("PNEUS", "SEMENTES", "MARIA") else w for w in base]
+            r.shuffle(v)
+            names.append(" ".join(v) if r.random() < 0.8 else "".join(v[:2]) + " " + " ".join(v[2:]))
+    forms = {}
+    for n in names:
+        q = parse_name(n)
+        if q:
+            forms.setdefault(tuple(map(tuple, map(sorted, q))), q)
+    rows = [(i, *q) for i, q in enumerate(forms.values())]
+    df = spark.createDataFrame(rows, "fid long, core array<string>, given array<string>, biz array<string>")
+    got = set(map(tuple, candidates(df).collect()))
+    want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if align(tuple(a[1:]), tuple(b[1:])) and any(len(x) > 1 for x in a[1])}
+    assert want and want <= got and len(got) < len(rows) * (len(rows) - 1) // 2
+
+
 def test_pairs(spark):
     a = ["ACMELOR BELTRANO PNEUS LTDA", "Acmelor Beltrano Pn.", "BELTRANO ACMELOR PNEUS", "ACMELOR B. PNEUS", "ACMELORBELTRANO PNEUS ME", "acmelor beltrano pneus ltda", "Acmelor Beltramo Pneus - FILIAL 02"]
     b = ["ACMELOR BELTRANO SEGUROS S/A", "Seguros Acmelor Beltrano"]
