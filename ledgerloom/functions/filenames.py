@@ -51,7 +51,7 @@ def file_number(path: Column) -> Column:
     kinds = F.transform(p, lambda x, i: F.when(F.upper(x).rlike("^(" + "|".join(KINDS) + ")"), i))
     at = F.array_max(kinds)
     tail = F.trim(F.array_join(F.slice(p, at + 2, 1000), "_"))
-    run = F.regexp_extract(F.array_join(F.transform(p, F.trim), "_"), _RUN, 1)
+    run = F.regexp_extract(F.array_join(F.transform(p, lambda x: F.trim(x)), "_"), _RUN, 1)
     return F.when(F.length(tail) > 0, tail).otherwise(F.when(run != "", run))
 
 

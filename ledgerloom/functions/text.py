@@ -37,10 +37,20 @@ ORDERED = [
     ("EXTRATO", ["EXTRATO"]),
     ("COMPROVANTE", ["COMPROVANTE"]),
 ]
-# Words of a planned payment, of a made one, and phrases that deny a plan.
-PLANNED = ["AGENDAMENTO", "AGENDADO", "AGENDADA", "PREVISTO", "PREVISTA", "PROGRAMADO", "PROGRAMADA", "DATA PROGRAMADA", "PAGAMENTO PROGRAMADO", "ORDEM FUTURA", "PREVISAO DE DEBITO", "AGENDAR PAGAMENTO", "DEBITO FUTURO", "PAGAMENTO SERA EFETUADO"]
-MADE = ["PAGAMENTO EFETUADO", "PAGAMENTO REALIZADO", "TRANSACAO EFETUADA", "COMPROVANTE DE PAGAMENTO", "PAGO EM", "DEBITO EFETUADO", "LIQUIDADO"]
+# Fixed values, without accents as texts are folded: words of a planned payment, and phrases that deny a plan.
+PLANNED = [
+    "AGENDAMENTO", "AGENDADO", "PREVISTO", "DATA PROGRAMADA", "PAGAMENTO PROGRAMADO", "ORDEM FUTURA",
+    "PREVISAO DE DEBITO", "AGENDAR PAGAMENTO", "PAGAMENTO AGENDADO PARA", "DATA PREVISTA", "DEBITO FUTURO", "PAGAMENTO SERA EFETUADO", "CONFIRMACAO DE AGENDAMENTO",
+    "TRANSFERENCIA AGENDADA", "PIX AGENDADO", "TED AGENDADA", "DOC AGENDADO",
+]
 DENIED = ["NAO HOUVE AGENDA", "NAO AGENDADO", "SEM AGENDAMENTO"]
+# Words that are counted for a planned and for a made payment.
+COUNT_PLANNED = ["AGENDAMENTO", "AGENDADO", "PREVISAO DE DEBITO", "DEBITAR EM", "SOLICITACAO DE", "AUTORIZACAO PENDENTE"]
+COUNT_MADE = ["COMPROVANTE", "AUTENTICACAO", "PAGO", "QUITADO", "LIQUIDADO", "DEBITO EFETUADO", "PAGAMENTO REALIZADO"]
+# Words that confirm a bank's payment, the bank's authentication, and the mark that counts three.
+CONFIRMED = ["PAGAMENTO EFETUADO", "TRANSACAO EFETUADA", "TRANSFERENCIA REALIZADA", "PIX ENVIADO", "TED ENVIADA", "DOC ENVIADO", "DEBITO EFETUADO", "OPERACAO REALIZADA"]
+AUTHENTICATION = r"\b([A-Z0-9])\.([A-Z0-9]{3})\.([A-Z0-9]{3})\.([A-Z0-9]{3})\b"
+MARK = r"SISBB[=:\s]*[0-9X.]+"
 
 
 def _any(up: Column, words: list[str]) -> Column:
@@ -103,12 +113,22 @@ def is_planned(text: Column) -> Column:
     return ~_any(up, DENIED) & _any(up, PLANNED)
 
 
-def payment_state(text: Column) -> tuple[Column, Column, Column]:
-    """(state, words for planned, words for made): the larger count wins, an authentication code counts three."""
+def payment_state(text: Column) -> tuple[Column, Column, Column, Column]:
+    """(state, confidence, words for planned, words for made): planned if those are more, confirmed if any speaks for it, else pending; the bank's mark counts three."""
+    up = fold(F.coalesce(text, F.lit("")))
+    planned, made = _count(up, COUNT_PLANNED), _count(up, COUNT_MADE) + F.when(up.rlike(MARK), 3).otherwise(0)
+    state = F.when(planned > made, "PLANNED").when(made > 0, "CONFIRMED").otherwise("PENDING")
+    sure = F.when(planned > made, F.least(F.lit(0.9), 0.6 + planned * 0.1)).when(made > 0, F.least(F.lit(0.95), 0.7 + made * 0.1)).otherwise(0.5)
+    return state, F.round(sure, 6), planned, made
+
+
+def bank_payment(text: Column) -> tuple[Column, Column]:
+    """(reason, authentication): planned, confirmed with and without authentication, probable by authentication alone, or nothing said."""
     up = fold(F.coalesce(text, F.lit("")))
-    planned = F.when(_any(up, DENIED), 0).otherwise(_count(up, PLANNED))
-    made = _count(up, MADE) + F.when(up.rlike(r"SISBB|AUTENTICACAO\s+\d{6,}"), 3).otherwise(0)
-    return F.when((planned == 0) & (made == 0), "PENDING").when(planned > made, "PLANNED").otherwise("CONFIRMED"), planned, made
+    auth = F.nullif(F.regexp_extract(up, AUTHENTICATION, 0), F.lit(""))
+    said = _any(up, CONFIRMED)
+    reason = F.when(_any(up, PLANNED), "PLANNED").when(said & auth.isNotNull(), "CONFIRMED").when(said, "CONFIRMED_UNSIGNED").when(auth.isNotNull(), "PROBABLE").otherwise("NOTHING")
+    return reason, auth
 
 
 def route_by_length(text: Column, least: int = 200) -> Column:

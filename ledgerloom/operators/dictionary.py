@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import pair_udf, sequence_ratio
-from ..session import size_in_bytes
+from ..session import cut, size_in_bytes
 
-#: A dictionary larger than this is joined by shuffle instead of being sent to every task.
+#: A dictionary is sent to tasks in blocks of at most this many bytes.
 BROADCAST_LIMIT = 8 << 20
 
 
@@ -17,21 +19,62 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size_in_bytes(df) <= BROADCAST_LIMIT else df
 
 
+def blocks(df: DataFrame, key: str) -> list[DataFrame]:
+    """``df`` in parts by hash, each small enough to be sent to every task.
+
+    A table that is large or of unknown size is written first, which tells its true size.
+    """
+    if size_in_bytes(df) > BROADCAST_LIMIT:
+        df = cut(df)
+    n = -(-size_in_bytes(df) // BROADCAST_LIMIT)
+    return [F.broadcast(df if n <= 1 else df.filter(F.pmod(F.xxhash64(key), F.lit(n)) == i)) for i in range(max(1, n))]
+
+
+def _begin(c: str) -> Column:
+    """The first letters of a text, three or all it has, with their number."""
+    n = F.least(F.lit(3), F.length(c))
+    return F.concat(n, F.lit(":"), F.substring(c, 1, 3))
+
+
+def _grams(c: str) -> Column:
+    """All runs of one, two and three letters of a text, with their number."""
+
+    def all_of(q: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(c) - (q - 1)), lambda i: F.concat(F.lit(f"{q}:"), F.substr(F.col(c), i, F.lit(q))))
+
+    runs = [all_of(q) for q in (1, 2, 3)]
+    empty = F.array().cast("array<string>")
+    return F.array_distinct(F.concat(*[F.when(F.length(c) >= q, r).otherwise(empty) for q, r in zip((1, 2, 3), runs)]))
+
+
+def containing(a: DataFrame, b: DataFrame, ca: str, cb: str) -> DataFrame:
+    """Pairs of rows of which one text contains the other, each pair once.
+
+    What is contained meets what contains it under its first letters, so this is an
+    equi-join whatever the sizes; containment itself is the residual condition.
+    Empty texts are in no pair.
+    """
+    inside = a.filter(F.length(ca) > 0).withColumn("_g", _begin(ca)).join(b.withColumn("_h", F.explode(_grams(cb))), (F.col("_g") == F.col("_h")) & F.contains(F.col(cb), F.col(ca)))
+    around = a.withColumn("_g", F.explode(_grams(ca))).join(b.filter(F.length(cb) > 0).withColumn("_h", _begin(cb)), (F.col("_g") == F.col("_h")) & F.contains(F.col(ca), F.col(cb)) & (F.col(ca) != F.col(cb)))
+    return inside.unionByName(around).drop("_g", "_h")
+
+
 def match_names(names: DataFrame, known: DataFrame, name: str, least: float = 0.6, fuzzy: bool = True) -> DataFrame:
     """(name, canonical, score, tier) of the best dictionary entry for each distinct name.
 
     ``known`` has name, canonical and ord (place in the dictionary).  Tiers: 1 equal;
     2 one contains the other, by share of the longer, first in dictionary order; 3
     shared words over the fewer words, best first; 4 matching blocks.  Tier 1 is an
-    equi-join and tier 3 joins on words; only names without an earlier hit reach
-    the containment and matching-block tiers.
+    equi-join, tier 2 joins on first letters and tier 3 on words; only names without
+    an earlier hit reach the matching blocks, which compare them with the dictionary
+    as a stated query set, block by block.
     """
     d = names.select(F.upper(F.trim(name)).alias("name")).filter("name is not null and name <> ''").distinct()
     k = known.select(F.upper(F.trim("name")).alias("kname"), "canonical", "ord")
     one = d.join(small(k), F.col("name") == F.col("kname")).groupBy("name").agg(F.max_by("canonical", "ord").alias("canonical")).select("name", "canonical", F.lit(1.0).alias("score"), F.lit(1).alias("tier"))
     rest = d.join(one, "name", "left_anti")
     share = F.length("name") / F.greatest(F.length("kname"), F.length("name"))
-    two = rest.join(small(k), F.contains("kname", F.col("name")) | F.contains("name", F.col("kname"))).withColumn("score", share).filter(F.col("score") >= least)
+    two = containing(rest, k, "name", "kname").withColumn("score", share).filter(F.col("score") >= least)
     two = two.groupBy("name").agg(F.min_by(F.struct("canonical", "score"), "ord").alias("b")).select("name", "b.canonical", "b.score", F.lit(2).alias("tier"))
     rest = rest.join(two, "name", "left_anti")
     nw = rest.select("name", F.array_distinct(F.split("name", r"\s+")).alias("w")).withColumn("nn", F.size("w"))
@@ -42,7 +85,9 @@ def match_names(names: DataFrame, known: DataFrame, name: str, least: float = 0.
     out = one.unionByName(two).unionByName(three)
     if fuzzy:
         rest = rest.join(three, "name", "left_anti")
-        four = rest.join(small(k), F.abs(F.length("name") - F.length("kname")) <= F.greatest(F.length("name"), F.length("kname")) * (1 - least) * 2).withColumn("score", pair_udf(sequence_ratio)("name", "kname")).filter(F.col("score") >= least)
+        near = F.abs(F.length("name") - F.length("kname")) <= F.greatest(F.length("name"), F.length("kname")) * (1 - least) * 2
+        met = [rest.join(b, near) for b in blocks(k, "kname")]
+        four = reduce(DataFrame.unionByName, met).withColumn("score", pair_udf(sequence_ratio)("name", "kname")).filter(F.col("score") >= least)
         four = four.groupBy("name").agg(F.min_by(F.struct("canonical", "score"), F.struct(-F.col("score"), F.col("ord"))).alias("b")).select("name", "b.canonical", "b.score", F.lit(4).alias("tier"))
         out = out.unionByName(four)
     return out
@@ -52,4 +97,4 @@ def unwanted(names: DataFrame, banned: DataFrame, name: str) -> DataFrame:
     """Distinct names equal to, containing or contained in a banned one."""
     d = names.select(F.upper(F.trim(name)).alias("name")).filter("name is not null and name <> ''").distinct()
     b = banned.select(F.upper(F.trim("name")).alias("b")).filter("b <> ''").distinct()
-    return d.join(small(b), F.contains("name", F.col("b")) | F.contains("b", F.col("name")), "left_semi")
+    return containing(d, b, "name", "b").select("name").distinct()

@@ -218,3 +218,79 @@ def supplier_flow(a: DataFrame, b: DataFrame) -> DataFrame:
         return pd.DataFrame([(pid[i], nid[j], f) for i, j, f in got], columns=["payment", "bill", "flow"])
 
     return rows.groupBy("s").applyInPandas(send, f"payment {kind}, bill {kind}, flow bigint")
+
+
+def best_flow(cap_a: list[int], cap_b: list[int], profit: np.ndarray) -> np.ndarray:
+    """Amounts x[i, j] of the largest total of x * profit with row sums within cap_a and column sums within cap_b; pairs of profit 0 or less carry nothing.
+
+    Longest augmenting paths, each found by relaxing all pairs at once: the path from
+    a row with something left to a column with room that gains most is filled until
+    none gains anything, which is the optimum of this transportation problem.
+    """
+    p, gained = np.where(profit > 0, profit.astype(float), -np.inf), np.where(profit > 0, profit, 0)
+    ra, rb = np.array(cap_a, dtype=np.int64), np.array(cap_b, dtype=np.int64)
+    x = np.zeros(p.shape, np.int64)
+    while p.size:
+        da, db = np.where(ra > 0, 0.0, -np.inf), np.full(len(rb), -np.inf)
+        via_a, via_b = np.full(len(ra), -1), np.full(len(rb), -1)
+        while True:
+            gain = da[:, None] + p
+            i = gain.argmax(axis=0)
+            top = gain[i, np.arange(len(rb))]
+            better = top > db + 1e-9
+            db[better], via_b[better] = top[better], i[better]
+            back = np.where(x > 0, db[None, :] - gained, -np.inf)
+            j = back.argmax(axis=1)
+            top = back[np.arange(len(ra)), j]
+            moved = top > da + 1e-9
+            da[moved], via_a[moved] = top[moved], j[moved]
+            if not moved.any():
+                break
+        open_ = np.where(rb > 0, db, -np.inf)
+        end = int(open_.argmax())
+        if not open_[end] > 1e-9:
+            break
+        path, col = [], end
+        while True:
+            row = int(via_b[col])
+            path.append((row, col))
+            if via_a[row] < 0:
+                break
+            col = int(via_a[row])
+        most = min([rb[end], ra[path[-1][0]], *(x[path[k][0], path[k + 1][1]] for k in range(len(path) - 1))])
+        for k, (row, col) in enumerate(path):
+            x[row, col] += most
+            if k + 1 < len(path):
+                x[row, path[k + 1][1]] -= most
+        rb[end] -= most
+        ra[path[-1][0]] -= most
+    return x
+
+
+def flow_gap(a: DataFrame, b: DataFrame, pairs: int = 2500) -> DataFrame:
+    """(s, payments, bills, greedy, best): profit of the greedy flow of each supplier and of the best one.
+
+    The profit of a pair is 1000 less its cost in hundredths for each cent sent.  The
+    best flow is sought where a supplier has at most ``pairs`` pairs; beyond that
+    ``best`` is null, as rows times pairs of work would not end.  Columns as in :func:`supplier_flow`.
+    """
+    day = F.datediff("day", F.lit("1970-01-01").cast("date")).alias("day")
+    side = lambda x, n: x.filter("v > 0").select("s", F.lit(n).alias("side"), "id", "v", day, "tag")
+    both = a.select("s").distinct().join(b.select("s").distinct(), "s")
+    rows = side(a, 0).unionByName(side(b, 1)).join(both, "s", "left_semi")
+
+    def send(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        p, n = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
+        days = [[None if pd.isna(d) else int(d) for d in x["day"]] for x in (p, n)]
+        tags = [[None if pd.isna(t) or not t else t for t in x["tag"]] for x in (p, n)]
+        worth = lambda i, j: 1000 - _level(None if days[0][i] is None or days[1][j] is None else days[0][i] - days[1][j])
+        got = flow_of(p["v"].tolist(), n["v"].tolist(), *days, *tags)
+        greedy = sum(f * worth(i, j) for i, j, f in got)
+        best = None
+        if len(p) * len(n) <= pairs:
+            profit = np.array([[worth(i, j) if tags[0][i] is None or tags[1][j] is None or tags[0][i] == tags[1][j] else 0 for j in range(len(n))] for i in range(len(p))]).reshape(len(p), len(n))
+            best = int((best_flow(p["v"].tolist(), n["v"].tolist(), profit) * profit).sum())
+        return pd.DataFrame({"s": [pdf["s"].iloc[0]], "payments": [len(p)], "bills": [len(n)], "greedy": [int(greedy)], "best": pd.array([best], dtype="Int64")})
+
+    return rows.groupBy("s").applyInPandas(send, "s string, payments bigint, bills bigint, greedy bigint, best bigint")

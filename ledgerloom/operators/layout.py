@@ -89,3 +89,34 @@ def gapped_lines(words: DataFrame, gap: float = 10.0) -> DataFrame:
     d = words.withColumn("_y", y).withColumn("_n", F.coalesce((F.col("_y") - F.lag("_y").over(w) >= gap).cast("int"), F.lit(1)))
     d = d.withColumn("line", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return d.groupBy("doc_id", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word", "text"))), lambda x: x["text"]), " ").alias("text"))
+
+
+def slip_anchors(words: DataFrame) -> DataFrame:
+    """(doc_id, field, value): the date below the last 'VENCIMENTO' and the number below the last 'VALOR .. DOCUMENTO' of every document."""
+    w = Window.partitionBy("doc_id").orderBy("word")
+    d = words.withColumns({"_t1": F.lead("text").over(w), "_t2": F.lead("text", 2).over(w), "_bx0": F.lead("x0", 2).over(w), "_bx1": F.lead("x1", 2).over(w), "_by1": F.lead("y1", 2).over(w)})
+
+    def box(rows: DataFrame, field: str, left: str, right: str, low: str, reach: float) -> DataFrame:
+        last = F.max(F.struct("word", F.col(left).alias("l"), F.col(right).alias("r"), F.col(low).alias("y"))).alias("b")
+        return rows.groupBy("doc_id").agg(last).select("doc_id", F.lit(field).alias("field"), (F.col("b.l") - 20).alias("rx0"), F.col("b.y").alias("ry0"), (F.col("b.r") + reach).alias("rx1"), (F.col("b.y") + 35).alias("ry1"))
+
+    due = box(d.filter(F.contains(F.upper("text"), F.lit("VENCIMENTO"))), "due", "x0", "x1", "y1", 100)
+    said = F.contains(F.upper("text"), F.lit("VALOR")) & F.contains(F.concat_ws(" ", F.upper("_t1"), F.upper("_t2")), F.lit("DOCUMENTO")) & F.col("_t2").isNotNull()
+    amount = box(d.filter(said), "amount", "_bx0", "_bx1", "_by1", 80)
+    t = reading_text(boxes_in_regions(words, due.unionByName(amount)), ["doc_id", "field"], "t")
+    value = F.when(F.col("field") == "due", F.regexp_extract("t", "([0-9]{2}/[0-9]{2}/[0-9]{4})", 1)).otherwise(F.regexp_extract("t", "([0-9.]*[0-9][0-9.]*,?[0-9]*)", 1))
+    return t.select("doc_id", "field", value.alias("value")).filter("value <> ''")
+
+
+def largest_below(words: DataFrame, share: float = 0.6) -> DataFrame:
+    """(doc_id, cents): the largest of the first amounts of the blocks that reach below ``share`` of the page's height."""
+    h = words.groupBy("doc_id").agg((F.max("y1") * share).alias("cut"))
+    b = words.groupBy("doc_id", "block").agg(F.max("y1").alias("y"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word", "text"))), lambda s: s["text"]), " ").alias("t"))
+    v = b.join(h, "doc_id").filter("y > cut").withColumn("cents", F.regexp_replace(F.regexp_extract("t", "[0-9][0-9.]*,[0-9]{2}", 0), "[.,]", "").try_cast("bigint"))
+    return v.filter("cents is not null").groupBy("doc_id").agg(F.max("cents").alias("cents"))
+
+
+def sure_text(words: DataFrame, confidence: str, least: float) -> DataFrame:
+    """(doc_id, text): words of at least this confidence in reading order, joined by line breaks."""
+    s = words.filter(F.col(confidence) >= least).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("word", "text"))).alias("ws"))
+    return s.select("doc_id", F.array_join(F.transform("ws", lambda x: x["text"]), "\n").alias("text"))

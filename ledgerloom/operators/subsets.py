@@ -15,15 +15,22 @@ from pyspark.sql.window import Window
 from .ranges import tolerance_join
 
 
-def pair_sums(targets: DataFrame, items: DataFrame, key: str, target: str, value: str, tid: str, iid: str, tol: int) -> DataFrame:
+def pair_sums(targets: DataFrame, items: DataFrame, key: str, target: str, value: str, tid: str, iid: str, tol: int, salts: int = 8) -> DataFrame:
     """(tid, i1, i2, total): two items of the target's key, i1 < i2, whose sum is within ``tol`` of the target.
 
     For every (target, first item) the missing rest is looked up among the items by
-    a tolerance join, so the work follows target-item pairs, not all item pairs.
+    a tolerance join, so the work follows target-item pairs, not all item pairs.  Of
+    two items one is at most half of the target, so only items up to that come first.
+    The rows of a key meet in ``salts`` parts, so a hot key is spread over tasks.
     """
-    one = targets.select(tid, F.col(key).alias("_k"), F.col(target).alias("_t")).join(items.select(F.col(key).alias("_k"), F.col(iid).alias("i1"), F.col(value).alias("v1")), "_k").withColumn("_rest", F.col("_t") - F.col("v1"))
-    two = items.select(F.col(key).alias("_k2"), F.col(iid).alias("i2"), F.col(value).alias("v2"))
-    return tolerance_join(one, two, "_rest", "v2", tol, [("_k", "_k2")]).filter("i1 < i2").select(tid, "i1", "i2", (F.col("v1") + F.col("v2")).alias("total"))
+    part = F.pmod(F.xxhash64(tid), F.lit(salts))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("_p")
+    t = targets.select(tid, F.col(key).alias("_k"), F.col(target).alias("_t"), part.alias("_p"))
+    first = items.select(F.col(key).alias("_k"), F.col(iid).alias("_i"), F.col(value).alias("_v"), every)
+    one = t.join(first, ["_k", "_p"]).filter(F.col("_v") * 2 <= F.col("_t") + tol).withColumn("_rest", F.col("_t") - F.col("_v"))
+    two = items.select(F.col(key).alias("_k2"), F.col(iid).alias("_j"), F.col(value).alias("_w"))
+    met = tolerance_join(one, two, "_rest", "_w", tol, [("_k", "_k2")]).filter("_i <> _j")
+    return met.select(tid, F.least("_i", "_j").alias("i1"), F.greatest("_i", "_j").alias("i2"), (F.col("_v") + F.col("_w")).alias("total")).distinct()
 
 
 def subset_of(values: list[int], target: int, tol: int, most: int, first: bool = True) -> list[tuple[int, ...]]:

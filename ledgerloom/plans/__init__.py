@@ -1,3 +1,3 @@
 """Queries of the engine; importing this package registers them in the catalog."""
 
-from . import fields, matching, precedence, reconcile, reports, scalars, scans  # noqa: F401
+from . import exports, fields, matching, precedence, reconcile, reports, scalars, scans  # noqa: F401

@@ -12,7 +12,7 @@ from ..functions import text as X
 from ..operators import graph
 from .matching import BN, sides, view
 from .reports import TR, distinct_trans, load
-from .scalars import matched_names
+from .scalars import _iso, matched_names
 
 
 @query("match_scores", f"""{BN}, p AS (SELECT b.id AS slip, n.id AS bill, b.v AS bv, n.v AS nv, date_diff('day', n.made, b.due) AS gap FROM b JOIN n ON b.s = n.s WHERE abs(b.v - n.v) <= 0.1 * b.v),
@@ -66,19 +66,27 @@ def persist_pairs(spark, d):
     return g.join(head, "island").filter("doc <> parent_doc_id").select("parent_doc_id", F.col("doc").alias("child_doc_id"), F.lit("EXACT").alias("match_type"))
 
 
-@query("master_date_latest", f"SELECT link_id, arg_max(day, (prio, day)) AS master_date FROM (SELECT link_id, coalesce(payment_date, due_date, emission_date) AS day, CASE WHEN payment_date IS NOT NULL THEN 3 WHEN due_date IS NOT NULL THEN 2 ELSE 1 END AS prio FROM {TR} WHERE link_id IS NOT NULL) WHERE day IS NOT NULL GROUP BY link_id")
+_DAYS = ", ".join(f"{_iso(c)} AS {c}" for c in ("payment_date", "due_date", "emission_date"))
+
+
+def dated(t):
+    """Transactions with their three dates parsed: what is blank or no day is null."""
+    return t.withColumns({c: dates.parse_date(F.col(c)) for c in ("payment_date", "due_date", "emission_date")})
+
+
+@query("master_date_latest", f"SELECT link_id, arg_max(day, (prio, day)) AS master_date FROM (SELECT link_id, coalesce(payment_date, due_date, emission_date) AS day, CASE WHEN payment_date IS NOT NULL THEN 3 WHEN due_date IS NOT NULL THEN 2 ELSE 1 END AS prio FROM (SELECT link_id, {_DAYS} FROM {TR} WHERE link_id IS NOT NULL)) WHERE day IS NOT NULL GROUP BY link_id")
 def master_date_latest(spark, d):
     """The last date of the best kind in each group: payment, then due, then emission."""
-    t = distinct_trans(spark, d).filter("link_id is not null").select("link_id", F.coalesce("payment_date", "due_date", "emission_date").alias("day"), F.when(F.col("payment_date").isNotNull(), 3).when(F.col("due_date").isNotNull(), 2).otherwise(1).alias("prio")).filter("day is not null")
+    t = dated(distinct_trans(spark, d, "link_id is not null")).select("link_id", F.coalesce("payment_date", "due_date", "emission_date").alias("day"), F.when(F.col("payment_date").isNotNull(), 3).when(F.col("due_date").isNotNull(), 2).otherwise(1).alias("prio")).filter("day is not null")
     return t.groupBy("link_id").agg(F.max(F.struct("prio", "day")).alias("m")).select("link_id", F.col("m.day").alias("master_date"))
 
 
-@query("segment_primaries", "SELECT lote_id, arg_min(amount_cents, doc_id) FILTER (amount_cents > 0) AS amount_cents, arg_min(coalesce(due_date, emission_date), doc_id) FILTER (coalesce(due_date, emission_date) IS NOT NULL) AS day FROM (SELECT d.lote_id, t.doc_id, min(t.id) AS id, arg_min(t.amount_cents, t.id) AS amount_cents, arg_min(t.due_date, t.id) FILTER (t.due_date IS NOT NULL) AS due_date, arg_min(t.emission_date, t.id) FILTER (t.emission_date IS NOT NULL) AS emission_date FROM (SELECT DISTINCT * FROM transacoes) t JOIN documentos d ON d.id = t.doc_id GROUP BY 1, 2) GROUP BY lote_id")
+@query("segment_primaries", f"SELECT lote_id, arg_min(amount_cents, doc_id) FILTER (amount_cents > 0) AS amount_cents, arg_min(coalesce(due_date, emission_date), doc_id) FILTER (coalesce(due_date, emission_date) IS NOT NULL) AS day FROM (SELECT d.lote_id, t.doc_id, min(t.id) AS id, arg_min(t.amount_cents, t.id) AS amount_cents, arg_min(t.due_date, t.id) FILTER (t.due_date IS NOT NULL) AS due_date, arg_min(t.emission_date, t.id) FILTER (t.emission_date IS NOT NULL) AS emission_date FROM (SELECT id, doc_id, amount_cents, {_DAYS} FROM {TR}) t JOIN documentos d ON d.id = t.doc_id GROUP BY 1, 2) GROUP BY lote_id")
 def segment_primaries(spark, d):
     """First amount above zero and first date of each batch, by page."""
     docs = load(spark, d, "documentos").select(F.col("id").alias("doc_id"), "lote_id")
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(c)
-    t = distinct_trans(spark, d).join(docs, "doc_id").groupBy("lote_id", "doc_id").agg(first("amount_cents"), first("due_date"), first("emission_date")).withColumn("day", F.coalesce("due_date", "emission_date"))
+    t = dated(distinct_trans(spark, d)).join(docs, "doc_id").groupBy("lote_id", "doc_id").agg(first("amount_cents"), first("due_date"), first("emission_date")).withColumn("day", F.coalesce("due_date", "emission_date"))
     return t.groupBy("lote_id").agg(F.min_by("amount_cents", F.when(F.col("amount_cents") > 0, F.col("doc_id"))).alias("amount_cents"), F.min_by("day", F.when(F.col("day").isNotNull(), F.col("doc_id"))).alias("day"))
 
 
@@ -95,7 +103,7 @@ def total_consistency(spark, d):
 def longest_reading(spark, d):
     """The reading with most letters and figures; ties go to the smallest id."""
     n = F.length(F.regexp_replace("supplier_clean", r"[^\p{L}\p{N}]", ""))
-    return distinct_trans(spark, d).filter("supplier_clean is not null").groupBy("doc_id").agg(F.max_by("supplier_clean", F.struct(n, -F.col("id"))).alias("reading"))
+    return distinct_trans(spark, d, "supplier_clean is not null").groupBy("doc_id").agg(F.max_by("supplier_clean", F.struct(n, -F.col("id"))).alias("reading"))
 
 
 @query("arbitration", f"""
@@ -161,3 +169,11 @@ def flow_totals(spark, d):
     x = view(spark, d)
     p, n = x.filter("k = 'COMPROVANTE'"), x.filter("k is null or k <> 'COMPROVANTE'")
     return graph.supplier_flow(p.withColumn("day", F.col("due")), n.withColumn("day", F.col("made")))
+
+
+@query("flow_optimum")
+def flow_optimum(spark, d):
+    """Profit of the greedy flow of each supplier and of the best flow, where its pairs are few enough; the best flow is tested against trying all."""
+    x = view(spark, d)
+    p, n = x.filter("k = 'COMPROVANTE'"), x.filter("k is null or k <> 'COMPROVANTE'")
+    return graph.flow_gap(p.withColumn("day", F.col("due")), n.withColumn("day", F.col("made")))

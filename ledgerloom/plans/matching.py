@@ -17,7 +17,7 @@ SLIP, BILL = "k = 'BOLETO'", "k IN ('NFE', 'NFSE')"
 
 def view(spark, d):
     docs = load(spark, d, "documentos").select(F.col("id").alias("doc_id"), F.col("doc_type").alias("k"), F.col("entity_tag").alias("tag"))
-    t = distinct_trans(spark, d).filter("amount_cents > 0")
+    t = distinct_trans(spark, d, "amount_cents > 0")
     return t.join(docs, "doc_id").select("id", "doc_id", F.upper(F.trim("supplier_clean")).alias("s"), F.col("amount_cents").alias("v"), "k", "tag", dates.parse_date(F.col("due_date")).alias("due"), dates.parse_date(F.col("emission_date")).alias("made"), F.col("digitable_line").alias("line"))
 
 
@@ -60,10 +60,13 @@ def group_candidates(spark, d):
     return small.unionByName(large).filter(F.abs(F.col("b_v") - F.col("n_v")) <= tol).select(F.col("n_id").alias("bill"), F.col("b_id").alias("slip"), F.abs(F.col("b_v") - F.col("n_v")).alias("diff"))
 
 
-@query("interval_candidates", f"{BN} SELECT b.id AS slip, n.id AS bill FROM b JOIN n ON b.s = n.s AND n.made BETWEEN b.due - 45 AND b.due + 15")
+@query("interval_candidates", f"{BN} SELECT b.id AS slip, n.id AS bill FROM b JOIN n ON b.s = n.s AND (n.made IS NULL OR n.made BETWEEN b.due - 45 AND b.due + 15)")
 def interval_candidates(spark, d):
+    """Slips and bills of one supplier, the bill made up to 45 days before or 15 after the due date; a bill without a date is not excluded."""
     b, n = sides(spark, d)
-    return ranges.interval_join(n, b, "n_made", F.date_sub("b_due", 45), F.date_add("b_due", 15), 30, [("n_s", "b_s")]).select(F.col("b_id").alias("slip"), F.col("n_id").alias("bill"))
+    dated = ranges.interval_join(n, b, "n_made", F.date_sub("b_due", 45), F.date_add("b_due", 15), 30, [("n_s", "b_s")])
+    undated = n.filter("n_made is null").join(b, F.col("n_s") == F.col("b_s"))
+    return dated.select("b_id", "n_id").unionByName(undated.select("b_id", "n_id")).select(F.col("b_id").alias("slip"), F.col("n_id").alias("bill"))
 
 
 @query("entity_tolerant", f"{BN} SELECT b.id AS slip, n.id AS bill FROM b JOIN n ON b.s = n.s AND b.made = n.made WHERE b.tag IS NULL OR n.tag IS NULL OR b.tag = n.tag")
@@ -156,7 +159,7 @@ def assignment(spark, d):
 def vote_supplier(spark, d):
     """Supplier of each numbered document by weighted vote among its readings; tested against a plain loop."""
     docs = load(spark, d, "documentos").filter("access_key is not null").select(F.col("id").alias("doc_id"), F.regexp_replace("access_key", r"\D", "").alias("paper"))
-    t = distinct_trans(spark, d).filter("supplier_clean is not null").join(docs, "doc_id")
+    t = distinct_trans(spark, d, "supplier_clean is not null").join(docs, "doc_id")
     c = t.select("paper", F.upper("supplier_clean").alias("value"), F.when(F.col("is_scheduled") == 1, 0.5).otherwise(0.9).alias("confidence"), F.lit(1.0).alias("weight"), "id")
     return voting.weighted_vote(c, ["paper"], "value", "confidence", "weight", "id").withColumn("score", F.round("score", 6)).withColumn("confidence", F.round("confidence", 6))
 
@@ -167,7 +170,7 @@ WITH c AS (SELECT regexp_replace(d.access_key, '[^0-9]', '', 'g') AS paper, uppe
 SELECT paper, readings, round(CASE WHEN readings > 1 THEN same / (readings * (readings - 1) / 2) ELSE 1 END, 6)::DOUBLE AS agreement, CASE WHEN readings > 1 THEN same / (readings * (readings - 1) / 2) ELSE 1 END < 0.6 AS diverges FROM s""")
 def divergence(spark, d):
     docs = load(spark, d, "documentos").filter("access_key is not null").select(F.col("id").alias("doc_id"), F.regexp_replace("access_key", r"\D", "").alias("paper"))
-    t = distinct_trans(spark, d).filter("supplier_clean is not null").join(docs, "doc_id").select("paper", F.upper("supplier_clean").alias("v"))
+    t = distinct_trans(spark, d, "supplier_clean is not null").join(docs, "doc_id").select("paper", F.upper("supplier_clean").alias("v"))
     return voting.divergence(t, ["paper"], "v")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..catalog import query
+from ..functions import dates
 from ..operators import tables as T
 from ..session import read_table
 
@@ -17,9 +18,14 @@ def load(spark, d, *names):
     return out if len(out) > 1 else out[0]
 
 
-def distinct_trans(spark, d):
-    """Transactions with repeated deliveries dropped."""
-    return load(spark, d, "transacoes").dropDuplicates(["id"])
+def distinct_trans(spark, d, cond=None):
+    """Transactions that meet ``cond``, repeated deliveries dropped.
+
+    Repeated rows are alike, so the condition comes first: it reaches the scan, and
+    only what is left is shuffled by id.
+    """
+    t = load(spark, d, "transacoes")
+    return (t if cond is None else t.filter(cond)).dropDuplicates(["id"])
 
 
 TR = "(SELECT DISTINCT * FROM transacoes)"
@@ -85,19 +91,19 @@ def quick_search(spark, d):
 @query("orphans", f"SELECT t.id, t.doc_id, t.amount_cents FROM {TR} t JOIN documentos d ON d.id = t.doc_id WHERE (t.link_id IS NULL OR t.link_id = 0) AND d.{OPEN}")
 def orphans(spark, d):
     docs = load(spark, d, "documentos").filter(OPEN).select(F.col("id").alias("doc_id"))
-    return distinct_trans(spark, d).filter("link_id is null or link_id = 0").join(docs, "doc_id", "left_semi").select("id", "doc_id", "amount_cents")
+    return distinct_trans(spark, d, "link_id is null or link_id = 0").join(docs, "doc_id", "left_semi").select("id", "doc_id", "amount_cents")
 
 
 @query("unreconciled_slips", f"SELECT t.id, t.supplier_clean, t.amount_cents FROM {TR} t JOIN documentos d ON d.id = t.doc_id WHERE d.doc_type = 'BOLETO' AND d.status <> 'RECONCILED' AND coalesce(t.is_scheduled, 0) = 0 ORDER BY t.amount_cents DESC, t.id")
 def unreconciled_slips(spark, d):
     docs = load(spark, d, "documentos").filter("doc_type = 'BOLETO' and status <> 'RECONCILED'").select(F.col("id").alias("doc_id"))
-    return distinct_trans(spark, d).filter("coalesce(is_scheduled, 0) = 0").join(docs, "doc_id").select("id", "supplier_clean", "amount_cents").orderBy(F.desc("amount_cents"), "id")
+    return distinct_trans(spark, d, "coalesce(is_scheduled, 0) = 0").join(docs, "doc_id").select("id", "supplier_clean", "amount_cents").orderBy(F.desc("amount_cents"), "id")
 
 
 @query("open_by_supplier", f"SELECT t.supplier_clean, count(*) AS n, sum(t.amount_cents)::BIGINT AS cents FROM {TR} t JOIN documentos d ON d.id = t.doc_id WHERE d.{OPEN} AND t.supplier_clean IS NOT NULL GROUP BY 1")
 def open_by_supplier(spark, d):
     docs = load(spark, d, "documentos").filter(OPEN).select(F.col("id").alias("doc_id"))
-    return distinct_trans(spark, d).filter("supplier_clean is not null").join(docs, "doc_id").groupBy("supplier_clean").agg(F.count("*").alias("n"), F.sum("amount_cents").alias("cents"))
+    return distinct_trans(spark, d, "supplier_clean is not null").join(docs, "doc_id").groupBy("supplier_clean").agg(F.count("*").alias("n"), F.sum("amount_cents").alias("cents"))
 
 
 @query("installments_of_invoice", "SELECT nfe_id, seq_num, amount_cents, count(*) OVER (PARTITION BY nfe_id) AS parts, concat('PARC_', seq_num, '-', count(*) OVER (PARTITION BY nfe_id)) AS label FROM (SELECT DISTINCT * FROM duplicatas) ORDER BY nfe_id, seq_num")
@@ -139,17 +145,26 @@ def top_history(spark, d):
     return distinct_trans(spark, d).select("id", "doc_id", "created_at").orderBy(F.desc_nulls_last("created_at"), "id").limit(100)
 
 
+def _day(c: str) -> str:
+    """SQL of a typed date."""
+    from .scalars import _iso
+
+    return _iso(c)
+
+
 GROUPS = f"""
 SELECT link_id,
        bool_or(doc_type IN ('NFE', 'NFSE')) AS has_invoice, bool_or(doc_type = 'BOLETO') AS has_slip, bool_or(doc_type = 'COMPROVANTE') AS has_receipt,
        count(*) AS members,
        arg_min(day, (prio, id)) FILTER (day IS NOT NULL) AS master_date,
-       arg_max(supplier_clean, id) FILTER (supplier_clean IS NOT NULL) AS supplier
+       arg_max(supplier_clean, id) FILTER (supplier_clean IS NOT NULL) AS supplier,
+       arg_max(amount_cents, id) FILTER (amount_cents > 0) AS amount_cents,
+       CASE WHEN has_invoice AND has_slip AND has_receipt THEN 'RECONCILED' WHEN (has_invoice OR has_slip) AND NOT has_receipt THEN 'MATCHED' ELSE 'PENDING' END AS state
 FROM (
   SELECT t.link_id, t.id, t.supplier_clean, d.doc_type,
-         CASE d.doc_type WHEN 'COMPROVANTE' THEN t.payment_date WHEN 'BOLETO' THEN t.due_date ELSE coalesce(t.emission_date, t.due_date) END AS day,
+         CASE d.doc_type WHEN 'COMPROVANTE' THEN t.payment_date WHEN 'BOLETO' THEN t.due_date ELSE coalesce(t.emission_date, t.due_date) END AS day, t.amount_cents,
          CASE d.doc_type WHEN 'COMPROVANTE' THEN 1 WHEN 'BOLETO' THEN 2 ELSE CASE WHEN t.emission_date IS NOT NULL THEN 3 ELSE 4 END END AS prio
-  FROM {TR} t JOIN documentos d ON d.id = t.doc_id WHERE t.link_id IS NOT NULL AND d.doc_type IN ('NFE', 'NFSE', 'BOLETO', 'COMPROVANTE'))
+  FROM (SELECT id, doc_id, link_id, supplier_clean, amount_cents, {_day('payment_date')} AS payment_date, {_day('due_date')} AS due_date, {_day('emission_date')} AS emission_date FROM {TR}) t JOIN documentos d ON d.id = t.doc_id WHERE t.link_id IS NOT NULL AND d.doc_type IN ('NFE', 'NFSE', 'BOLETO', 'COMPROVANTE'))
 GROUP BY link_id"""
 
 
@@ -157,15 +172,19 @@ GROUP BY link_id"""
 def group_summary(spark, d):
     """Composition, master date by priority and last supplier of every link group, in one shuffle."""
     docs = load(spark, d, "documentos").filter(F.col("doc_type").isin("NFE", "NFSE", "BOLETO", "COMPROVANTE")).select(F.col("id").alias("doc_id"), "doc_type")
-    t = distinct_trans(spark, d).filter("link_id is not null").select("id", "doc_id", "link_id", "supplier_clean", "emission_date", "due_date", "payment_date")
+    t = distinct_trans(spark, d, "link_id is not null").select("id", "doc_id", "link_id", "supplier_clean", "amount_cents", "emission_date", "due_date", "payment_date")
     kind = F.col("doc_type")
     day = F.when(kind == "COMPROVANTE", F.col("payment_date")).when(kind == "BOLETO", F.col("due_date")).otherwise(F.coalesce("emission_date", "due_date"))
     prio = F.when(kind == "COMPROVANTE", 1).when(kind == "BOLETO", 2).when(F.col("emission_date").isNotNull(), 3).otherwise(4)
+    t = t.withColumns({c: dates.parse_date(F.col(c)) for c in ("emission_date", "due_date", "payment_date")})
     j = t.join(docs, "doc_id").withColumn("day", day).withColumn("prio", prio)
-    return j.groupBy("link_id").agg(
+    g = j.groupBy("link_id").agg(
         F.bool_or(kind.isin("NFE", "NFSE")).alias("has_invoice"), F.bool_or(kind == "BOLETO").alias("has_slip"), F.bool_or(kind == "COMPROVANTE").alias("has_receipt"), F.count("*").alias("members"),
         F.min_by("day", F.when(F.col("day").isNotNull(), F.struct("prio", "id"))).alias("master_date"), F.max_by("supplier_clean", F.when(F.col("supplier_clean").isNotNull(), F.col("id"))).alias("supplier"),
+        F.max_by("amount_cents", F.when(F.col("amount_cents") > 0, F.col("id"))).alias("amount_cents"),
     )
+    n, b, r = F.col("has_invoice"), F.col("has_slip"), F.col("has_receipt")
+    return g.withColumn("state", F.when(n & b & r, "RECONCILED").when((n | b) & ~r, "MATCHED").otherwise("PENDING"))
 
 
 @query("dedup_ingest", "SELECT id, file_hash FROM (SELECT *, row_number() OVER (PARTITION BY file_hash ORDER BY id) AS k FROM documentos WHERE lote_id >= 3) WHERE k = 1 AND file_hash NOT IN (SELECT file_hash FROM documentos WHERE lote_id < 3 AND file_hash IS NOT NULL)")
@@ -211,7 +230,7 @@ def cascade_delete(spark, d):
 
 @query("archive_group", f"SELECT d.id, CASE WHEN d.id IN (SELECT doc_id FROM {TR} WHERE link_id IS NOT NULL) THEN 'ARCHIVED' ELSE d.status END AS status FROM documentos d")
 def archive_group(spark, d):
-    ids = distinct_trans(spark, d).filter("link_id is not null").select(F.col("doc_id").alias("id"))
+    ids = distinct_trans(spark, d, "link_id is not null").select(F.col("doc_id").alias("id"))
     return T.bulk_edit(load(spark, d, "documentos").select("id", "status"), ids, "id", {"status": "ARCHIVED"})
 
 
@@ -286,15 +305,22 @@ def confusion_matrix(spark, d):
 
 
 @query("error_category", """
-WITH x AS (SELECT t.id, u.amount_cents AS truth, t.amount_cents AS got FROM (SELECT DISTINCT * FROM duplicatas) u JOIN (SELECT DISTINCT * FROM transacoes) t ON t.doc_id = u.boleto_id),
-     y AS (SELECT *, CASE WHEN got = truth THEN 'EXACT' WHEN got IS NULL OR got = 0 THEN 'MISSING' WHEN abs(got - truth) <= greatest(floor(truth * 0.01), 10) THEN 'TOLERATED' WHEN got = truth * 10 OR got = truth // 10 THEN 'SCALE' WHEN abs(got - truth) <= truth * 0.1 THEN 'CLOSE' ELSE 'WRONG' END AS category FROM x)
+WITH u AS (SELECT *, sum(amount_cents) OVER (PARTITION BY nfe_id) AS total FROM (SELECT DISTINCT * FROM duplicatas)),
+x AS (SELECT t.id, u.amount_cents AS truth, u.total, coalesce(t.amount_cents, 0) AS got FROM u JOIN (SELECT DISTINCT * FROM transacoes) t ON t.doc_id = u.boleto_id),
+y AS (SELECT *, CASE WHEN got = 0 THEN 'EXTRACAO_VAZIA' WHEN abs(got - truth) <= greatest(floor(truth * 0.01), 10) THEN 'OK' WHEN abs(got - total) <= greatest(floor(total * 0.01), 10) THEN 'TOTAL_VS_PARCELA' WHEN got BETWEEN truth * 1.9 AND truth * 2.1 THEN 'DOBRO_DO_VALOR' WHEN got BETWEEN truth * 0.48 AND truth * 0.52 THEN 'METADE_DO_VALOR' WHEN got > truth * 3 THEN 'VALOR_MUITO_MAIOR' WHEN got * 3 < truth THEN 'VALOR_MUITO_MENOR' WHEN abs(got - truth) * 100 <= truth * 20 THEN 'DIFERENCA_PEQUENA' ELSE 'DIFERENCA_GRANDE' END AS category FROM x)
 SELECT category, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS pct FROM y GROUP BY category""")
 def error_category(spark, d):
-    """Errors of slip amounts against the installments that name them, with shares of the total."""
-    u = load(spark, d, "duplicatas").dropDuplicates(["id"]).filter("boleto_id is not null").select(F.col("boleto_id").alias("doc_id"), F.col("amount_cents").alias("truth"))
-    x = distinct_trans(spark, d).select("doc_id", F.col("amount_cents").alias("got")).join(u, "doc_id")
-    diff = F.abs(F.col("got") - F.col("truth"))
-    cat = F.when(F.col("got") == F.col("truth"), "EXACT").when(F.col("got").isNull() | (F.col("got") == 0), "MISSING").when(diff <= F.greatest(F.floor(F.col("truth") * 0.01), F.lit(10)), "TOLERATED").when(F.expr("got = truth * 10 or got = truth div 10"), "SCALE").when(diff <= F.col("truth") * 0.1, "CLOSE").otherwise("WRONG")
+    """Errors of slip amounts against the installments that name them: nothing read, right, the invoice's total, double, half, far more or less, near, other; with shares of all."""
+    u = load(spark, d, "duplicatas").dropDuplicates(["id"]).withColumn("total", F.sum("amount_cents").over(Window.partitionBy("nfe_id"))).filter("boleto_id is not null").select(F.col("boleto_id").alias("doc_id"), F.col("amount_cents").alias("truth"), "total")
+    x = distinct_trans(spark, d).select("doc_id", F.coalesce("amount_cents", F.lit(0)).alias("got")).join(u, "doc_id")
+    got, truth, total = F.col("got"), F.col("truth"), F.col("total")
+    near = lambda a, b: F.abs(a - b) <= F.greatest(F.floor(b * 0.01), F.lit(10))
+    cat = (
+        F.when(got == 0, "EXTRACAO_VAZIA").when(near(got, truth), "OK").when(near(got, total), "TOTAL_VS_PARCELA")
+        .when(got.between(truth * 1.9, truth * 2.1), "DOBRO_DO_VALOR").when(got.between(truth * 0.48, truth * 0.52), "METADE_DO_VALOR")
+        .when(got > truth * 3, "VALOR_MUITO_MAIOR").when(got * 3 < truth, "VALOR_MUITO_MENOR")
+        .when(F.abs(got - truth) * 100 <= truth * 20, "DIFERENCA_PEQUENA").otherwise("DIFERENCA_GRANDE")
+    )
     n = x.groupBy(cat.alias("category")).agg(F.count("*").alias("n"))
     return n.select("category", "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4).alias("pct"))
 

@@ -33,13 +33,13 @@ def amount_cents(spark, d):
 
 @query("cents_display", f"SELECT id, translate(format('{{:,.2f}}', amount_cents / 100), ',.', '.,') AS shown FROM {TR} WHERE amount_cents IS NOT NULL")
 def cents_display(spark, d):
-    return distinct_trans(spark, d).filter("amount_cents is not null").select("id", money.cents_to_display(F.col("amount_cents")).alias("shown"))
+    return distinct_trans(spark, d, "amount_cents is not null").select("id", money.cents_to_display(F.col("amount_cents")).alias("shown"))
 
 
 @query("money_forms", f"SELECT id, amount_cents AS brazilian, amount_cents AS american FROM {TR} WHERE amount_cents IS NOT NULL")
 def money_forms(spark, d):
     """Round trip: an amount shown in either form reads back."""
-    t = distinct_trans(spark, d).filter("amount_cents is not null")
+    t = distinct_trans(spark, d, "amount_cents is not null")
     return t.select("id", money.parse_money(money.cents_to_display(F.col("amount_cents"))).alias("brazilian"), money.parse_money(F.format_number(F.col("amount_cents") / 100, 2)).alias("american"))
 
 
@@ -137,7 +137,7 @@ def _mod10(expr: str, start: int, n: int) -> str:
 
 @query("line_check", f"SELECT id, {_mod10('digitable_line', 1, 9)} AND {_mod10('digitable_line', 11, 10)} AND {_mod10('digitable_line', 22, 10)} AS valid FROM {TR} WHERE length(digitable_line) = 47")
 def line_check(spark, d):
-    return distinct_trans(spark, d).filter("length(digitable_line) = 47").select("id", ids.is_slip_line(F.col("digitable_line")).alias("valid"))
+    return distinct_trans(spark, d, "length(digitable_line) = 47").select("id", ids.is_slip_line(F.col("digitable_line")).alias("valid"))
 
 
 def _weighted_sql() -> str:
@@ -186,11 +186,20 @@ def junk_text(spark, d):
 
 
 @query("payment_state", f"""
-WITH u AS ({UP}), a AS (SELECT id, CASE WHEN {_any('up', text.DENIED)} THEN 0 ELSE {_sum('up', text.PLANNED)} END AS planned, {_sum('up', text.MADE)} + CASE WHEN regexp_matches(up, 'SISBB|AUTENTICACAO\\s+[0-9]{{6,}}') THEN 3 ELSE 0 END AS made FROM u)
-SELECT id, CASE WHEN planned = 0 AND made = 0 THEN 'PENDING' WHEN planned > made THEN 'PLANNED' ELSE 'CONFIRMED' END AS state, planned, made FROM a""")
+WITH u AS ({UP}), a AS (SELECT id, {_sum('up', text.COUNT_PLANNED)} AS planned, {_sum('up', text.COUNT_MADE)} + CASE WHEN regexp_matches(up, '{text.MARK}') THEN 3 ELSE 0 END AS made FROM u)
+SELECT id, CASE WHEN planned > made THEN 'PLANNED' WHEN made > 0 THEN 'CONFIRMED' ELSE 'PENDING' END AS state, round(CASE WHEN planned > made THEN least(0.9, 0.6 + planned * 0.1) WHEN made > 0 THEN least(0.95, 0.7 + made * 0.1) ELSE 0.5 END, 6)::DOUBLE AS confidence, planned, made FROM a""")
 def payment_state(spark, d):
-    state, planned, made = text.payment_state(F.col("raw_text"))
-    return load(spark, d, "documentos").select("id", state.alias("state"), planned.alias("planned"), made.alias("made"))
+    state, sure, planned, made = text.payment_state(F.col("raw_text"))
+    return load(spark, d, "documentos").select("id", state.alias("state"), sure.alias("confidence"), planned.alias("planned"), made.alias("made"))
+
+
+@query("bank_payment", f"""
+WITH u AS ({UP}), a AS (SELECT id, {_any('up', text.PLANNED)} AS planned, {_any('up', text.CONFIRMED)} AS said, nullif(regexp_extract(up, '{text.AUTHENTICATION}'), '') AS auth, {_any('up', text.DENIED)} AS denied FROM u)
+SELECT id, CASE WHEN planned THEN 'PLANNED' WHEN said AND auth IS NOT NULL THEN 'CONFIRMED' WHEN said THEN 'CONFIRMED_UNSIGNED' WHEN auth IS NOT NULL THEN 'PROBABLE' ELSE 'NOTHING' END AS reason, auth, planned AND NOT denied AS scheduled FROM a""")
+def bank_payment(spark, d):
+    """What a receipt says about its payment, its authentication, and whether it is only scheduled."""
+    reason, auth = text.bank_payment(F.col("raw_text"))
+    return load(spark, d, "documentos").select("id", reason.alias("reason"), auth.alias("auth"), text.is_planned(F.col("raw_text")).alias("scheduled"))
 
 
 def _number_sql() -> str:
@@ -234,7 +243,7 @@ _LEGAL = S.LEGAL.replace("\\b", "\\b")
 
 @query("company_normalise", f"SELECT id, trim(regexp_replace(regexp_replace(regexp_replace(lower(translate(supplier_clean, '{text.ACCENTED}', '{text.BARE}')), '[^a-z0-9_\\s]', ' ', 'g'), '{_LEGAL}', '', 'g'), '\\s+', ' ', 'g')) AS name FROM {TR} WHERE supplier_clean IS NOT NULL")
 def company_normalise(spark, d):
-    return distinct_trans(spark, d).filter("supplier_clean is not null").select("id", S.normalise_company(F.col("supplier_clean")).alias("name"))
+    return distinct_trans(spark, d, "supplier_clean is not null").select("id", S.normalise_company(F.col("supplier_clean")).alias("name"))
 
 
 _PAIRS = f"SELECT DISTINCT a.supplier_clean AS a, b.supplier_clean AS b FROM {TR} a JOIN matches m ON m.parent_doc_id = a.doc_id JOIN {TR} b ON b.doc_id = m.child_doc_id WHERE a.supplier_clean IS NOT NULL AND b.supplier_clean IS NOT NULL"
@@ -242,7 +251,7 @@ _PAIRS = f"SELECT DISTINCT a.supplier_clean AS a, b.supplier_clean AS b FROM {TR
 
 def matched_names(spark, d):
     """Distinct pairs of suppliers on matched documents."""
-    t = distinct_trans(spark, d).filter("supplier_clean is not null").select("doc_id", "supplier_clean")
+    t = distinct_trans(spark, d, "supplier_clean is not null").select("doc_id", "supplier_clean")
     m = load(spark, d, "matches").select("parent_doc_id", "child_doc_id")
     return m.join(t.toDF("parent_doc_id", "a"), "parent_doc_id").join(t.toDF("child_doc_id", "b"), "child_doc_id").select("a", "b").distinct()
 
@@ -301,5 +310,26 @@ def positional_vote(spark, d):
     """Most frequent character at each position among readings of the most frequent length, by bank; ties go to the earliest reading."""
     from ..operators.voting import positional_vote as vote
 
-    t = distinct_trans(spark, d).filter("digitable_line is not null").select(F.substring("digitable_line", 1, 3).alias("bank"), F.col("digitable_line").alias("v"), "id")
+    t = distinct_trans(spark, d, "digitable_line is not null").select(F.substring("digitable_line", 1, 3).alias("bank"), F.col("digitable_line").alias("v"), "id")
     return vote(t, "bank", "v", "id", "voted")
+
+
+_SEP = "regexp_replace(doc_number, '[^0-9,.]', '', 'g')"
+_FIX = "trim(regexp_replace(doc_number, 'R\\$', '', 'gi'))"
+_TAXED = "regexp_extract(upper(raw_text), 'CNPJ[: ]*([0-9A-Z?./-]{14,20})', 1)"
+_TAX14 = f"regexp_replace(translate(upper({_TAXED}), '{ids.CNPJ_READ_AS}', '{ids.CNPJ_MEANT}'), '[^0-9]', '', 'g')"
+
+
+@query("misread_fields", f"""SELECT id, CASE WHEN doc_number IS NOT NULL THEN coalesce(CASE WHEN length(regexp_replace({_SEP}, '[0-9]', '', 'g')) >= 2 THEN try_cast(regexp_replace({_SEP}, '[,.]', '', 'g') AS BIGINT) ELSE trunc(try_cast(replace({_SEP}, ',', '.') AS DECIMAL(20,4)) * 100)::BIGINT END, 0) END AS cents,
+CASE WHEN regexp_matches({_FIX}, '(?i)[OIDSZGL]') THEN translate({_FIX}, '{money.READ_AS}', '{money.MEANT}') ELSE {_FIX} END AS mended,
+CASE WHEN length({_TAX14}) = 14 THEN regexp_replace({_TAX14}, '^(\\d{{2}})(\\d{{3}})(\\d{{3}})(\\d{{4}})(\\d{{2}})$', '\\1.\\2.\\3/\\4-\\5') END AS cnpj FROM documentos""")
+def misread_fields(spark, d):
+    """Amounts with any separators, letters read for figures put right, and company numbers put right."""
+    tax = F.regexp_extract(F.upper("raw_text"), r"CNPJ[: ]*([0-9A-Z?./-]{14,20})", 1)
+    return load(spark, d, "documentos").select("id", money.parse_separated(F.col("doc_number")).alias("cents"), money.fix_currency_text(F.col("doc_number")).alias("mended"), ids.fixed_cnpj(tax).alias("cnpj"))
+
+
+@query("line_lengths", f"SELECT id, length(regexp_replace(digitable_line, '[^0-9]', '', 'g')) IN (44, 47, 48) AS line_ok, length(regexp_replace(barcode, '[^0-9]', '', 'g')) IN (44, 47, 48) AS code_ok FROM {TR}")
+def line_lengths(spark, d):
+    """Whether slip lines and bar codes have a length in use."""
+    return distinct_trans(spark, d).select("id", ids.line_length_ok(F.col("digitable_line")).alias("line_ok"), ids.line_length_ok(F.col("barcode")).alias("code_ok"))

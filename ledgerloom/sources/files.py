@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import read_text
+
 
 def pdf_files(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """path, length, modified and the MD5 of every PDF below a folder, each once whatever the case of its ending."""
@@ -23,7 +25,7 @@ def name_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "v")).select("line", F.trim("v").alias("v")).filter("v <> '' and not startswith(v, '#')")
     names = lines.select("line", F.transform(F.split("v", r"\|"), lambda x: F.upper(F.trim(x))).alias("n"))
-    e = names.select("line", F.get("n", F.lit(0)).alias("canonical"), F.posexplode("n").alias("k", "name")).filter("name <> ''").withColumn("ord", F.col("line") * 1000 + F.col("k"))
+    e = names.select("line", F.get("n", F.lit(0)).alias("canonical"), F.posexplode("n").alias("k", "name")).filter("name <> ''").withColumn("ord", F.col("line").cast("bigint") * F.lit(1 << 31) + F.col("k"))
     return e.groupBy("name").agg(F.max_by("canonical", "ord").alias("canonical"), F.max("ord").alias("ord"))
 
 
@@ -46,12 +48,12 @@ def golden_documents(spark: SparkSession, path: str) -> DataFrame:
 def pattern_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """field, doc_type, ord, pattern, confidence of a JSON catalogue {field: {type: [[pattern, confidence]]}}; patterns that do not compile are left out.
 
-    The file is a configuration of a few kilobytes and read on the driver.
+    The file is a configuration of a few kilobytes and read on the driver, from any
+    file system that Spark knows.
     """
     import re
 
-    with open(path, encoding="utf-8") as f:
-        cat = json.load(f)
+    cat = json.loads(read_text(spark, path) or "{}")
     rows = []
     for field, types in cat.items():
         for kind, entries in types.items():
@@ -82,12 +84,19 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside ``path``, then swap: readers see the old or the new table, never a part."""
+    """Write beside ``path``, then swap by two renames.
+
+    A reader never sees part of a table, but between the renames there is none; a
+    reader that must not fail there tries again.  A run that stopped between them is
+    put right by the next.
+    """
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     p = lambda s: jvm.org.apache.hadoop.fs.Path(s)
-    df.write.mode("overwrite").parquet(path + ".new")
     fs = p(path).getFileSystem(conf)
+    if not fs.exists(p(path)) and fs.exists(p(path + ".old")):
+        fs.rename(p(path + ".old"), p(path))
+    df.write.mode("overwrite").parquet(path + ".new")
     if fs.exists(p(path)):
         fs.delete(p(path + ".old"), True)
         fs.rename(p(path), p(path + ".old"))
@@ -100,8 +109,13 @@ def safe_name(c):
     return F.regexp_replace(c, r"(?U)[^\w.\-]", "_")
 
 
-def graph_json(vertices: DataFrame, edges: DataFrame, group: str) -> DataFrame:
-    """One JSON text a component with its nodes and links; components are the unit of drawing."""
-    n = vertices.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("id", "kind"))).alias("nodes"))
-    e = edges.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("src", "dst", "weight"))).alias("links"))
-    return n.join(e, group, "left").select(group, F.to_json(F.struct("nodes", "links")).alias("graph"))
+def graph_json(vertices: DataFrame, edges: DataFrame, group: str, most: int = 1000) -> DataFrame:
+    """JSON texts of each component, its nodes and links in pieces of at most ``most`` of either; a large component has several pieces, from 0."""
+
+    def pieces(rows: DataFrame, name: str, *cols: str) -> DataFrame:
+        w = Window.partitionBy(group).orderBy(*cols)
+        n = rows.withColumn("piece", F.floor((F.row_number().over(w) - 1) / most).cast("int"))
+        return n.groupBy(group, "piece").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
+
+    n, e = pieces(vertices, "nodes", "id", "kind"), pieces(edges, "links", "src", "dst", "weight")
+    return n.join(e, [group, "piece"], "full_outer").select(group, "piece", F.to_json(F.struct("nodes", "links")).alias("graph"))

@@ -46,3 +46,53 @@ def new_attachments(mails: DataFrame, known: DataFrame) -> DataFrame:
     a = mails.select("id", F.posexplode("attachments").alias("pos", "a")).select("id", "pos", "a.*")
     w = Window.partitionBy("md5_hash").orderBy("id", "pos")
     return a.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n").join(known.select(F.col("file_hash").alias("md5_hash")).distinct(), "md5_hash", "left_anti")
+
+
+def mime_parts(mails: DataFrame, key: str, payload: str) -> DataFrame:
+    """(key, html, text, attachments) of mails given as JSON trees of parts, however deep.
+
+    A part with a PDF or XML name and an attachment id is an attachment (filename,
+    mime_type, attachment_id); a part without a name gives its decoded body, the last
+    HTML and the last plain text winning.  Trees that are no JSON give nothing.  Mails
+    are walked one by one within Arrow batches; no mail is shuffled.
+    """
+    import base64
+    import json
+
+    import pandas as pd
+
+    kind = dict(mails.dtypes)[key]
+
+    def walk(node: dict, out: dict) -> None:
+        stack = [node]
+        while stack:
+            part = stack.pop()
+            if not isinstance(part, dict):
+                continue
+            name, body = part.get("filename") or "", part.get("body") or {}
+            if name:
+                if name.lower().endswith((".pdf", ".xml")) and body.get("attachmentId"):
+                    out["attachments"].append({"filename": name, "mime_type": part.get("mimeType"), "attachment_id": body["attachmentId"]})
+            elif body.get("data"):
+                try:
+                    data = base64.urlsafe_b64decode(body["data"]).decode("utf-8", "ignore")
+                except (ValueError, TypeError):
+                    data = None
+                field = {"text/html": "html", "text/plain": "text"}.get(part.get("mimeType"))
+                if field and data is not None:
+                    out[field] = data
+            stack += reversed(part.get("parts") or [])
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for k, text in zip(b[key], b[payload]):
+                out = {"html": None, "text": None, "attachments": []}
+                try:
+                    walk(json.loads(text) if text else {}, out)
+                except ValueError:
+                    pass
+                rows.append((k, out["html"], out["text"], out["attachments"]))
+            yield pd.DataFrame(rows, columns=[key, "html", "text", "attachments"])
+
+    return mails.select(key, payload).mapInPandas(run, f"{key} {kind}, html string, text string, attachments array<struct<filename: string, mime_type: string, attachment_id: string>>")
