@@ -320,7 +320,7 @@ def accept(h: History, rows: DataFrame, margin: float = 0.0) -> None:
     drop_cut(fresh, first, links)
 
 
-def repeated_documents(df: DataFrame, waves: int | None = 8, margin: float = 0.0, path: str | None = None) -> DataFrame:
+def repeated_documents(df: DataFrame, waves: int | None = 4, margin: float = 0.0, path: str | None = None) -> DataFrame:
     """Each repeated document with the accepted one it repeats: id_a, the paper's smallest id, and id_b.
 
     Texts are read once, each for itself, into a table parted by ``lote_id``; weights
