@@ -198,13 +198,13 @@ def correction_texts(spark, d):
     return j.select("id", "doc_type", "old_value", "new_value", F.coalesce(F.contains("up", F.col("new_value")), F.lit(False)).alias("printed"), "n")
 
 
-@query("mail_labels", "SELECT id, CASE WHEN status = 'ERROR' THEN ['Processed', 'Error'] WHEN raw_text IS NULL OR trim(raw_text, ' ') = '' THEN ['Processed', 'Unread'] ELSE ['Processed', doc_type] END AS labels, list_distinct([CASE WHEN ends_with(lower(original_path), '.pdf') THEN 'PDF' ELSE 'OTHER' END, CASE WHEN email_subject IS NOT NULL THEN 'MAIL' ELSE 'FILE' END]) AS content FROM documentos WHERE doc_type IS NOT NULL")
+@query("mail_labels", "SELECT id, CASE WHEN status = 'ERROR' THEN ['Processed', 'Error'] WHEN raw_text IS NULL OR trim(raw_text, ' ') = '' THEN ['Processed', 'Unread'] ELSE ['Processed', doc_type] END AS labels, [CASE WHEN ends_with(lower(original_path), '.pdf') THEN 'PDF' ELSE 'OTHER' END, CASE WHEN email_subject IS NOT NULL THEN 'MAIL' ELSE 'FILE' END] AS content FROM documentos WHERE doc_type IS NOT NULL")
 def mail_labels(spark, d):
     """Labels of a landed paper by its outcome, and the kinds of content it came with."""
     unread = F.col("raw_text").isNull() | (F.trim("raw_text") == "")
     second = F.when(F.col("status") == "ERROR", "Error").when(unread, "Unread").otherwise(F.col("doc_type"))
     content = F.array(F.when(F.lower("original_path").endswith(".pdf"), "PDF").otherwise("OTHER"), F.when(F.col("email_subject").isNotNull(), "MAIL").otherwise("FILE"))
-    return load(spark, d, "documentos").filter("doc_type is not null").select("id", F.array(F.lit("Processed"), second).alias("labels"), F.array_distinct(content).alias("content"))
+    return load(spark, d, "documentos").filter("doc_type is not null").select("id", F.array(F.lit("Processed"), second).alias("labels"), content.alias("content"))
 
 
 @query("best_due_date", f"""
