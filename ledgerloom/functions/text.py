@@ -181,7 +181,11 @@ def access_key(text: Column) -> Column:
 
 
 # Words of links to financial documents, hosts to ignore and hosts of banks and tax offices.
-LINK_WORDS = "boleto|nota fiscal|nfe|nfse|fatura|duplicata|visualizar|imprimir|2ª via|segunda via|download|baixar|ver documento|acessar|clique aqui|abrir|gerar pdf|emitir|danfe|dacte|guia|pagamento|invoice|receipt|payment|bill|view|print|open document|click here|access"
+LINK_WORDS = [
+    "boleto", "nota fiscal", "nfe", "nfse", "fatura", "duplicata", "visualizar", "imprimir", "2ª via", "segunda via", "download", "baixar", "ver documento", "acessar",
+    "clique aqui", "abrir", "gerar pdf", "emitir", "danfe", "dacte", "guia", "pagamento", "invoice", "receipt", "payment", "bill", "view", "print", "open document", "click here", "access",
+]
+LINK_PATTERN = "|".join(LINK_WORDS)
 LINK_IGNORED = ["facebook.com", "fb.com", "instagram.com", "twitter.com", "x.com", "linkedin.com", "youtube.com", "whatsapp.com", "telegram.org", "mailto:", "tel:", "javascript:", "#", "unsubscribe", "privacy", "terms", "help.", "support.", "google.com/analytics", "doubleclick.net", "googleadservices.com"]
 LINK_KNOWN = ["itau", "bradesco", "santander", "bb.com.br", "caixa.gov.br", "sicoob", "sicredi", "nubank", "inter.co", "safra", "banrisul", "nfe.", "nfse.", "sefaz", "prefeitura", "gov.br", "totvs", "senior", "sap.", "linx", "sydle"]
 
@@ -189,7 +193,7 @@ LINK_KNOWN = ["itau", "bradesco", "santander", "bb.com.br", "caixa.gov.br", "sic
 def link_confidence(url: Column, label: Column) -> Column:
     """0 to 1: words in the label and the address, a PDF, a known host; 0 for ignored addresses."""
     u = F.lower(url)
-    hits = lambda c: F.regexp_count(F.lower(F.coalesce(c, F.lit(""))), F.lit(LINK_WORDS))
+    hits = lambda c: F.regexp_count(F.lower(F.coalesce(c, F.lit(""))), F.lit(LINK_PATTERN))
     s = F.least(hits(label) * 0.15, F.lit(0.5)) + F.least(hits(url) * 0.10, F.lit(0.3)) + F.when(F.contains(u, F.lit(".pdf")), 0.3).otherwise(0.0) + F.when(_any(u, LINK_KNOWN), 0.25).otherwise(0.0)
     return F.when(u.isNull() | _any(u, LINK_IGNORED), 0.0).otherwise(F.least(s, F.lit(1.0)))
 

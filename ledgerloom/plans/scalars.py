@@ -293,7 +293,7 @@ def json_flatten(spark, d):
 
 @query("link_score", f"""
 WITH x AS (SELECT id, lower(regexp_extract(raw_text, '(?i)(www\\.[^\\s]+)', 1)) AS url FROM documentos)
-SELECT id, url, round(least(0.15 * 1 + least(0.10 * len(regexp_extract_all(url, '{text.LINK_WORDS}')), 0.3) + CASE WHEN contains(url, '.pdf') THEN 0.3 ELSE 0 END + CASE WHEN {_any('url', text.LINK_KNOWN)} THEN 0.25 ELSE 0 END, 1), 6)::DOUBLE AS confidence
+SELECT id, url, round(least(0.15 * 1 + least(0.10 * len(regexp_extract_all(url, '{text.LINK_PATTERN}')), 0.3) + CASE WHEN contains(url, '.pdf') THEN 0.3 ELSE 0 END + CASE WHEN {_any('url', text.LINK_KNOWN)} THEN 0.25 ELSE 0 END, 1), 6)::DOUBLE AS confidence
 FROM x WHERE url <> '' AND NOT {_any('url', text.LINK_IGNORED)}""")
 def link_score(spark, d):
     """Addresses printed on papers, scored as links labelled 'segunda via'."""
