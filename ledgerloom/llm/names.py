@@ -367,7 +367,7 @@ def name_groups(names: DataFrame, col: str = "name") -> DataFrame:
     1. Spellings are parsed and folded to distinct forms (words without accents,
        legal forms, branches and particles, given names without short forms).
     2. Distinct words go into a symmetric-delete index: two words within one or two
-       edits share a form with as many letters deleted.  Words run together are
+       edits, as many as the shorter one allows, share a form with as many letters deleted.  Words run together are
        found as they are indexed, too; words of two and three letters must be equal.
     3. Forms that share a close word and one thing more (see :func:`candidates`) are
        aligned by optimal assignment of their words, initials and abbreviations

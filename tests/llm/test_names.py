@@ -59,8 +59,16 @@ def test_short_words_and_shared_words(spark):
 
 
 def test_candidates_against_all_pairs(spark):
-    """Every two forms that align are candidates."""
-    from ledgerloom.llm.names import candidates
+    """Every two forms that align and share a word within the edits that the shorter word allows, or one run together, are candidates."""
+    from ledgerloom.llm.names import candidates, edits
+
+    def close(a, b):
+        k = min(edits(len(a)), edits(len(b)))
+        return osa(a, b, k) <= k
+
+    def shares(a, b):
+        runs = lambda x: [p + q for p, q in itertools.permutations([w for w in x if len(w) >= 4], 2)]
+        return any(close(v, w) for v in a for w in b if len(v) > 1 < len(w)) or any(close(v, w) for v in runs(a) for w in b if len(w) >= 8) or any(close(v, w) for v in a for w in runs(b) if len(v) >= 8)
 
     r = random.Random(7)
     syl = ["BRA", "TUL", "NEM", "DOR", "VIS", "CAL"]
@@ -85,7 +93,7 @@ def test_candidates_against_all_pairs(spark):
     rows = [(i, *q) for i, q in enumerate(forms.values())]
     df = spark.createDataFrame(rows, "fid long, core array<string>, given array<string>, biz array<string>")
     got = set(map(tuple, candidates(df).collect()))
-    want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if align(tuple(a[1:]), tuple(b[1:])) and any(len(x) > 1 for x in a[1])}
+    want = {(a[0], b[0]) for a, b in itertools.combinations(rows, 2) if align(tuple(a[1:]), tuple(b[1:])) and shares(a[1], b[1])}
     assert want and want <= got and len(got) < len(rows) * (len(rows) - 1) // 2
 
 
