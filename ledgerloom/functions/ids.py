@@ -98,7 +98,7 @@ def slip_due(c: Column) -> Column:
 
 
 # Figures that readers take for each other.
-CONFUSED = {0: [6, 8], 1: [7], 3: [8], 5: [6], 6: [0, 5, 8], 7: [1], 8: [3, 0, 6]}
+CONFUSED = {"0": ["6", "8"], "1": ["7"], "3": ["8"], "5": ["6"], "6": ["0", "5", "8"], "7": ["1"], "8": ["3", "0", "6"]}
 
 
 def repaired_key(c: Column) -> Column:
@@ -114,7 +114,7 @@ def repaired_key(c: Column) -> Column:
     base = F.aggregate(F.zip_with(F.slice(f, 1, 43), w, lambda a, b: a * b), F.lit(0), lambda a, x: a + x)
     last = F.element_at(f, 44)
     fits = lambda s: F.when(s % 11 < 2, 0).otherwise(11 - s % 11) == last
-    likely = F.create_map(*[x for k, v in CONFUSED.items() for x in (F.lit(k), F.array(*[F.lit(y) for y in v]))])
+    likely = F.create_map(*[x for k, v in CONFUSED.items() for x in (F.lit(int(k)), F.array(*[F.lit(int(y)) for y in v]))])
     every = F.array(*[F.lit(x) for x in range(10)])
     option = lambda i, y: F.struct(i.alias("i"), y.alias("y"))
     one = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(43)), lambda i: F.transform(F.coalesce(F.try_element_at(likely, F.get(f, i - 1)), F.array().cast("array<int>")), lambda y: option(i, y))))

@@ -37,12 +37,14 @@ ORDERED = [
     ("EXTRATO", ["EXTRATO"]),
     ("COMPROVANTE", ["COMPROVANTE"]),
 ]
-# Fixed values, without accents as texts are folded: words of a planned payment, and phrases that deny a plan.
+# Fixed values, without accents as texts are folded: words of a planned payment.
 PLANNED = [
     "AGENDAMENTO", "AGENDADO", "PREVISTO", "DATA PROGRAMADA", "PAGAMENTO PROGRAMADO", "ORDEM FUTURA",
     "PREVISAO DE DEBITO", "AGENDAR PAGAMENTO", "PAGAMENTO AGENDADO PARA", "DATA PREVISTA", "DEBITO FUTURO", "PAGAMENTO SERA EFETUADO", "CONFIRMACAO DE AGENDAMENTO",
     "TRANSFERENCIA AGENDADA", "PIX AGENDADO", "TED AGENDADA", "DOC AGENDADO",
 ]
+# Words of a scheduled payment, and phrases that deny it.
+SCHEDULED = ["AGENDAMENTO", "AGENDADO", "AGENDADA", "PREVISTO", "PREVISTA", "PROGRAMADO", "PROGRAMADA", "DATA PROGRAMADA"]
 DENIED = ["NAO HOUVE AGENDA", "NAO AGENDADO", "SEM AGENDAMENTO"]
 # Words that are counted for a planned and for a made payment.
 COUNT_PLANNED = ["AGENDAMENTO", "AGENDADO", "PREVISAO DE DEBITO", "DEBITAR EM", "SOLICITACAO DE", "AUTORIZACAO PENDENTE"]
@@ -110,7 +112,7 @@ def classify_ordered(text: Column) -> Column:
 def is_planned(text: Column) -> Column:
     """True where a payment is only planned; phrases that deny it win."""
     up = fold(F.coalesce(text, F.lit("")))
-    return ~_any(up, DENIED) & _any(up, PLANNED)
+    return ~_any(up, DENIED) & _any(up, SCHEDULED)
 
 
 def payment_state(text: Column) -> tuple[Column, Column, Column, Column]:

@@ -194,8 +194,8 @@ def payment_state(spark, d):
 
 
 @query("bank_payment", f"""
-WITH u AS ({UP}), a AS (SELECT id, {_any('up', text.PLANNED)} AS planned, {_any('up', text.CONFIRMED)} AS said, nullif(regexp_extract(up, '{text.AUTHENTICATION}'), '') AS auth, {_any('up', text.DENIED)} AS denied FROM u)
-SELECT id, CASE WHEN planned THEN 'PLANNED' WHEN said AND auth IS NOT NULL THEN 'CONFIRMED' WHEN said THEN 'CONFIRMED_UNSIGNED' WHEN auth IS NOT NULL THEN 'PROBABLE' ELSE 'NOTHING' END AS reason, auth, planned AND NOT denied AS scheduled FROM a""")
+WITH u AS ({UP}), a AS (SELECT id, {_any('up', text.PLANNED)} AS planned, {_any('up', text.CONFIRMED)} AS said, nullif(regexp_extract(up, '{text.AUTHENTICATION}'), '') AS auth, {_any('up', text.SCHEDULED)} AND NOT {_any('up', text.DENIED)} AS scheduled FROM u)
+SELECT id, CASE WHEN planned THEN 'PLANNED' WHEN said AND auth IS NOT NULL THEN 'CONFIRMED' WHEN said THEN 'CONFIRMED_UNSIGNED' WHEN auth IS NOT NULL THEN 'PROBABLE' ELSE 'NOTHING' END AS reason, auth, scheduled FROM a""")
 def bank_payment(spark, d):
     """What a receipt says about its payment, its authentication, and whether it is only scheduled."""
     reason, auth = text.bank_payment(F.col("raw_text"))
