@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -63,32 +65,108 @@ def greedy_pairs(pairs: DataFrame, a: str, b: str, *order: Column) -> DataFrame:
         left = nxt
 
 
-def auction_assignment(pairs: DataFrame, a: str, b: str, gain: str) -> DataFrame:
+def matching_of(a: np.ndarray, b: np.ndarray, gain: np.ndarray, n: int, m: int) -> list[tuple[int, int]]:
+    """(row, column) pairs, each row and column at most once, of the largest total gain; a[k], b[k], gain[k] are the pairs with a gain above 0.
+
+    Shortest augmenting paths with integer prices: a row enters at its best gain and
+    the cheapest way is sought to a free column, or to a row that had better stay
+    alone.  Only rows and columns nearer than that are touched; a row's pairs are
+    looked through at once.
+    """
+    order = np.lexsort((b, a))
+    a, b, gain = a[order], b[order], gain[order].astype(np.int64)
+    start = np.searchsorted(a, np.arange(n + 1))
+    of_row, of_col = np.full(n, -1, np.int64), np.full(m, -1, np.int64)
+    u, v = np.zeros(n, np.int64), np.zeros(m, np.int64)
+    far = np.iinfo(np.int64).max
+    dist, via = np.full(m, far), np.full(m, -1, np.int64)
+    for root in range(n):
+        lo, hi = start[root], start[root + 1]
+        u[root] = max(0, int((gain[lo:hi] - v[b[lo:hi]]).max())) if hi > lo else 0
+        if not u[root]:
+            continue
+        rows, cols, touched, heap, done = [(root, 0)], [], [], [], set()
+        end, alone, last = int(u[root]), root, -1  # the cheapest end so far: this row stays alone, or a free column
+        row, d = root, 0
+        while True:
+            x = b[start[row] : start[row + 1]]
+            new = d + u[row] + v[x] - gain[start[row] : start[row + 1]]
+            near = (new < dist[x]) & (new < end)
+            x, new = x[near], new[near]
+            if len(x):
+                dist[x], via[x] = new, row
+                touched.append(x)
+                free = of_col[x] < 0
+                if free.any():
+                    k = int(np.where(free, new, far).argmin())
+                    end, alone, last = int(new[k]), -1, int(x[k])
+                for k, c in zip(new[~free].tolist(), x[~free].tolist()):
+                    heapq.heappush(heap, (k, c))
+            row = -1
+            while heap and row < 0:
+                d, c = heapq.heappop(heap)
+                if d >= end:
+                    break
+                if c not in done:
+                    done.add(c)
+                    cols.append((c, d))
+                    row = int(of_col[c])
+            if row < 0:
+                break
+            rows.append((row, d))
+            if d + u[row] < end:
+                end, alone, last = int(d + u[row]), row, -1
+        for r, d in rows:
+            u[r] -= end - d
+        for c, d in cols:
+            v[c] += end - d
+        if alone >= 0:  # the row gives up its column, if it has one
+            last, of_row[alone] = int(of_row[alone]), -1
+        while last >= 0:
+            r = int(via[last])
+            of_col[last] = r
+            of_row[r], last = last, int(of_row[r])
+        for x in touched:
+            dist[x], via[x] = far, -1
+    return [(i, int(c)) for i, c in enumerate(of_row) if c >= 0]
+
+
+def assignment(pairs: DataFrame, a: str, b: str, gain: str, group: str | None = None) -> DataFrame:
     """One-to-one pairs with the largest total gain; gains are integers above 0, every side may stay alone.
 
-    Auction in rounds: each free ``a`` bids for the ``b`` of the best gain less
-    price, each ``b`` goes to the highest bidder, until no free ``a`` has a bid worth
-    more than nothing.  Gains are scaled by the number of bidders plus one and bids
-    rise by one, which makes the result optimal.  Prices are reverse-checked by the
-    outside option: an ``a`` whose best value is not positive retires.  Everything is
-    joins and aggregates; no component is gathered.
+    Each component of the pairs is solved by itself in one task, whose memory follows
+    its pairs; see :func:`matching_of`.  ``group`` may name a column that no component
+    crosses, which saves looking for components.
     """
-    scale = pairs.select(a).distinct().count() + 1
-    p = cut(pairs.groupBy(a, b).agg((F.max(gain) * scale).alias("g")))
-    own = cut(p.select(F.col(b).alias("_b"), F.lit(None).cast(p.schema[a].dataType).alias("owner"), F.lit(0).cast("bigint").alias("price")).distinct())
-    while True:
-        free = p.join(own.filter("owner is not null").select(F.col("owner").alias(a)), a, "left_anti")
-        v = free.join(own, F.col(b) == F.col("_b")).withColumn("v", F.col("g") - F.col("price"))
-        w = Window.partitionBy(a).orderBy(F.desc("v"), b)
-        top = v.withColumn("k", F.row_number().over(w)).withColumn("second", F.lead("v").over(w)).filter("k = 1 and v > 0")
-        bids = top.select("_b", F.col(a).alias("bidder"), (F.col("price") + F.col("v") - F.greatest(F.coalesce("second", F.lit(0)), F.lit(0)) + 1).alias("bid"))
-        won = cut(bids.groupBy("_b").agg(F.max_by(F.struct("bidder", "bid"), F.struct("bid", F.col("bidder"))).alias("w")).select("_b", "w.*"), count=F.lit(True))
-        if not won.counted:
-            out = own.filter("owner is not null").select(F.col("owner").alias(a), F.col("_b").alias(b))
-            return out.join(p, [a, b]).select(a, b, (F.col("g") / scale).cast("bigint").alias(gain))
-        nxt = cut(own.join(won, "_b", "left").select("_b", F.coalesce("bidder", "owner").alias("owner"), F.coalesce("bid", "price").alias("price")))
-        drop_cut(own, won)
-        own = nxt
+    p = pairs.groupBy(*([group] if group else []), a, b).agg(F.max(gain).alias(gain))
+    if group is None:
+        p = cut(p)
+        # both sides in one space of ids: those of b as odd numbers, or texts with another first letter
+        text = "string" in (dict(p.dtypes)[a], dict(p.dtypes)[b])
+        ids = [F.concat(F.lit(x), F.col(c)) if text else F.col(c).cast("bigint") * 2 + k for k, (x, c) in enumerate((("a", a), ("b", b)))]
+        p = p.withColumn("_a", ids[0]).withColumn("_b", ids[1])
+        p = p.join(components(p, "_a", "_b").select(F.col("id").alias("_a"), F.col("component").alias("_g")), "_a")
+        group = "_g"
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in p.select(a, b, gain).schema)
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        sides = [np.unique(pdf[c].to_numpy(), return_inverse=True) for c in (a, b)]
+        small = 0 if len(sides[0][0]) <= len(sides[1][0]) else 1  # fewer rows, fewer paths
+        (rn, r), (cn, c) = sides[small], sides[1 - small]
+        g = pdf[gain].to_numpy()
+        got = matching_of(r, c, g, len(rn), len(cn))
+        i, j = np.array(got, dtype=np.int64).reshape(-1, 2).T
+        key = r * len(cn) + c
+        order = np.argsort(key)
+        won = g[order[np.searchsorted(key, i * len(cn) + j, sorter=order)]]
+        x, y = (rn[i], cn[j]) if small == 0 else (cn[j], rn[i])
+        return pd.DataFrame({a: x, b: y, gain: won})
+
+    return p.select(F.col(group).alias("_group"), a, b, gain).groupBy("_group").applyInPandas(solve, out)
+
+
+#: Its former name, from when prices were bid up in rounds.
+auction_assignment = assignment
 
 
 def greedy_flow(pairs: DataFrame, a: str, b: str) -> DataFrame:
