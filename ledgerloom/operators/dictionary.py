@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import pair_udf, sequence_ratio
 from ..session import cut, size_in_bytes
+from .alike import most_alike, search
 
 #: A dictionary is sent to tasks in blocks of at most this many bytes.
 BROADCAST_LIMIT = 8 << 20
@@ -66,8 +64,8 @@ def match_names(names: DataFrame, known: DataFrame, name: str, least: float = 0.
     2 one contains the other, by share of the longer, first in dictionary order; 3
     shared words over the fewer words, best first; 4 matching blocks.  Tier 1 is an
     equi-join, tier 2 joins on first letters and tier 3 on words; only names without
-    an earlier hit reach the matching blocks, which compare them with the dictionary
-    as a stated query set, block by block.
+    an earlier hit reach the matching blocks, which search the dictionary for the
+    most alike; see :func:`alike.most_alike`.
     """
     d = names.select(F.upper(F.trim(name)).alias("name")).filter("name is not null and name <> ''").distinct()
     k = known.select(F.upper(F.trim("name")).alias("kname"), "canonical", "ord")
@@ -85,9 +83,8 @@ def match_names(names: DataFrame, known: DataFrame, name: str, least: float = 0.
     out = one.unionByName(two).unionByName(three)
     if fuzzy:
         rest = rest.join(three, "name", "left_anti")
-        near = F.abs(F.length("name") - F.length("kname")) <= F.greatest(F.length("name"), F.length("kname")) * (1 - least) * 2
-        met = [rest.join(b, near) for b in blocks(k, "kname")]
-        four = reduce(DataFrame.unionByName, met).withColumn("score", pair_udf(sequence_ratio)("name", "kname")).filter(F.col("score") >= least)
+        met = search(rest.select("name", F.lit(least).alias("least")), k.select(F.col("kname").alias("known")).filter("known is not null").distinct(), lambda n, c, x: most_alike(n, c, x, False))
+        four = met.join(k, F.col("known") == F.col("kname")).select("name", "canonical", "ord", F.col("ratio").alias("score"))
         four = four.groupBy("name").agg(F.min_by(F.struct("canonical", "score"), F.struct(-F.col("score"), F.col("ord"))).alias("b")).select("name", "b.canonical", "b.score", F.lit(4).alias("tier"))
         out = out.unionByName(four)
     return out

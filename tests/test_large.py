@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from ledgerloom.operators import graph
+from ledgerloom.functions import similarity
+from ledgerloom.operators import alike, graph
 
 
 def rows(df):
@@ -48,3 +49,56 @@ def test_assignment_of_named_sides_and_groups(spark):
     d = spark.createDataFrame(p, "k string, a string, b string, g long")
     assert rows(graph.assignment(d, "a", "b", "g")) == rows(graph.assignment(d, "a", "b", "g", "k")) == [("a", "x", 5), ("b", "y", 5), ("x", "a", 2)]
     assert graph.assignment(d.limit(0), "a", "b", "g").count() == 0
+
+
+def made_names(n, seed):
+    r = random.Random(seed)
+    syllables = ["VEL", "BOF", "RES", "PLO", "DRA", "TRAN", "SEM", "ÇÃO", "LTDA", " ", " "]
+    return sorted({"".join(r.choice(syllables) for _ in range(r.randrange(3, 11))).strip() or "X" for _ in range(n)})
+
+
+def test_ratios_at_once_equal_difflib():
+    a, b = made_names(900, 1), made_names(900, 2)
+    n = min(len(a), len(b))
+    a, b = [*a[:n], "", "A" * 250, ""], [*b[:n], "B", "A" * 240, ""]
+    assert similarity.sequence_ratios(a, b) == [similarity.sequence_ratio(x, y) for x, y in zip(a, b)]
+
+
+@pytest.mark.parametrize("flipped", [False, True])
+def test_most_alike_equals_a_loop_with_few_comparisons(monkeypatch, flipped):
+    known = made_names(800, 3)
+    names = [*made_names(60, 4), *[k[:2] + k[3:] for k in known[::40]], "A" * 70]
+    compared, f = [0], alike.sequence_ratios
+    monkeypatch.setattr(alike, "sequence_ratios", lambda a, b: (compared.__setitem__(0, compared[0] + len(a)), f(a, b))[1])
+    ratio = lambda n, k: similarity.sequence_ratio(k, n) if flipped else similarity.sequence_ratio(n, k)
+    for least in (0.6, 0.85):
+        want = []
+        for n in names:
+            top = max(ratio(n, k) for k in known)
+            want += [(n, k, top) for k in known if top >= least and ratio(n, k) == top]
+        assert sorted(alike.most_alike(names, [least] * len(names), known, flipped)) == sorted(want)
+    assert compared[0] < 0.25 * 2 * len(names) * len(known)
+
+
+def test_most_words_equals_a_loop():
+    known, names = made_names(700, 5), made_names(80, 6)
+    want = []
+    for n in names:
+        top = max(similarity.token_set_ratio(n, k) for k in known)
+        want += [(n, k, top) for k in known if top >= 0.95 and similarity.token_set_ratio(n, k) == top]
+    assert want and sorted(alike.most_words(names, [0.95] * len(names), known)) == sorted(want)
+
+
+def test_search_in_parts(spark, monkeypatch):
+    known, names = made_names(90, 7), made_names(40, 8)
+    d = spark.createDataFrame([(n, 0.6) for n in names], "name string, least double")
+    k = spark.createDataFrame([(x,) for x in known], "known string")
+    f = lambda n, c, x: alike.most_alike(n, c, x, False)
+    monkeypatch.setattr(alike, "KNOWN", 30)
+    got = {}
+    for n, x, v in rows(alike.search(d, k, f)):
+        got[n] = max(got.get(n, (0, "")), (v, x))
+    want = {}
+    for n, x, v in alike.most_alike(names, [0.6] * len(names), known, False):
+        want[n] = max(want.get(n, (0, "")), (v, x))
+    assert got == want and alike.search(d.limit(0), k, f).count() == alike.search(d, k.limit(0), f).count() == 0
