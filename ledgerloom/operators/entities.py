@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..functions.similarity import normalise_company, pair_udf, sequence_ratio, token_set_ratio
+from ..functions.similarity import normalise_company, pair_udf, token_set_ratio
+from ..session import cut
+from .alike import most_alike, search
 from .dictionary import blocks
 
 
@@ -16,22 +18,21 @@ def closest_known(names: DataFrame, known: DataFrame, name: str, least: float =
     """(name, known, tier) of each distinct name that is known: equal; one begins with the other and they differ by less than ten letters; or alike in matching blocks (``short`` for names under six letters).
 
     Ties of tier 2 go to the first by letters, of tier 3 to the most alike, then by
-    letters.  The known names are compared as a stated query set, block by block;
-    names of tier 1 leave before that.  Null and empty names match nothing.
+    letters.  The known names are searched as a stated query set (see :func:`alike.most_alike`);
+    names of tiers 1 and 2 leave before that.  Null and empty names match nothing.
     """
     d = names.select(F.upper(name).alias("name")).filter("name <> ''").distinct()
     k = known.select(F.upper("name").alias("known")).filter("known <> ''").distinct()
     one = d.join(k, F.col("name") == F.col("known"), "left_semi").select("name", F.col("name").alias("known"), F.lit(1).alias("tier"))
     rest = d.join(one, "name", "left_anti")
-    begins = F.startswith("name", F.col("known")) | F.startswith("known", F.col("name"))
-    near = F.abs(F.length("name") - F.length("known")) < 10
+    # less than ten letters longer: one is among the other's beginnings
+    begun = lambda c: F.explode(F.transform(F.sequence(F.greatest(F.lit(1), F.length(c) - 9), F.length(c)), lambda n: F.substr(F.col(c), F.lit(1), n))).alias("begun")
+    two = rest.select("name", begun("name")).join(k, F.col("begun") == F.col("known")).unionByName(k.select("known", begun("known")).join(rest, F.col("begun") == F.col("name")))
+    two = cut(two.groupBy("name").agg(F.min("known").alias("known")).select("name", "known", F.lit(2).alias("tier")))
     cutoff = F.when(F.length("name") < 6, short).otherwise(least)
-    # a ratio of r needs 2 * shorter / (both lengths) >= r
-    may = 2 * F.least(F.length("name"), F.length("known")) >= cutoff * (F.length("name") + F.length("known"))
-    met = [rest.join(b, (begins & near) | may) for b in blocks(k, "known")]
-    m = reduce(DataFrame.unionByName, met).withColumn("two", begins & near).withColumn("r", pair_udf(sequence_ratio)("known", "name"))
-    best = m.filter(F.col("two") | (F.col("r") >= cutoff)).groupBy("name").agg(F.min(F.struct(F.when(F.col("two"), 2).otherwise(3).alias("tier"), F.when(F.col("two"), 0.0).otherwise(-F.col("r")).alias("w"), "known")).alias("b"))
-    return one.unionByName(best.select("name", "b.known", "b.tier"))
+    met = search(rest.join(two, "name", "left_anti").withColumn("least", cutoff), k, lambda n, c, x: most_alike(n, c, x, True))
+    three = met.groupBy("name").agg(F.min(F.struct(-F.col("ratio"), "known")).alias("b")).select("name", "b.known", F.lit(3).alias("tier"))
+    return one.unionByName(two).unionByName(three)
 
 
 def cross_validate(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
