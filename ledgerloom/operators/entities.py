@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions.similarity import normalise_company, pair_udf, token_set_ratio
 from ..session import cut
-from .alike import most_alike, search
-from .dictionary import blocks
+from .alike import most_alike, most_words, search
 
 
 def closest_known(names: DataFrame, known: DataFrame, name: str, least: float = 0.85, short: float = 0.75) -> DataFrame:
@@ -51,7 +48,7 @@ def cross_validate(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
     sure = F.col("ratio") >= 0.8
     first = hit.select(key, F.when(sure, "APPROVED").otherwise("WARNING").alias("status"), F.when(sure, 1.0).otherwise(0.9).alias("confidence"), F.col("k_cnpj").alias("cnpj"), F.col("k_name").alias("name"), F.when(sure, "NUMBER").otherwise("NUMBER_OTHER_NAME").alias("method"))
     rest = by_number.filter("k_cnpj is null").select(key, "n")
-    met = reduce(DataFrame.unionByName, [rest.select("n").filter("n <> ''").distinct().join(b) for b in blocks(k, "k_cnpj")])
-    alike = met.withColumn("ratio", pair_udf(token_set_ratio)("n", "k_clean")).filter("ratio >= 0.95").groupBy("n").agg(F.min(F.struct(-F.col("ratio"), "k_name", "k_cnpj")).alias("b"))
+    met = search(rest.select(F.col("n").alias("name")).filter("name <> ''").distinct().withColumn("least", F.lit(0.95)), k.select(F.col("k_clean").alias("known")).filter("known <> ''").distinct(), most_words)
+    alike = met.join(k, F.col("known") == F.col("k_clean")).groupBy(F.col("name").alias("n")).agg(F.min(F.struct(-F.col("ratio"), "k_name", "k_cnpj")).alias("b"))
     second = rest.join(alike, "n", "left").select(key, F.when(F.col("b").isNotNull(), "APPROVED").otherwise("REJECTED").alias("status"), F.coalesce(-F.col("b.col1"), F.lit(0.0)).alias("confidence"), F.col("b.k_cnpj").alias("cnpj"), F.col("b.k_name").alias("name"), F.when(F.col("b").isNotNull(), "NAME").otherwise("NONE").alias("method"))
     return first.unionByName(second)
