@@ -6,6 +6,7 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,22 +48,46 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
 
 
 def greedy_pairs(pairs: DataFrame, a: str, b: str, *order: Column) -> DataFrame:
-    """Pairs taken in ``order``, each side at most once: rounds of pairs that come first for both sides.
+    """Pairs taken in ``order``, each side at most once: rounds of pairs that come first for both sides, then one pass over what is left.
 
     A pair first for both sides is taken by the sequential loop as well, so the
-    result equals taking pairs one by one; no group is gathered in one task.
+    result equals taking pairs one by one.  A round is worth its two shuffles while it
+    leaves no more than half of the pairs; many rows that want the same few would need
+    a round for each.  The pass sorts the pairs that are left (a sort may spill) and
+    streams them through one task, which keeps the ids taken, not the pairs.
     ``order`` must be total within each side.
     """
-    left, done = cut(pairs), None
-    while True:
-        best = cut(left.withColumn("_i", F.row_number().over(Window.partitionBy(a).orderBy(*order))).withColumn("_j", F.row_number().over(Window.partitionBy(b).orderBy(*order))).filter("_i = 1 and _j = 1").drop("_i", "_j"), count=F.lit(True))
-        if not best.counted:
-            drop_cut(left)
-            return best if done is None else done
+    left, done = cut(pairs, count=F.lit(True)), None
+    while left.counted:
+        best = cut(left.withColumn("_i", F.row_number().over(Window.partitionBy(a).orderBy(*order))).withColumn("_j", F.row_number().over(Window.partitionBy(b).orderBy(*order))).filter("_i = 1 and _j = 1").drop("_i", "_j"))
         done = best if done is None else done.unionByName(best)
-        nxt = cut(left.join(best.select(a), a, "left_anti").join(best.select(b), b, "left_anti"))
+        nxt = cut(left.join(best.select(a), a, "left_anti").join(best.select(b), b, "left_anti").select(*left.columns), count=F.lit(True))
+        slow = nxt.counted * 2 > left.counted
         drop_cut(left)
         left = nxt
+        if slow:
+            done = done.unionByName(cut(_in_order(left, a, b, *order)))
+            break
+    drop_cut(left)
+    return pairs.limit(0) if done is None else done
+
+
+def _in_order(pairs: DataFrame, a: str, b: str, *order: Column) -> DataFrame:
+    """Pairs taken one by one in one task."""
+
+    def take(batches):
+        used_a, used_b = set(), set()
+        for rows in batches:
+            keep = []
+            for x, y in zip(rows.column(a).to_pylist(), rows.column(b).to_pylist()):
+                free = x not in used_a and y not in used_b
+                if free:
+                    used_a.add(x)
+                    used_b.add(y)
+                keep.append(free)
+            yield rows.filter(pa.array(keep, pa.bool_()))
+
+    return pairs.coalesce(1).sortWithinPartitions(*order).mapInArrow(take, pairs.schema)
 
 
 def matching_of(a: np.ndarray, b: np.ndarray, gain: np.ndarray, n: int, m: int) -> list[tuple[int, int]]:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.functions import similarity
 from ledgerloom.operators import alike, graph
@@ -102,3 +103,10 @@ def test_search_in_parts(spark, monkeypatch):
     for n, x, v in alike.most_alike(names, [0.6] * len(names), known, False):
         want[n] = max(want.get(n, (0, "")), (v, x))
     assert got == want and alike.search(d.limit(0), k, f).count() == alike.search(d, k.limit(0), f).count() == 0
+
+
+def test_greedy_pairs_of_rows_that_want_the_same(spark, few_jobs):
+    """Ninety slips want the same ninety bills in the same order; a round each took 180 tables."""
+    p = [(a, b, b) for a in range(90) for b in range(90)] + [(200, 300, 1), (201, 300, 0)]
+    got = graph.greedy_pairs(spark.createDataFrame(p, "a long, b long, d long"), "a", "b", F.col("a"), F.col("d"), F.col("b"))
+    assert rows(got) == [(a, a, a) for a in range(90)] + [(200, 300, 1)]
