@@ -12,11 +12,6 @@ from .alike import most_alike, search
 BROADCAST_LIMIT = 8 << 20
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` with a broadcast hint where its estimated size allows one."""
-    return F.broadcast(df) if size_in_bytes(df) <= BROADCAST_LIMIT else df
-
-
 def blocks(df: DataFrame, key: str) -> list[DataFrame]:
     """``df`` in parts by hash, each small enough to be sent to every task.
 
@@ -69,7 +64,7 @@ def match_names(names: DataFrame, known: DataFrame, name: str, least: float = 0.
     """
     d = names.select(F.upper(F.trim(name)).alias("name")).filter("name is not null and name <> ''").distinct()
     k = known.select(F.upper(F.trim("name")).alias("kname"), "canonical", "ord")
-    one = d.join(small(k), F.col("name") == F.col("kname")).groupBy("name").agg(F.max_by("canonical", "ord").alias("canonical")).select("name", "canonical", F.lit(1.0).alias("score"), F.lit(1).alias("tier"))
+    one = d.join(k, F.col("name") == F.col("kname")).groupBy("name").agg(F.max_by("canonical", "ord").alias("canonical")).select("name", "canonical", F.lit(1.0).alias("score"), F.lit(1).alias("tier"))
     rest = d.join(one, "name", "left_anti")
     share = F.length("name") / F.greatest(F.length("kname"), F.length("name"))
     two = containing(rest, k, "name", "kname").withColumn("score", share).filter(F.col("score") >= least)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import similarity
-from ledgerloom.operators import alike, graph
+from ledgerloom.operators import alike, dictionary, graph
 
 
 def rows(df):
@@ -110,3 +110,16 @@ def test_greedy_pairs_of_rows_that_want_the_same(spark, few_jobs):
     p = [(a, b, b) for a in range(90) for b in range(90)] + [(200, 300, 1), (201, 300, 0)]
     got = graph.greedy_pairs(spark.createDataFrame(p, "a long, b long, d long"), "a", "b", F.col("a"), F.col("d"), F.col("b"))
     assert rows(got) == [(a, a, a) for a in range(90)] + [(200, 300, 1)]
+
+
+def test_dictionary_is_not_sent_by_way_of_the_driver(spark):
+    """An estimate of compressed columns let a dictionary of any size be collected and broadcast."""
+    known = spark.createDataFrame([(x, x, x) for x in made_names(40, 9)], "name string, canonical string, ord string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = dictionary.match_names(known.select(F.col("name").alias("n")), known, "n", fuzzy=False)
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+        assert {r["tier"] for r in got.collect()} == {1}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
