@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable
 
@@ -117,13 +118,41 @@ def most_words(names: list[str], least: list[float], known: list[str]) -> list[t
     return out
 
 
+def most_shared(names: list[str], least: list[float], known: list[str]) -> list[tuple[str, str, float]]:
+    """(name, known, share) of the first known text with the largest share of words in common, of the fewer words of the two, from ``least`` on."""
+    words = lambda t: list(dict.fromkeys(re.split(r"[ \t\n\x0b\f\r]+", t)))  # noqa: E731  the blanks of Spark's \s
+    having: dict[str, list[int]] = {}
+    for k, t in enumerate(known):
+        for w in words(t):
+            having.setdefault(w, []).append(k)
+    at = {w: np.array(k, dtype=np.int64) for w, k in having.items()}
+    size = np.array([len(words(t)) for t in known], dtype=np.int64)
+    count = np.zeros(len(known), np.int64)
+    out = []
+    for name, c in zip(names, least):
+        own = words(name)
+        hits = [at[w] for w in own if w in at]
+        if not hits:
+            continue
+        for k in hits:
+            count[k] += 1
+        which = np.unique(np.concatenate(hits))
+        share = count[which] / np.minimum(size[which], len(own))
+        j = int(share.argmax())  # the first of the largest
+        if share[j] >= c:
+            out.append((name, known[which[j]], float(share[j])))
+        count[which] = 0
+    return out
+
+
 def search(names: DataFrame, known: DataFrame, f: Callable[[list[str], list[float], list[str]], list[tuple[str, str, float]]]) -> DataFrame:
     """(name, known, ratio) that ``f`` gives, over (name, least) and (known), both distinct texts: the best of each part of the known ones.
 
     Every part of the names meets every part of the known ones in a task; a part is
     sent as often as the other side has parts, and nothing goes by way of the driver.
+    Known texts come in the order of their column ``ord``, if they have one.
     """
-    a, b = cut(names.select("name", "least"), count=F.lit(True)), cut(known.select("known"), count=F.lit(True))
+    a, b = cut(names.select("name", "least"), count=F.lit(True)), cut(known.select("known", *(["ord"] if "ord" in known.columns else [])), count=F.lit(True))
     p, q = max(24, -(-a.counted // NAMES)), max(1, -(-b.counted // KNOWN))
     part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -131,6 +160,7 @@ def search(names: DataFrame, known: DataFrame, f: Callable[[list[str], list[floa
     y = b.withColumn("_q", part("known", q)).withColumn("_p", every(p)).repartition(p * q, "_p", "_q")
 
     def meet(n: pd.DataFrame, k: pd.DataFrame) -> pd.DataFrame:
+        k = k.sort_values("ord") if "ord" in k else k
         got = f(n["name"].tolist(), n["least"].tolist(), k["known"].tolist()) if len(n) and len(k) else []
         return pd.DataFrame(got, columns=["name", "known", "ratio"])
 

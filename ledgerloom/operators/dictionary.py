@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut, size_in_bytes
-from .alike import most_alike, search
+from .alike import most_alike, most_shared, search
 
 #: A dictionary is sent to tasks in blocks of at most this many bytes.
 BROADCAST_LIMIT = 8 << 20
@@ -58,7 +58,8 @@ def match_names(names: DataFrame, known: DataFrame, name: str, least: float = 0.
     ``known`` has name, canonical and ord (place in the dictionary).  Tiers: 1 equal;
     2 one contains the other, by share of the longer, first in dictionary order; 3
     shared words over the fewer words, best first; 4 matching blocks.  Tier 1 is an
-    equi-join, tier 2 joins on first letters and tier 3 on words; only names without
+    equi-join, tier 2 joins on first letters, tier 3 counts shared words in parts of the
+    dictionary, so no pair is shuffled; only names without
     an earlier hit reach the matching blocks, which search the dictionary for the
     most alike; see :func:`alike.most_alike`.
     """
@@ -70,11 +71,9 @@ def match_names(names: DataFrame, known: DataFrame, name: str, least: float = 0.
     two = containing(rest, k, "name", "kname").withColumn("score", share).filter(F.col("score") >= least)
     two = two.groupBy("name").agg(F.min_by(F.struct("canonical", "score"), "ord").alias("b")).select("name", "b.canonical", "b.score", F.lit(2).alias("tier"))
     rest = rest.join(two, "name", "left_anti")
-    nw = rest.select("name", F.array_distinct(F.split("name", r"\s+")).alias("w")).withColumn("nn", F.size("w"))
-    kw = k.select("kname", "canonical", "ord", F.array_distinct(F.split("kname", r"\s+")).alias("kw")).withColumn("kn", F.size("kw"))
-    hits = nw.select("name", "nn", F.explode("w").alias("x")).join(kw.select("kname", "canonical", "ord", "kn", F.explode("kw").alias("x")), "x").groupBy("name", "nn", "kname", "canonical", "ord", "kn").agg(F.count("*").alias("c"))
-    three = hits.withColumn("score", F.col("c") / F.least("nn", "kn")).filter(F.col("score") >= least)
-    three = three.groupBy("name").agg(F.min_by(F.struct("canonical", "score"), F.struct(-F.col("score"), F.col("ord"))).alias("b")).select("name", "b.canonical", "b.score", F.lit(3).alias("tier"))
+    first = cut(k.filter("kname is not null").groupBy(F.col("kname").alias("known")).agg(F.min_by(F.struct("canonical", "ord"), "ord").alias("f")).select("known", "f.*"))
+    met = search(rest.select("name", F.lit(least).alias("least")), first, most_shared)
+    three = met.join(first, "known").groupBy("name").agg(F.min_by(F.struct("canonical", F.col("ratio").alias("score")), F.struct(-F.col("ratio"), F.col("ord"))).alias("b")).select("name", "b.canonical", "b.score", F.lit(3).alias("tier"))
     out = one.unionByName(two).unionByName(three)
     if fuzzy:
         rest = rest.join(three, "name", "left_anti")

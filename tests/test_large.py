@@ -1,6 +1,7 @@
 """Operators where many rows contend for few: they must end in few jobs and give the results of plain loops."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +124,16 @@ def test_dictionary_is_not_sent_by_way_of_the_driver(spark):
         assert {r["tier"] for r in got.collect()} == {1}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_most_shared_words_equal_a_loop():
+    known, names = made_names(300, 10), [*made_names(60, 11), "VEL VEL BOF", " VEL"]
+    words = lambda t: set(re.split(r"\s+", t))
+    want = {}
+    for n in names:
+        for k in known:
+            share = len(words(n) & words(k)) / min(len(words(n)), len(words(k)))
+            if share >= 0.6 and share > want.get(n, ("", 0))[1]:
+                want[n] = (k, share)
+    got = alike.most_shared(names, [0.6] * len(names), known)
+    assert want and {n: (k, v) for n, k, v in got} == want and len(got) == len(want)
