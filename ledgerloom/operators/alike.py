@@ -145,6 +145,40 @@ def most_shared(names: list[str], least: list[float], known: list[str]) -> list[
     return out
 
 
+def close_names(names: list[str], least: list[float], known: list[str]) -> list[tuple[str, str, float]]:
+    """(name, known, similarity) of all pairs that share a word, from ``least`` on: 1 if equal, 0.9 if one contains the other, else the Jaccard similarity of their words.
+
+    Of a text that another contains all words but the first and the last are whole
+    words there, which leaves few pairs to be looked at as texts.
+    """
+    of = [set(t.split(" ")) for t in known]
+    having: dict[str, list[int]] = {}
+    for k, ws in enumerate(of):
+        for w in ws:
+            having.setdefault(w, []).append(k)
+    at = {w: np.array(k, dtype=np.int64) for w, k in having.items()}
+    size = np.array([len(ws) for ws in of], dtype=np.int64)
+    count = np.zeros(len(known), np.int64)
+    out = []
+    for name, c in zip(names, least):
+        own = set(name.split(" "))
+        hits = [at[w] for w in own if w in at]
+        if not hits:
+            continue
+        for k in hits:
+            count[k] += 1
+        which = np.unique(np.concatenate(hits))
+        shared = count[which]
+        count[which] = 0
+        words = shared / (size[which] + len(own) - shared)
+        for j in np.flatnonzero((words >= c) | (shared >= np.minimum(size[which], len(own)) - 2)):
+            k = known[which[j]]
+            sim = 1.0 if k == name else 0.9 if k in name or name in k else float(words[j])
+            if sim >= c:
+                out.append((name, k, sim))
+    return out
+
+
 def search(names: DataFrame, known: DataFrame, f: Callable[[list[str], list[float], list[str]], list[tuple[str, str, float]]]) -> DataFrame:
     """(name, known, ratio) that ``f`` gives, over (name, least) and (known), both distinct texts: the best of each part of the known ones.
 

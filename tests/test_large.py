@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import similarity
 from ledgerloom.operators import alike, dictionary, graph
+from ledgerloom.plans import reconcile
 
 
 def rows(df):
@@ -137,3 +138,27 @@ def test_most_shared_words_equal_a_loop():
                 want[n] = (k, share)
     got = alike.most_shared(names, [0.6] * len(names), known)
     assert want and {n: (k, v) for n, k, v in got} == want and len(got) == len(want)
+
+
+def test_close_names_equal_a_loop():
+    names = [n for n in made_names(150, 12) + ["VEL", "VEL BOF", "XVEL BOF DRAX"] if "  " not in n]
+    want = []
+    for n in names:
+        for k in names:
+            x, y = set(n.split(" ")), set(k.split(" "))
+            sim = 1.0 if n == k else 0.9 if n in k or k in n else len(x & y) / len(x | y)
+            if x & y and sim >= 0.7:
+                want.append((n, k, sim))
+    assert len(want) > len(names) and sorted(alike.close_names(names, [0.7] * len(names), names)) == sorted(want)
+
+
+def test_group_pairs_meet_once(spark, monkeypatch):
+    """Names of several words met once for each word, and a wide distinct dropped the copies."""
+    docs = spark.createDataFrame([(i, "PENDING") for i in range(40)], "id long, status string")
+    t = spark.createDataFrame([(i, i, "ALFA BETA GAMA DELTA" if i % 2 else "ALFA BETA GAMA", 1000 + 7000 * (i % 3), None) for i in range(40)], "id long, doc_id long, supplier_clean string, amount_cents long, link_id long")
+    monkeypatch.setattr(reconcile, "load", lambda s, d, *n: docs)
+    monkeypatch.setattr(reconcile, "distinct_trans", lambda s, d: t)
+    j = reconcile.group_pairs(spark, "")
+    got = rows(j.select("id", "other", "confidence"))
+    assert got == sorted((a, b, 1.0 if a % 2 == b % 2 else 0.95) for a in range(40) for b in range(40) if a != b and a % 3 == b % 3)
+    assert "Distinct" not in j._jdf.queryExecution().logical().toString()
