@@ -228,10 +228,15 @@ def word_gain(a: str, b: str) -> float:
 
 def align(a: tuple, b: tuple) -> str | None:
     """'full' if two parsed names are the same beyond doubt, 'part' if they can be, None if they differ."""
+    return aligned(a, b)[0]
+
+
+def aligned(a: tuple, b: tuple) -> tuple[str | None, int]:
+    """What :func:`align` says, and the edits between the words of the two names that were taken for each other."""
     (ca, ga, ba), (cb, gb, bb) = a, b
     if ba and bb and not set(ba) & set(bb):
-        return None
-    one, two = list(ca), list(cb)
+        return None, 0
+    one, two, changed = list(ca), list(cb), 0
     # words run together on one side
     for x, y in ((one, two), (two, one)):
         for w in list(x):
@@ -241,6 +246,7 @@ def align(a: tuple, b: tuple) -> str | None:
                     if len(y[p]) > 1 and len(y[q]) > 1 and osa(w, j, 2) <= 2 and not any(osa(w, z, 2) <= 2 for z in y):
                         k = x.index(w)
                         x[k : k + 1] = [y[p], y[q]]
+                        changed += osa(w, j, 2)
                         break
     given = {"same": 0, "initial": 0}
     fa, fb = list(ga), list(gb)
@@ -256,20 +262,21 @@ def align(a: tuple, b: tuple) -> str | None:
     left = [w for i, w in enumerate(one) if i not in {p for p, _ in picks} and len(w) > 1]
     right = [w for j, w in enumerate(two) if j not in {q for _, q in picks} and len(w) > 1]
     if left and right:
-        return None
+        return None, 0
     # initials that fit no word of the other side speak against it
     odd = [w for i, w in enumerate(one) if len(w) == 1 and i not in {p for p, _ in picks}], [w for j, w in enumerate(two) if len(w) == 1 and j not in {q for _, q in picks}]
     if odd[0] and right or odd[1] and left:
-        return None
+        return None, 0
+    changed += sum(round((1 - gain[i][j]) / 0.15) for i, j in picks if gain[i][j] >= 0.65)
     strong = sum(gain[i][j] >= 0.65 and not (one[i] in known and two[j] in known) for i, j in picks)
     weak = len(picks) - strong
     company = bool(ba or bb)
     same_biz = bool(ba and bb)
     if strong >= 2 and (same_biz or given["same"] or not company and not left and not right):
-        return "full"
+        return "full", changed
     if strong >= 2 or strong == 1 and (same_biz or given["same"] or weak):
-        return "part"
-    return None
+        return "part", changed
+    return None, 0
 
 
 #: Letters of a word that the delete index looks at: two words within k edits share a form of their beginnings with up to k letters deleted.
@@ -308,9 +315,10 @@ def close_words(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _align_udf():
-    @F.pandas_udf(T.StringType())
-    def run(ca: pd.Series, ga: pd.Series, ba: pd.Series, cb: pd.Series, gb: pd.Series, bb: pd.Series) -> pd.Series:
-        return pd.Series([align((list(p), list(q), list(r)), (list(x), list(y), list(z))) for p, q, r, x, y, z in zip(ca, ga, ba, cb, gb, bb)], dtype=object)
+    @F.pandas_udf(T.StructType([T.StructField("how", T.StringType()), T.StructField("changed", T.IntegerType())]))
+    def run(ca: pd.Series, ga: pd.Series, ba: pd.Series, cb: pd.Series, gb: pd.Series, bb: pd.Series) -> pd.DataFrame:
+        rows = [aligned((list(p), list(q), list(r)), (list(x), list(y), list(z))) for p, q, r, x, y, z in zip(ca, ga, ba, cb, gb, bb)]
+        return pd.DataFrame({"how": pd.Series([h for h, _ in rows], dtype=object), "changed": pd.Series([n for _, n in rows], dtype="int32")})
 
     return run
 
@@ -374,7 +382,9 @@ def name_groups(names: DataFrame, col: str = "name") -> DataFrame:
        permitted, however many words they have.
     4. Sure alignments are joined into groups by minimum labels.  A group without a
        complete form (words dropped, initials only) joins the group with a complete
-       form that it fits, if there is exactly one; if it fits several it stays apart.
+       form that it fits with the fewest edits; if several fit it equally well it stays
+       apart.  Among very many suppliers most short names come close to several, but few
+       are equal to several.
        A name of initials alone is linked to nothing.
 
     Nothing is capped.  A word shared by n forms costs as many comparisons as forms
@@ -388,17 +398,18 @@ def name_groups(names: DataFrame, col: str = "name") -> DataFrame:
     cand = candidates(forms)
     f = forms.select("fid", "core", "given", "biz")
     g = f.select([F.col(c).alias({"fid": "gid", "core": "core2", "given": "given2", "biz": "biz2"}[c]) for c in f.columns])
-    pairs = cut(cand.join(f, "fid").join(g, "gid").withColumn("how", _align_udf()("core", "given", "biz", "core2", "given2", "biz2")).filter("how is not null").select("fid", "gid", "how"))
+    pairs = cut(cand.join(f, "fid").join(g, "gid").withColumn("a", _align_udf()("core", "given", "biz", "core2", "given2", "biz2")).filter("a.how is not null").select("fid", "gid", "a.how", "a.changed"))
     sure = connected_groups(pairs.filter("how = 'full'"), "fid", "gid", "fid", "grp")
     lab = cut(forms.select("fid").join(sure, "fid", "left").select("fid", F.coalesce("grp", "fid").alias("grp")))
     # complete forms: two whole words and a line of business or a given name; they anchor their groups
     whole = F.size(F.filter("core", lambda w: F.length(w) > 1)) >= 2
     anchors = lab.join(forms.filter(whole & ((F.size("biz") > 0) | (F.size("given") > 0))).select("fid"), "fid", "left_semi").select("grp").distinct()
-    part = pairs.filter("how = 'part'").select("fid", "gid")
-    both = part.unionByName(part.select(F.col("gid").alias("fid"), F.col("fid").alias("gid")))
-    gl = both.join(lab, "fid").join(lab.select(F.col("fid").alias("gid"), F.col("grp").alias("other")), "gid").filter("grp <> other").select("grp", "other").distinct()
+    part = pairs.filter("how = 'part'").select("fid", "gid", "changed")
+    both = part.unionByName(part.select(F.col("gid").alias("fid"), F.col("fid").alias("gid"), "changed"))
+    gl = both.join(lab, "fid").join(lab.select(F.col("fid").alias("gid"), F.col("grp").alias("other")), "gid").filter("grp <> other").groupBy("grp", "other").agg(F.min("changed").alias("changed"))
     gl = gl.join(anchors, "grp", "left_anti").join(anchors.withColumnRenamed("grp", "other"), "other", "left_semi")
-    joined = gl.groupBy("grp").agg(F.count("*").alias("n"), F.min("other").alias("top")).filter("n = 1").select("grp", "top")
+    fits = gl.groupBy("grp", "changed").agg(F.count("*").alias("n"), F.min("other").alias("top"))
+    joined = fits.groupBy("grp").agg(F.min(F.struct("changed", "n", "top")).alias("best")).filter("best.n = 1").select("grp", "best.top")
     out = d.select("name", "form").join(forms.select("form", "fid"), "form").join(lab, "fid").join(joined, "grp", "left")
     return out.select("name", F.coalesce("top", "grp").alias("group"))
 

@@ -58,6 +58,13 @@ def test_short_words_and_shared_words(spark):
     assert got == {("TIM XPO", "TIM XPOO"), tuple(sorted((shared[0], rows[-1])))}
 
 
+def test_short_name_joins_the_closest_of_several(spark):
+    """A short name that is equal to one supplier and close to another belongs to the first; equal to two, it stays apart."""
+    rows = ["MORCINTO FELFRINI SEMENTES", "MORCINDO FRALGANE SEMENTES", "MORCINTO F. SEMENTES", "DALPRASO GUVISEL PNEUS", "DALPRASO GRERTAZI PNEUS", "DALPRASO G. PNEUS"]
+    got = set(map(tuple, variant_pairs(spark.createDataFrame([(x,) for x in rows], "name string")).collect()))
+    assert got == {("MORCINTO F. SEMENTES", "MORCINTO FELFRINI SEMENTES")}
+
+
 def test_candidates_against_all_pairs(spark):
     """Every two forms that align and share a word within the edits that the shorter word allows, or one run together, are candidates."""
     from ledgerloom.llm.names import candidates, edits
