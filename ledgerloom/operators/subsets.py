@@ -1,36 +1,96 @@
-"""Sums of a few rows that meet a target: joins for pairs and triples, pruned search beyond."""
+"""Sums of a few rows that meet a target: bisection for pairs, pruned search beyond."""
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .ranges import tolerance_join
+#: Target-item pairs of a task's share of one key, and of the least share a key is spread by.
+SHARE, SPREAD = 16_000_000, 1_000_000
+#: Rows handed on at once.
+HANDED = 200_000
 
 
-def pair_sums(targets: DataFrame, items: DataFrame, key: str, target: str, value: str, tid: str, iid: str, tol: int, salts: int = 8) -> DataFrame:
+def met_pairs(values: np.ndarray, target: int, tol: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j), i < j, of the ascending ``values`` whose sum is within ``tol`` of ``target``: some at a time.
+
+    The lesser of two values is at most half of the target, so only those come first;
+    the others that complete one lie side by side.
+    """
+    first = values[: np.searchsorted(values, (target + tol) // 2, "right")]
+    lo = np.maximum(np.searchsorted(values, target - tol - first), np.arange(1, len(first) + 1))
+    n = np.searchsorted(values, target + tol - first, "right") - lo
+    at = np.flatnonzero(n > 0)
+    lo, n = lo[at], n[at]
+    ends = np.cumsum(n)
+    k = 0
+    while k < len(at):
+        done = int(ends[k - 1]) if k else 0
+        m = max(k + 1, int(np.searchsorted(ends, done + HANDED, "right")))
+        c = n[k:m]
+        yield np.repeat(at[k:m], c), np.arange(done, int(ends[m - 1])) + np.repeat(lo[k:m] - ends[k:m] + c, c)
+        k = m
+
+
+def sums(ids: pa.Array, i: pa.Array, v: np.ndarray, at: list) -> pa.RecordBatch:
+    """Rows of the pairs of positions ``at``: (target, first, second)."""
+    k, p, q = (np.concatenate(x) for x in zip(*at))
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(k)), i.take(pa.array(p)), i.take(pa.array(q)), pa.array(v[p] + v[q])], names=["_id", "_i", "_j", "_total"])
+
+
+def pair_sums(targets: DataFrame, items: DataFrame, key: str, target: str, value: str, tid: str, iid: str, tol: int) -> DataFrame:
     """(tid, i1, i2, total): two items of the target's key, i1 < i2, whose sum is within ``tol`` of the target.
 
-    For every (target, first item) the missing rest is looked up among the items by
-    a tolerance join, so the work follows target-item pairs, not all item pairs.  Of
-    two items one is at most half of the target, so only items up to that come first.
-    The rows of a key meet in ``salts`` parts, so a hot key is spread over tasks.
+    The items of a key are one sorted list, which meets the key's targets some at a
+    time, so a hot key is spread over tasks.  Pairs are found by bisection, each once,
+    and go straight to the output: only lists are shuffled, never a pair.
     """
-    part = F.pmod(F.xxhash64(tid), F.lit(salts))
-    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("_p")
-    t = targets.select(tid, F.col(key).alias("_k"), F.col(target).alias("_t"), part.alias("_p"))
-    first = items.select(F.col(key).alias("_k"), F.col(iid).alias("_i"), F.col(value).alias("_v"), every)
-    one = t.join(first, ["_k", "_p"]).filter(F.col("_v") * 2 <= F.col("_t") + tol).withColumn("_rest", F.col("_t") - F.col("_v"))
-    two = items.select(F.col(key).alias("_k2"), F.col(iid).alias("_j"), F.col(value).alias("_w"))
-    met = tolerance_join(one, two, "_rest", "_w", tol, [("_k", "_k2")]).filter("_i <> _j")
-    return met.select(tid, F.least("_i", "_j").alias("i1"), F.greatest("_i", "_j").alias("i2"), (F.col("_v") + F.col("_w")).alias("total")).distinct()
+    kind, ikind, vkind = dict(targets.dtypes)[tid], dict(items.dtypes)[iid], dict(items.dtypes)[value]
+    listed = lambda df, k, v, i, out: df.filter(F.col(v).isNotNull()).groupBy(F.col(k).alias("_k")).agg(F.array_sort(F.collect_list(F.struct(F.col(v).cast("bigint").alias("v"), F.col(i).alias("i")))).alias(out))
+    both = listed(targets, key, target, tid, "_a").join(listed(items, key, value, iid, "_b"), "_k")
+    work = F.size("_a").cast("bigint") * F.size("_b")
+    shares = F.greatest(F.ceil(work / SHARE), F.least(F.lit(16), F.ceil(work / SPREAD), F.size("_a")))
+    each = both.withColumn("_m", F.ceil(F.size("_a") / shares).cast("int")).withColumn("_p", F.explode(F.sequence(F.lit(1), F.size("_a"), F.col("_m"))))
+    some = each.select("_k", "_p", F.slice("_a", F.col("_p"), F.col("_m")).alias("_a"), "_b").select("_k", "_p", F.col("_a.i").alias("_id"), F.col("_a.v").alias("_t"), F.col("_b.v").alias("_v"), F.col("_b.i").alias("_i"))
+    # the number of tasks is given: few bytes would be taken for little work
+    met = some.repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_k", "_p").select("_id", "_t", "_v", "_i")
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, ts, v, i in zip(*b.columns):
+                ids, v, i = ids.values, v.values.to_numpy(zero_copy_only=False), i.values
+                at, size = [], 0
+                for k, x in enumerate(ts.values.to_pylist()):
+                    for p, q in met_pairs(v, x, tol):
+                        at.append((np.full(len(p), k), p, q))
+                        size += len(p)
+                        if size >= HANDED:
+                            yield sums(ids, i, v, at)
+                            at, size = [], 0
+                if at:
+                    yield sums(ids, i, v, at)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in found(batches):
+            held.append(b)
+            if len(held) >= 1000 or b.num_rows >= HANDED:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held = []
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    got = met.mapInArrow(pick, f"_id {kind}, _i {ikind}, _j {ikind}, _total bigint").filter("_i <> _j")
+    return got.select(F.col("_id").alias(tid), F.least("_i", "_j").alias("i1"), F.greatest("_i", "_j").alias("i2"), F.col("_total").cast(vkind).alias("total"))
 
 
 def subset_of(values: list[int], target: int, tol: int, most: int, first: bool = True) -> list[tuple[int, ...]]:

@@ -1,5 +1,6 @@
 """Operators where many rows contend for few: they must end in few jobs and give the results of plain loops."""
 
+import itertools
 import random
 import re
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import similarity
-from ledgerloom.operators import alike, dictionary, graph
+from ledgerloom.operators import alike, dictionary, graph, subsets
 from ledgerloom.plans import reconcile
 
 
@@ -162,3 +163,18 @@ def test_group_pairs_meet_once(spark, monkeypatch):
     got = rows(j.select("id", "other", "confidence"))
     assert got == sorted((a, b, 1.0 if a % 2 == b % 2 else 0.95) for a in range(40) for b in range(40) if a != b and a % 3 == b % 3)
     assert "Distinct" not in j._jdf.queryExecution().logical().toString()
+
+
+def test_pair_sums_are_not_shuffled(spark, monkeypatch):
+    """Target-item pairs and the result itself were shuffled, which filled the disk for a hot key."""
+    r = random.Random(13)
+    monkeypatch.setattr(subsets, "HANDED", 50)
+    monkeypatch.setattr(subsets, "SPREAD", 100)
+    items = [(f"i{i}", "k" if i % 5 else None, r.choice([None, *range(1, 60)])) for i in range(90)]
+    targets = [(i, r.choice(["k", "k", None]), r.choice([None, *range(2, 120)])) for i in range(40)]
+    df = subsets.pair_sums(spark.createDataFrame(targets, "tid long, k string, t long"), spark.createDataFrame(items, "iid string, k string, v int"), "k", "t", "v", "tid", "iid", 2)
+    kept = [x for x in items if x[1] and x[2] is not None]
+    assert rows(df) == sorted((t, min(a[0], b[0]), max(a[0], b[0]), a[2] + b[2]) for t, k, x in targets if k and x is not None for a, b in itertools.combinations(kept, 2) if abs(a[2] + b[2] - x) <= 2)
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    after = plan[: plan.index("MapInArrow")]  # what is done with the pairs stands above the step that makes them
+    assert "Aggregate" not in after and "Join" not in after and dict(df.dtypes)["total"] == "int"
