@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import similarity
-from ledgerloom.operators import alike, dictionary, graph, subsets
+from ledgerloom.operators import alike, dictionary, graph, ranges, subsets
 from ledgerloom.plans import reconcile
 
 
@@ -178,3 +178,19 @@ def test_pair_sums_are_not_shuffled(spark, monkeypatch):
     plan = df._jdf.queryExecution().sparkPlan().toString()
     after = plan[: plan.index("MapInArrow")]  # what is done with the pairs stands above the step that makes them
     assert "Aggregate" not in after and "Join" not in after and dict(df.dtypes)["total"] == "int"
+
+
+@pytest.mark.parametrize("share", [50, 10**9])
+def test_value_pairs_equal_a_loop(spark, monkeypatch, share):
+    """Rows of the few bins of a narrow range stayed in the few tasks that their bytes allow, and each pair was met twice."""
+    monkeypatch.setattr(ranges, "SHARE", share)
+    monkeypatch.setattr(ranges, "HANDED", 40)
+    r = random.Random(14)
+    x = [(i, r.choice(["A", "B", "C", None]), r.choice([r.randrange(1, 30), r.randrange(200, 320), r.randrange(9_900, 10_300), 0, None])) for i in r.sample(range(400), 300)]
+    df = ranges.value_pairs(spark.createDataFrame([*x, x[0]], "id long, k string, v long"), "id", "k", "v", 5, 2)
+    want = []
+    for (i, k, v), (j, m, w) in itertools.combinations(sorted([*x, x[0]], key=lambda t: t[0]), 2):
+        if i != j and k and m and k != m and v and w and (abs(v - w) <= 5 or abs(v - w) * 100 <= 2 * min(v, w)):
+            want.append((i, j, abs(v - w) > 5))
+    assert rows(df) == sorted(want) and len({p for _, _, p in want}) == 2
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
