@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -21,7 +22,7 @@ from .pii_model import DIGITS, TAGS, Tagger, codes
 WEIGHTS = str(Path(__file__).with_name("pii_weights.npz"))
 #: Characters of a window and of the overlap of two.
 WINDOW, OVERLAP = 128, 48
-#: Windows of a matrix batch, and line shapes whose spans a task remembers.
+#: Shapes of a batch of paths, and line shapes whose spans a task remembers.
 BATCH, KEPT = 512, 150_000
 #: A line ends at a line break; texts without any part their lines by two blanks.
 ROW = re.compile(r"[^\r\n]+")
@@ -62,18 +63,17 @@ class Finder:
                 if b == len(c):
                     break
                 a += WINDOW - OVERLAP
-        scores = [np.empty((len(c), len(TAGS)), np.float32) for c in coded]
-        windows.sort(key=lambda w: w[2] - w[1])
-        for i in range(0, len(windows), BATCH):
-            part = windows[i : i + BATCH]
-            x = np.zeros((len(part), part[-1][2] - part[-1][1]), np.uint8)
-            for r, (k, a, b) in enumerate(part):
-                x[r, : b - a] = coded[k][a:b]
-            em = self.model.emissions(x).transpose(1, 0, 2)
-            for r, (k, a, b) in enumerate(part):
-                lo = a + OVERLAP // 2 if a else a
-                hi = b - OVERLAP // 2 if b < len(coded[k]) else b
-                scores[k][lo:hi] = em[r, lo - a : hi - a]
+        ems = self.model.emissions([coded[k][a:b] for k, a, b in windows])
+        scores: list = [None] * len(coded)
+        for (k, a, b), em in zip(windows, ems):
+            if b - a == len(coded[k]):
+                scores[k] = em
+                continue
+            if a == 0:
+                scores[k] = np.empty((len(coded[k]), len(TAGS)), np.float32)
+            lo = a + OVERLAP // 2 if a else a
+            hi = b - OVERLAP // 2 if b < len(coded[k]) else b
+            scores[k][lo:hi] = em[lo - a : hi - a]
         out: list = [()] * len(coded)
         order = sorted(range(len(coded)), key=lambda k: len(coded[k]))
         for i in range(0, len(order), BATCH):
@@ -132,7 +132,8 @@ class Finder:
 def raw_spans(y: np.ndarray) -> list[tuple[str, int, int]]:
     """Spans of a tag sequence."""
     out, k = [], 0
-    for i in np.flatnonzero(y):
+    marked, y = y.nonzero()[0].tolist(), y.tolist()
+    for i in marked:
         if i < k:
             continue
         tag = TAGS[y[i]]
@@ -140,7 +141,7 @@ def raw_spans(y: np.ndarray) -> list[tuple[str, int, int]]:
         inside = TAGS.index(f"I-{tag[2:]}")
         while k < len(y) and y[k] == inside:
             k += 1
-        out.append((tag[2:], int(i), int(k)))
+        out.append((tag[2:], i, k))
     return out
 
 
@@ -182,6 +183,7 @@ def _bare(word: str, cut: str = ".") -> str:
     return "".join(c for c in unicodedata.normalize("NFD", word.upper()) if not unicodedata.combining(c)).rstrip(cut)
 
 
+@lru_cache(100_000)
 def _trade(word: str) -> bool:
     """True for a line of business, written out or abbreviated with a dot."""
     w = _bare(word, "")

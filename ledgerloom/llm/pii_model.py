@@ -18,7 +18,13 @@ TAGS = ["O"] + [f"{p}-{k}" for k in KINDS for p in "BI"]
 #: Characters with an entry of their own; any other is looked up by its base letter, else as 1.
 ALPHABET = "\0\1" + " !\"#$%&'()*+,-./9:;<=>?@[]_|{}~ªº°" + "abcdefghijklmnopqrstuvwxyzáâãàçéêíóôõúü" + "ABCDEFGHIJKLMNOPQRSTUVWXYZÁÂÃÀÇÉÊÍÓÔÕÚÜ"
 FLAT = -1e4
+#: Texts that are read together, and rows of a step's arrays.
+BLOCK, STEP = 4096, 384
 DIGITS = re.compile(r"[0-9]")
+#: tanh from -8 to 8, where it is 1 to seven places, in steps of 1 / FINE: half a step is less than the float16 weights resolve.
+FINE = 4096
+TANH = np.tanh(np.arange(-8 * FINE, 8 * FINE + 1) / FINE).astype(np.float32)
+MIDDLE = np.float32(8 * FINE + 0.5)
 
 _CODE = np.ones(0x110000, dtype=np.uint8)
 for _k, _c in enumerate(ALPHABET):
@@ -56,6 +62,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def tanh(x: np.ndarray, at: np.ndarray) -> None:
+    """TANH at the places x, written over x; ``at`` is room for whole numbers."""
+    i = at[: x.size].reshape(x.shape)
+    np.copyto(i, x, casting="unsafe")
+    TANH.take(i, out=x, mode="clip")
+
+
 class Tagger:
     """Parameters: E embeddings, Wf/Uf/bf and Wb/Ub/bb the two directions, V/c the tag scores, A transitions, s/e ends."""
 
@@ -81,47 +94,73 @@ class Tagger:
             return cls({k: z[k].astype(np.float32) for k in z.files})
 
     # inference ------------------------------------------------------------
-    def _scan(self, x: np.ndarray, live: np.ndarray, d: str) -> np.ndarray:
-        """Hidden states of one direction; x (T, B) codes, live (T, B) 1 within the text.
-
-        sigmoid(z) = (1 + tanh(z / 2)) / 2, so the gates' weights are halved and one
-        tanh serves all; every array of a step is written in place.
+    def _scores(self, coded: list[np.ndarray], d: str) -> tuple[np.ndarray, np.ndarray]:
+        """Tag scores of one direction for all characters, text after text, and where each text begins in them.
+
+        A state depends on what was read so far alone, so texts are sorted and a
+        beginning (for b an end) that several share is read once.  sigmoid(z) =
+        (1 + tanh(z / 2)) / 2, so the gates' weights are halved and one tanh serves
+        all; the last halves are taken from the cell at each step and from the
+        weights that read the state.  Every array of a step is written in place.
         """
         p, h = self.p, self.h
         half = np.r_[np.full(3 * h, 0.5, np.float32), np.ones(h, np.float32)]
-        table = (p["E"] @ p[f"W{d}"] + p[f"b{d}"]) * half
-        U, (T, B) = p[f"U{d}"] * half, x.shape
-        out = np.empty((T, B, h), np.float32)
-        C, z, g, q = np.zeros((B, h), np.float32), np.empty((B, 4 * h), np.float32), np.empty((B, 4 * h), np.float32), np.empty((B, h), np.float32)
-        H = np.zeros((B, h), np.float32)
-        for t in range(T) if d == "f" else range(T - 1, -1, -1):
-            np.matmul(H, U, out=z)
-            np.take(table, x[t], axis=0, out=g, mode="clip")
-            z += g
-            np.tanh(z, out=z)
-            s = z[:, : 3 * h]
-            s *= 0.5
-            s += 0.5
-            C *= s[:, h : 2 * h]
-            np.multiply(s[:, :h], z[:, 3 * h :], out=q)
-            C += q
-            np.tanh(C, out=q)
-            H = out[t]
-            np.multiply(s[:, 2 * h :], q, out=H)
-            if d == "b" and live[t, 0] == 0:  # shapes are sorted by length: the first ends first; the direction starts at each text's own end
-                C *= live[t][:, None]
-                H *= live[t][:, None]
-        return out
-
-    def emissions(self, x: np.ndarray) -> np.ndarray:
-        """Tag scores (T, B, tags) of codes x (B, T) sorted by length; 0 pads at the right."""
-        xt = np.ascontiguousarray(x.T)
-        live = (xt > 0).astype(np.float32)
-        p, h = self.p, self.h
-        y = self._scan(xt, live, "f") @ p["V"][:h]
-        y += self._scan(xt, live, "b") @ p["V"][h:]
-        y += p["c"]
-        return y
+        table = (p["E"] @ p[f"W{d}"] + p[f"b{d}"]) * half * FINE + MIDDLE
+        U, V = p[f"U{d}"] * half * np.float32(0.5 * FINE), (p["V"][:h] if d == "f" else p["V"][h:]) * np.float32(0.5)
+        if d == "b":
+            coded = [c[::-1] for c in coded]
+        keys = [c.tobytes() for c in coded]
+        order = sorted(range(len(coded)), key=keys.__getitem__)
+        out, starts, at = np.empty((sum(map(len, coded)), len(V[0])), np.float32), np.zeros(len(coded), np.int64), 0
+        Z, G, Q, I = np.empty((STEP, 4 * h), np.float32), np.empty((STEP, 4 * h), np.float32), np.empty((STEP, h), np.float32), np.empty(STEP * 4 * h, np.intp)
+        for k in range(0, len(order), BLOCK):
+            part = order[k : k + BLOCK]
+            n = np.array([len(coded[i]) for i in part])
+            live = np.arange(n.max()) < n[:, None]
+            x = np.zeros(live.shape, np.uint8)
+            x[live] = np.frombuffer(b"".join([keys[i] for i in part]), np.uint8)
+            new = live.copy()  # where a text reads what the one before it has not
+            new[1:] &= np.logical_or.accumulate(x[1:] != x[:-1], axis=1)
+            xt, new = np.ascontiguousarray(x.T), np.ascontiguousarray(new.T)
+            state = np.cumsum(new, axis=1) - 1
+            H, C, got = np.zeros((1, h), np.float32), np.zeros((1, h), np.float32), []
+            for t in range(len(xt)):
+                rows = new[t].nonzero()[0]
+                H0, H = H, np.empty((len(rows), h), np.float32)
+                C0, C = C, np.empty((len(rows), h), np.float32)
+                before, codes = state[t - 1].take(rows) if t else np.zeros(len(rows), np.int64), xt[t].take(rows)
+                for i in range(0, len(rows), STEP):
+                    j = min(i + STEP, len(rows))
+                    z, g, q, c = Z[: j - i], G[: j - i], Q[: j - i], C[i:j]
+                    H0.take(before[i:j], axis=0, out=q, mode="clip")
+                    np.matmul(q, U, out=z)
+                    table.take(codes[i:j], axis=0, out=g, mode="clip")
+                    z += g
+                    tanh(z, I)
+                    s = z[:, : 3 * h]
+                    s += 1
+                    C0.take(before[i:j], axis=0, out=c, mode="clip")
+                    c *= s[:, h : 2 * h]
+                    np.multiply(s[:, :h], z[:, 3 * h :], out=q)
+                    c += q
+                    c *= 0.5
+                    np.multiply(c, FINE, out=q)
+                    q += MIDDLE
+                    tanh(q, I)
+                    np.multiply(s[:, 2 * h :], q, out=H[i:j])
+                got.append(H @ V)
+            first = np.cumsum([0, *map(len, got[:-1])])
+            y = np.concatenate(got).take((state + first[:, None]).T[live], axis=0)
+            out[at : at + len(y)] = y
+            starts[part] = at + np.cumsum(n) - n
+            at += len(y)
+        return out, starts
+
+    def emissions(self, coded: list[np.ndarray]) -> list[np.ndarray]:
+        """Tag scores (characters, tags) of each text's codes; no text is empty."""
+        (f, i), (b, j) = self._scores(coded, "f"), self._scores(coded, "b")
+        f += self.p["c"]
+        return [f[x : x + len(c)] + b[y : y + len(c)][::-1] for c, x, y in zip(coded, i.tolist(), j.tolist())]
 
     def viterbi(self, em: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Best tags (T, B) of scores em (T, B, tags) over the first n[b] positions; n ascends.
