@@ -120,7 +120,7 @@ class Tagger:
             x = np.zeros(live.shape, np.uint8)
             x[live] = np.frombuffer(b"".join([keys[i] for i in part]), np.uint8)
             new = live.copy()  # where a text reads what the one before it has not
-            new[1:] &= np.logical_or.accumulate(x[1:] != x[:-1], axis=1)
+            new[1:] &= np.logical_or.accumulate((x[1:] != x[:-1]) | (live[1:] & ~live[:-1]), axis=1)  # 0 is a character too
             xt, new = np.ascontiguousarray(x.T), np.ascontiguousarray(new.T)
             state = np.cumsum(new, axis=1) - 1
             H, C, got = np.zeros((1, h), np.float32), np.zeros((1, h), np.float32), []

@@ -93,7 +93,7 @@ def test_unknown_characters():
 def test_shared_beginnings_are_read_once(finder, monkeypatch):
     """Scores are those of a plain loop over each text, and texts that begin or end alike cost less than each for itself."""
     m, steps = finder.model, [0]
-    texts = [codes(f"Fone do pagador: (99) {k}") for k in ("9999-9999", "9999-9998 x", "1", "a", "a", "ab Ltda")] + [codes("x")]
+    texts = [codes(f"Fone do pagador: (99) {k}") for k in ("9999-9999", "9999-9998 x", "1", "a", "a", "ab Ltda")] + [codes(k) for k in ("x", "x\0", "x\0\0y", "\0x")]
     look = pii_model.tanh
     monkeypatch.setattr(pii_model, "tanh", lambda x, at: (steps.__setitem__(0, steps[0] + len(x)), look(x, at))[1])
     monkeypatch.setattr(pii_model, "STEP", 2)
