@@ -17,16 +17,16 @@ from pyspark.sql import types as T
 
 from .names import WORD_BUSINESS, word_kind
 from .pii_grammar import GIVEN, NICK
-from .pii_model import DIGITS, TAGS, Tagger, codes
+from .pii_model import TAGS, Tagger, codes, folded
 
 WEIGHTS = str(Path(__file__).with_name("pii_weights.npz"))
 #: Characters of a window and of the overlap of two.
 WINDOW, OVERLAP = 128, 48
-#: Shapes of a batch of paths, and line shapes whose spans a task remembers.
-BATCH, KEPT = 512, 150_000
+#: Shapes of a batch of paths, its characters with those that fill it up, and line shapes whose spans a task remembers.
+BATCH, AREA, KEPT = 512, 1_000_000, 150_000
 #: A line ends at a line break; texts without any part their lines by two blanks.
 ROW = re.compile(r"[^\r\n]+")
-CELL = re.compile(r"\S(?:[^\r\n ]| (?! ))*")
+CELL = re.compile(r"\S[^\r\n ]*+(?: (?! )[^\r\n ]*+)*+")
 FIGURE = re.compile(r"[0-9OolIiSsBZ]")
 WORD = re.compile(r"[^\W\d_]+\.?", re.UNICODE)
 #: What may follow a company's name but not a person's.
@@ -37,6 +37,7 @@ LABEL = re.compile(r"(?:habilita\S+|cnh|cpf|cpf/mf|c\.p\.f\.|pis|nis|pis/pasep|i
 SUPPLIER = re.compile(r"(?:\S{1,3}mitente|\S{0,3}enefici\S+|\S{0,2}avorecido|\S{0,2}restador):? ", re.IGNORECASE)
 PARTICLES = {"de", "da", "do", "dos", "das", "e"}
 EDGE = " \t.,;:|/-–<>()[]\"'"
+TAIL = " \t,;:|/-–<>\"'("
 
 
 class Finder:
@@ -53,72 +54,83 @@ class Finder:
         which it lies further from the edge scores it.  Viterbi then runs over the
         whole shape, so a span that crosses windows is found in one piece.
         """
-        coded = [codes(s) for s in shapes]
-        windows: list[tuple[int, int, int]] = []
-        for k, c in enumerate(coded):
-            a = 0
-            while True:
-                b = min(a + WINDOW, len(c))
-                windows.append((k, a, b))
-                if b == len(c):
-                    break
-                a += WINDOW - OVERLAP
-        ems = self.model.emissions([coded[k][a:b] for k, a, b in windows])
-        scores: list = [None] * len(coded)
-        for (k, a, b), em in zip(windows, ems):
-            if b - a == len(coded[k]):
-                scores[k] = em
-                continue
-            if a == 0:
-                scores[k] = np.empty((len(coded[k]), len(TAGS)), np.float32)
-            lo = a + OVERLAP // 2 if a else a
-            hi = b - OVERLAP // 2 if b < len(coded[k]) else b
-            scores[k][lo:hi] = em[lo - a : hi - a]
-        out: list = [()] * len(coded)
-        order = sorted(range(len(coded)), key=lambda k: len(coded[k]))
-        for i in range(0, len(order), BATCH):
-            part = order[i : i + BATCH]
-            n = np.array([len(coded[k]) for k in part])
-            em = np.zeros((n[-1], len(part), len(TAGS)), np.float32)
-            for r, k in enumerate(part):
-                em[: n[r], r] = scores[k]
-            y = self.model.viterbi(em, n)
-            for r in np.flatnonzero(y.any(0)):
-                out[part[r]] = raw_spans(y[: n[r], r])
+        if not shapes:
+            return []
+        whole = codes("".join(shapes))
+        size = np.array([len(s) for s in shapes])
+        start = np.cumsum(size) - size
+        windows, kept = [], []
+        for s, e in zip(start.tolist(), (start + size).tolist()):
+            a = lo = s
+            while e - a > WINDOW:
+                b = a + WINDOW
+                windows.append(whole[a:b])
+                kept.append((lo - a, WINDOW - OVERLAP // 2))
+                a, lo = b - OVERLAP, b - OVERLAP // 2
+            windows.append(whole[a:e])
+            kept.append((lo - a, e - a))
+        scores = np.concatenate([em[a:b] for em, (a, b) in zip(self.model.emissions(windows), kept)])
+        out: list = [()] * len(shapes)
+        order = np.argsort(size, kind="stable")
+        i = 0
+        while i < len(order):
+            n = size[order[i : i + BATCH]]
+            n = n[: max(1, np.searchsorted(np.arange(1, len(n) + 1) * n, AREA, side="right"))]
+            part = order[i : i + len(n)]
+            i += len(n)
+            y = self.model.viterbi(scores.take(start[part] + np.arange(n[-1])[:, None], axis=0, mode="clip"), n)
+            part = part.tolist()
+            for r, span in raw_spans(y):
+                if not out[part[r]]:
+                    out[part[r]] = []
+                out[part[r]].append(span)
         return out
 
     def spans(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
         """(kind, start, end) of every personal value of each text; equal line shapes are decoded once."""
-        lines: list[tuple[int, int, int, str]] = []
+        keys: list[str] = []
+        starts: list[int] = []
+        owner: list[int] = []
         for t, text in enumerate(texts):
             if not text:
                 continue
-            cell = ROW if "\n" in text or "\r" in text else CELL
-            for m in cell.finditer(DIGITS.sub("9", text)):
-                lines.append((t, m.start(), m.end(), m[0]))
-        cells = {k for _, _, _, k in lines}
-        self.learn(cells)
+            flat, e = folded(text), 0
+            cells = (ROW if "\n" in text or "\r" in text else CELL).findall(flat)
+            for k in cells:  # none begins with what parts cells, so the next place of its text is its own
+                starts.append(s := flat.index(k, e))
+                e = s + len(k)
+            keys += cells
+            owner += [t] * len(cells)
+        self.learn(shapes := set(keys))
+        marked = [i for i, k in enumerate(keys) if self.seen[k]]
         # a value may go on in the next cell, as two blanks can be a reading error and lines are
         # broken anywhere: where a span ends a cell and is no value yet, or after blanks one of its
         # kind opens the next, the two cells are decoded as one and kept so if a span crosses
-        joined = {}
-        for i, ((t, s, e, k), (u, p, q, n)) in enumerate(zip(lines, lines[1:])):
-            x, y = self.seen[k], self.seen[n]
-            if t == u and x and x[-1][2] == e - s:
-                opens = y and y[0][1] == 0 and x[-1][0] == y[0][0] and not set("\r\n") & set(texts[t][e:p])
-                if opens or checked(texts[t][s:e], *x[-1])[0] is None:
-                    joined[i] = f"{k}{texts[t][e:p]}{n}"
-        self.learn(cells.union(joined.values()))
+        joined, last = {}, {}  # last: the check of a span that ends its cell
+        for i in marked:
+            k, x = keys[i], self.seen[keys[i]]
+            if x[-1][2] == len(k) and i + 1 < len(keys) and owner[i] == owner[i + 1]:
+                text, s, e, y = texts[owner[i]], starts[i], starts[i] + len(k), self.seen[keys[i + 1]]
+                between = text[e : starts[i + 1]]
+                opens = y and y[0][1] == 0 and x[-1][0] == y[0][0] and not set("\r\n") & set(between)
+                last[i] = checked(text[s:e], *x[-1])
+                if opens or last[i][0] is None:
+                    joined[i] = f"{k}{between}{keys[i + 1]}"
+        self.learn(shapes.union(joined.values()))
         out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-        i = 0
-        while i < len(lines):
-            t, s, e, k = lines[i]
-            if i in joined and any(a < e - s < b for _, a, b in self.seen[joined[i]]):
-                k, e, i = joined[i], lines[i + 1][2], i + 1
-            i += 1
-            if self.seen[k]:
-                line = texts[t][s:e]
-                out[t] += [(kind, s + a, s + b) for kind, a, b in map(lambda p: checked(line, *p), self.seen[k]) if kind]
+        taken = -1
+        for i in marked:
+            if i == taken:
+                continue
+            t, k, s = owner[i], keys[i], starts[i]
+            if i in joined and any(a < len(k) < b for _, a, b in self.seen[joined[i]]):
+                k, taken = joined[i], i + 1
+                del last[i]
+            line = texts[t][s : s + len(k)]
+            for p in self.seen[k]:
+                kind, a, b = last[i] if p[2] == len(k) and i in last else checked(line, *p)
+                if kind:
+                    out[t].append((kind, s + a, s + b))
         return out
 
     def learn(self, shapes: set[str]) -> None:
@@ -129,20 +141,14 @@ class Finder:
         self.seen.update(zip(fresh, self.decode(fresh)))
 
 
-def raw_spans(y: np.ndarray) -> list[tuple[str, int, int]]:
-    """Spans of a tag sequence."""
-    out, k = [], 0
-    marked, y = y.nonzero()[0].tolist(), y.tolist()
-    for i in marked:
-        if i < k:
-            continue
-        tag = TAGS[y[i]]
-        k = i + 1
-        inside = TAGS.index(f"I-{tag[2:]}")
-        while k < len(y) and y[k] == inside:
-            k += 1
-        out.append((tag[2:], i, k))
-    return out
+def raw_spans(y: np.ndarray) -> Iterator[tuple[int, tuple[str, int, int]]]:
+    """(text, (kind, start, end)) of the spans of tags (T, texts), in order; a tag I goes on after B or I of its kind."""
+    y = np.pad(y.T, ((0, 0), (1, 1)))
+    before, y = y[:, :-1], y[:, 1:]
+    goes_on = (y > 0) & (y % 2 == 0) & ((before == y) | (before == y - 1))
+    row, start = ((y > 0) & ~goes_on).nonzero()
+    end = ((before > 0) & ~goes_on).nonzero()[1]
+    return ((r, (TAGS[k][2:], a, b)) for r, k, a, b in zip(row.tolist(), y[row, start].tolist(), start.tolist(), end.tolist()))
 
 
 def checked(line: str, kind: str, a: int, b: int) -> tuple[str | None, int, int]:
@@ -150,7 +156,8 @@ def checked(line: str, kind: str, a: int, b: int) -> tuple[str | None, int, int]
     edge = EDGE.replace("(", "").replace("<", "") if kind == "PHONE" else EDGE
     while a < b and line[a] in edge:
         a += 1
-    while b > a and line[b - 1] in " \t,;:|/-–<>\"'(" + ("" if kind in ("NAME", "ADDRESS") else "."):
+    tail = TAIL if kind in ("NAME", "ADDRESS") else TAIL + "."
+    while b > a and line[b - 1] in tail:
         b -= 1
     v = line[a:b]
     if kind in ("NAME", "EMAIL", "ID_NUMBER"):  # a value begins with its word

@@ -7,7 +7,6 @@ shape of a batch once.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import numpy as np
@@ -20,11 +19,7 @@ ALPHABET = "\0\1" + " !\"#$%&'()*+,-./9:;<=>?@[]_|{}~ªº°" + "abcdefghijklmnop
 FLAT = -1e4
 #: Texts that are read together, and rows of a step's arrays.
 BLOCK, STEP = 4096, 384
-DIGITS = re.compile(r"[0-9]")
-#: tanh from -8 to 8, where it is 1 to seven places, in steps of 1 / FINE: half a step is less than the float16 weights resolve.
-FINE = 4096
-TANH = np.tanh(np.arange(-8 * FINE, 8 * FINE + 1) / FINE).astype(np.float32)
-MIDDLE = np.float32(8 * FINE + 0.5)
+DIGITS = bytes.maketrans(b"012345678", b"9" * 9)
 
 _CODE = np.ones(0x110000, dtype=np.uint8)
 for _k, _c in enumerate(ALPHABET):
@@ -43,6 +38,11 @@ def codes(text: str) -> np.ndarray:
     return _CODE[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
 
 
+def folded(text: str) -> str:
+    """The text with each figure as 9; UTF-8 has no byte of a figure within other characters."""
+    return text.encode("utf-8", "surrogatepass").translate(DIGITS).decode("utf-8", "surrogatepass")
+
+
 def legal() -> np.ndarray:
     """FLAT where a tag may not follow another: I-x only after B-x or I-x."""
     m = np.zeros((len(TAGS), len(TAGS)), dtype=np.float32)
@@ -62,11 +62,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def tanh(x: np.ndarray, at: np.ndarray) -> None:
-    """TANH at the places x, written over x; ``at`` is room for whole numbers."""
-    i = at[: x.size].reshape(x.shape)
-    np.copyto(i, x, casting="unsafe")
-    TANH.take(i, out=x, mode="clip")
+def tanh(x: np.ndarray, out: np.ndarray) -> None:
+    np.tanh(x, out=out)
 
 
 class Tagger:
@@ -95,101 +92,105 @@ class Tagger:
 
     # inference ------------------------------------------------------------
     def _scores(self, coded: list[np.ndarray], d: str) -> tuple[np.ndarray, np.ndarray]:
-        """Tag scores of one direction for all characters, text after text, and where each text begins in them.
+        """Tag scores of one direction for each state, and the state of each character, text after text.
 
         A state depends on what was read so far alone, so texts are sorted and a
         beginning (for b an end) that several share is read once.  sigmoid(z) =
         (1 + tanh(z / 2)) / 2, so the gates' weights are halved and one tanh serves
         all; the last halves are taken from the cell at each step and from the
-        weights that read the state.  Every array of a step is written in place.
+        weights that read the state.  Every array of a step is written in place, and
+        each gate's rows lie together.
         """
         p, h = self.p, self.h
         half = np.r_[np.full(3 * h, 0.5, np.float32), np.ones(h, np.float32)]
-        table = (p["E"] @ p[f"W{d}"] + p[f"b{d}"]) * half * FINE + MIDDLE
-        U, V = p[f"U{d}"] * half * np.float32(0.5 * FINE), (p["V"][:h] if d == "f" else p["V"][h:]) * np.float32(0.5)
-        if d == "b":
-            coded = [c[::-1] for c in coded]
-        keys = [c.tobytes() for c in coded]
-        order = sorted(range(len(coded)), key=keys.__getitem__)
-        out, starts, at = np.empty((sum(map(len, coded)), len(V[0])), np.float32), np.zeros(len(coded), np.int64), 0
-        Z, G, Q, I = np.empty((STEP, 4 * h), np.float32), np.empty((STEP, 4 * h), np.float32), np.empty((STEP, h), np.float32), np.empty(STEP * 4 * h, np.intp)
+        table = (p["E"] @ p[f"W{d}"] + p[f"b{d}"]) * half
+        U, V = p[f"U{d}"] * half * np.float32(0.5), (p["V"][:h] if d == "f" else p["V"][h:]) * np.float32(0.5)
+        table, U = (np.ascontiguousarray(x.reshape(-1, 4, h).swapaxes(0, 1)) for x in (table, U))
+        size = np.array([len(c) for c in coded])
+        begin = np.cumsum(size) - size
+        keys = [c.tobytes() for c in coded] if d == "f" else [c[::-1].tobytes() for c in coded]
+        order = np.array(sorted(range(len(coded)), key=keys.__getitem__))
+        where, scores, base = np.empty(size.sum(), np.intp), [], 0
+        Z, G, Q = np.empty((STEP, 4 * h), np.float32), np.empty((STEP, 4 * h), np.float32), np.empty((STEP, h), np.float32)
         for k in range(0, len(order), BLOCK):
             part = order[k : k + BLOCK]
-            n = np.array([len(coded[i]) for i in part])
-            live = np.arange(n.max()) < n[:, None]
-            x = np.zeros(live.shape, np.uint8)
-            x[live] = np.frombuffer(b"".join([keys[i] for i in part]), np.uint8)
-            new = live.copy()  # where a text reads what the one before it has not
-            new[1:] &= np.logical_or.accumulate((x[1:] != x[:-1]) | (live[1:] & ~live[:-1]), axis=1)  # 0 is a character too
-            xt, new = np.ascontiguousarray(x.T), np.ascontiguousarray(new.T)
+            n = size[part]
+            x = np.full((len(part), n.max() + 1), 255, np.uint8)  # 0 is a character too
+            x[np.arange(n.max() + 1) < n[:, None]] = np.frombuffer(b"".join([keys[i] for i in part]), np.uint8)
+            same = np.r_[0, (x[1:] != x[:-1]).argmax(1)]  # characters that a text shares with the one before it
+            same[1:][(x[1:] == x[:-1]).all(1)] = n.max()
+            xt, at = np.ascontiguousarray(x.T[:-1]), np.arange(n.max())[:, None]
+            new = (at >= same) & (at < n)
             state = np.cumsum(new, axis=1) - 1
-            H, C, got = np.zeros((1, h), np.float32), np.zeros((1, h), np.float32), []
+            H, C = np.zeros((1, h), np.float32), np.zeros((1, h), np.float32)
             for t in range(len(xt)):
                 rows = new[t].nonzero()[0]
                 H0, H = H, np.empty((len(rows), h), np.float32)
                 C0, C = C, np.empty((len(rows), h), np.float32)
-                before, codes = state[t - 1].take(rows) if t else np.zeros(len(rows), np.int64), xt[t].take(rows)
+                before, codes = state[t - 1].take(rows) if t else np.zeros(len(rows), np.intp), xt[t].take(rows)
                 for i in range(0, len(rows), STEP):
                     j = min(i + STEP, len(rows))
-                    z, g, q, c = Z[: j - i], G[: j - i], Q[: j - i], C[i:j]
+                    z, g, q, c, y = Z[: j - i], G[: j - i], Q[: j - i], C[i:j], H[i:j]
+                    gates = z.reshape(4, j - i, h)
                     H0.take(before[i:j], axis=0, out=q, mode="clip")
-                    np.matmul(q, U, out=z)
-                    table.take(codes[i:j], axis=0, out=g, mode="clip")
+                    np.matmul(q, U, out=gates)
+                    table.take(codes[i:j], axis=1, out=g.reshape(4, j - i, h), mode="clip")
                     z += g
-                    tanh(z, I)
-                    s = z[:, : 3 * h]
-                    s += 1
+                    tanh(z, z)
                     C0.take(before[i:j], axis=0, out=c, mode="clip")
-                    c *= s[:, h : 2 * h]
-                    np.multiply(s[:, :h], z[:, 3 * h :], out=q)
+                    np.multiply(gates[1], c, out=q)
+                    c += q
+                    np.multiply(gates[0], gates[3], out=q)
                     c += q
+                    c += gates[3]
                     c *= 0.5
-                    np.multiply(c, FINE, out=q)
-                    q += MIDDLE
-                    tanh(q, I)
-                    np.multiply(s[:, 2 * h :], q, out=H[i:j])
-                got.append(H @ V)
-            first = np.cumsum([0, *map(len, got[:-1])])
-            y = np.concatenate(got).take((state + first[:, None]).T[live], axis=0)
-            out[at : at + len(y)] = y
-            starts[part] = at + np.cumsum(n) - n
-            at += len(y)
-        return out, starts
+                    tanh(c, q)
+                    np.multiply(gates[2], q, out=y)
+                    y += q
+                scores.append(H @ V)
+            state += base + np.cumsum([0, *map(len, scores[-len(xt) : -1])])[:, None]
+            base += sum(map(len, scores[-len(xt) :]))
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            where[np.repeat(begin[part], n) + at if d == "f" else np.repeat(begin[part] + n - 1, n) - at] = state[at, np.repeat(np.arange(len(part)), n)]
+        return np.concatenate(scores), where
 
     def emissions(self, coded: list[np.ndarray]) -> list[np.ndarray]:
         """Tag scores (characters, tags) of each text's codes; no text is empty."""
+        if not coded:
+            return []
         (f, i), (b, j) = self._scores(coded, "f"), self._scores(coded, "b")
         f += self.p["c"]
-        return [f[x : x + len(c)] + b[y : y + len(c)][::-1] for c, x, y in zip(coded, i.tolist(), j.tolist())]
+        y = f.take(i, axis=0)
+        y += b.take(j, axis=0)
+        end = np.cumsum([len(c) for c in coded]).tolist()
+        return [y[s:e] for s, e in zip([0, *end], end)]
 
     def viterbi(self, em: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Best tags (T, B) of scores em (T, B, tags) over the first n[b] positions; n ascends.
 
-        The forward pass keeps scores only, with the predecessor on the leading axis
-        so that the maximum runs over contiguous rows; the way back looks up one
-        predecessor a text and step.
+        Texts are on the last axis, so that sums and maxima run over long rows.  The
+        forward pass keeps scores only; the way back looks up one predecessor a text
+        and step.
         """
         T, B, K = em.shape
-        A = np.ascontiguousarray(self.p["A"] + legal())  # [from, to]
-        v = np.empty((T, B, K), np.float32)
-        v[0] = em[0] + self.p["s"] + np.where([t[0] == "I" for t in TAGS], FLAT, 0).astype(np.float32)
-        w = np.empty((K, B, K), np.float32)
+        A = self.p["A"] + legal()  # [from, to]
+        v = em.transpose(0, 2, 1).copy()
+        v[0] += (self.p["s"] + np.where([t[0] == "I" for t in TAGS], FLAT, 0).astype(np.float32))[:, None]
+        w = np.empty((K, K, B), np.float32)
         first = np.searchsorted(n, np.arange(T), side="right")  # texts from here on are longer than t
         for t in range(1, T):
             k = first[t]
-            np.add(v[t - 1, k:].T[:, :, None], A[:, None, :], out=w[:, k:])
-            np.max(w[:, k:], axis=0, out=v[t, k:])
-            v[t, k:] += em[t, k:]
+            np.add(v[t - 1, :, None, k:], A[:, :, None], out=w[:, :, k:])
+            v[t, :, k:] += np.max(w[:, :, k:], axis=0)
         out = np.zeros((T, B), np.uint8)
-        tag = np.zeros(B, np.int64)
-        At = np.ascontiguousarray(A.T)
+        tag = np.zeros(B, np.intp)
         for t in range(T - 1, -1, -1):
             k = first[t]
             last = np.searchsorted(n, t + 1, side="right")  # texts k to last - 1 end here
             if last > k:
-                tag[k:last] = (v[t, k:last] + self.p["e"]).argmax(1)
+                tag[k:last] = (v[t, :, k:last] + self.p["e"][:, None]).argmax(0)
             if last < B:
-                tag[last:] = (v[t, last:] + At[tag[last:]]).argmax(1)
+                tag[last:] = (v[t, :, last:] + A.take(tag[last:], axis=1)).argmax(0)
             out[t, k:] = tag[k:]
         return out
 

@@ -3,7 +3,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from ledgerloom.llm import pii_model
+from ledgerloom.llm import pii, pii_model
 from ledgerloom.llm.pii import OVERLAP, WINDOW, Finder, find_personal, replace_personal
 from ledgerloom.llm.pii_grammar import KINDS, Lines
 from ledgerloom.llm.pii_model import TAGS, Tagger, codes, encode, legal, train
@@ -111,3 +111,54 @@ def test_shared_beginnings_are_read_once(finder, monkeypatch):
                 H = o * np.tanh(C)
                 y[t] += H @ p["V"][part]
         assert np.abs(y - em).max() < 0.01
+
+
+def test_scores_are_not_rounded(finder):
+    """The scores are those of the weights in double precision, and the best paths those of a plain loop over them."""
+    m = finder.model
+    p, h, A = m.p, m.h, m.p["A"] + legal()
+    texts = [codes(t) for t in ("Att. Sra. Wanda Brelfim", "Fone: (99) 9999-9999", "x", "Pagador: José Vronral, CPF 999.999.999-99")]
+    ems = m.emissions(texts)
+    for c, em in zip(texts, ems):
+        y = np.tile(p["c"].astype(float), (len(c), 1))
+        for d, part in (("f", slice(None, h)), ("b", slice(h, None))):
+            H, C = np.zeros(h), np.zeros(h)
+            for t in range(len(c)) if d == "f" else range(len(c) - 1, -1, -1):
+                z = H @ p[f"U{d}"] + p["E"][c[t]] @ p[f"W{d}"] + p[f"b{d}"]
+                i, f, o = (1 / (1 + np.exp(-z[k * h : (k + 1) * h])) for k in range(3))
+                C = f * C + i * np.tanh(z[3 * h :])
+                H = o * np.tanh(C)
+                y[t] += H @ p["V"][part]
+        assert np.abs(y - em).max() < 1e-4
+        v, back = y[0] + p["s"] + [-1e4 if t[0] == "I" else 0 for t in TAGS], []
+        for t in range(1, len(y)):
+            back.append((v[:, None] + A).argmax(0))
+            v = (v[:, None] + A).max(0) + y[t]
+        path = [int((v + p["e"]).argmax())]
+        for b in back[::-1]:
+            path.append(int(b[path[-1]]))
+        assert m.viterbi(em[:, None], np.array([len(c)]))[:, 0].tolist() == path[::-1]
+
+
+def test_long_text_among_short_ones(monkeypatch):
+    """A long line does not stretch the arrays of the others, and each span that stays in its cell is checked once."""
+    f, areas, calls = Finder(), [], []
+    best, check = f.model.viterbi, pii.checked
+    monkeypatch.setattr(f.model, "viterbi", lambda em, n: (areas.append(em.shape[0] * em.shape[1]), best(em, n))[1])
+    monkeypatch.setattr(pii, "checked", lambda *a: (calls.append(a), check(*a))[1])
+    short = [f"Romaneio {chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(400)]
+    long = "Wanda Brelfim, Fone: (29) 4801-9667; " * 500
+    spans = f.spans([*short, long, "Att. Sra. Wanda Brelfim  Fone: (29) 4801-9667  Pagador: José Vronral"])
+    assert max(areas) < 2_000_000
+    assert Counter(k for k, _, _ in spans[400]) == {"NAME": 500, "PHONE": 500}
+    assert [k for k, _, _ in spans[401]] == ["NAME", "PHONE", "NAME"] and len(calls) == 1003 + sum(map(len, spans[:400]))
+
+
+@pytest.mark.parametrize("text", ["a  b", "a \tb  c ", " é d\u00a0 ", "x\ud83d 1", "7" * 9, "\t ok", "1  2   3 "])
+def test_cells_and_figures(text):
+    """Cells part at two blanks; folding keeps every other character and each place."""
+    import re
+
+    flat = pii_model.folded(text)
+    assert flat == re.sub("[0-9]", "9", text)
+    assert pii.CELL.findall(flat) == re.findall(r"\S(?:[^\r\n ]| (?! ))*", flat)
