@@ -62,26 +62,31 @@ def match_names(names: DataFrame, known: DataFrame, name: str, least: float = 0.
     dictionary, so no pair is shuffled; only names without
     an earlier hit reach the matching blocks, which search the dictionary for the
     most alike; see :func:`alike.most_alike`.
+
+    What reads a tier's result twice reads it from a cut.  The dictionary is never
+    broadcast: its size is estimated from compressed columns, and its runs of letters,
+    a hundred times as large, are estimated to be no larger than it.
     """
-    d = names.select(F.upper(F.trim(name)).alias("name")).filter("name is not null and name <> ''").distinct()
-    k = known.select(F.upper(F.trim("name")).alias("kname"), "canonical", "ord")
-    one = d.join(k, F.col("name") == F.col("kname")).groupBy("name").agg(F.max_by("canonical", "ord").alias("canonical")).select("name", "canonical", F.lit(1.0).alias("score"), F.lit(1).alias("tier"))
-    rest = d.join(one, "name", "left_anti")
+    d = cut(names.select(F.upper(F.trim(name)).alias("name")).filter("name is not null and name <> ''").distinct())
+    k = cut(known.select(F.upper(F.trim("name")).alias("kname"), "canonical", "ord"))
+    by_merge = k.hint("merge")
+    one = cut(d.join(by_merge, F.col("name") == F.col("kname")).groupBy("name").agg(F.max_by("canonical", "ord").alias("canonical")).select("name", "canonical", F.lit(1.0).alias("score"), F.lit(1).alias("tier")))
+    rest = cut(d.join(one.hint("merge"), "name", "left_anti"))
     share = F.length("name") / F.greatest(F.length("kname"), F.length("name"))
-    two = containing(rest, k, "name", "kname").withColumn("score", share).filter(F.col("score") >= least)
-    two = two.groupBy("name").agg(F.min_by(F.struct("canonical", "score"), "ord").alias("b")).select("name", "b.canonical", "b.score", F.lit(2).alias("tier"))
-    rest = rest.join(two, "name", "left_anti")
+    two = containing(rest, by_merge, "name", "kname").withColumn("score", share).filter(F.col("score") >= least)
+    two = cut(two.groupBy("name").agg(F.min_by(F.struct("canonical", "score"), "ord").alias("b")).select("name", "b.canonical", "b.score", F.lit(2).alias("tier")))
+    rest = rest.join(two.hint("merge"), "name", "left_anti")
     first = cut(k.filter("kname is not null").groupBy(F.col("kname").alias("known")).agg(F.min_by(F.struct("canonical", "ord"), "ord").alias("f")).select("known", "f.*"))
     met = search(rest.select("name", F.lit(least).alias("least")), first, most_shared)
-    three = met.join(first, "known").groupBy("name").agg(F.min_by(F.struct("canonical", F.col("ratio").alias("score")), F.struct(-F.col("ratio"), F.col("ord"))).alias("b")).select("name", "b.canonical", "b.score", F.lit(3).alias("tier"))
-    out = one.unionByName(two).unionByName(three)
-    if fuzzy:
-        rest = rest.join(three, "name", "left_anti")
-        met = search(rest.select("name", F.lit(least).alias("least")), k.select(F.col("kname").alias("known")).filter("known is not null").distinct(), lambda n, c, x: most_alike(n, c, x, False))
-        four = met.join(k, F.col("known") == F.col("kname")).select("name", "canonical", "ord", F.col("ratio").alias("score"))
-        four = four.groupBy("name").agg(F.min_by(F.struct("canonical", "score"), F.struct(-F.col("score"), F.col("ord"))).alias("b")).select("name", "b.canonical", "b.score", F.lit(4).alias("tier"))
-        out = out.unionByName(four)
-    return out
+    three = met.join(first.hint("merge"), "known").groupBy("name").agg(F.min_by(F.struct("canonical", F.col("ratio").alias("score")), F.struct(-F.col("ratio"), F.col("ord"))).alias("b")).select("name", "b.canonical", "b.score", F.lit(3).alias("tier"))
+    if not fuzzy:
+        return one.unionByName(two).unionByName(three)
+    three = cut(three)
+    rest = rest.join(three.hint("merge"), "name", "left_anti")
+    met = search(rest.select("name", F.lit(least).alias("least")), first.select("known"), lambda n, c, x: most_alike(n, c, x, False))
+    four = met.join(by_merge, F.col("known") == F.col("kname")).select("name", "canonical", "ord", F.col("ratio").alias("score"))
+    four = four.groupBy("name").agg(F.min_by(F.struct("canonical", "score"), F.struct(-F.col("score"), F.col("ord"))).alias("b")).select("name", "b.canonical", "b.score", F.lit(4).alias("tier"))
+    return one.unionByName(two).unionByName(three).unionByName(four)
 
 
 def unwanted(names: DataFrame, banned: DataFrame, name: str) -> DataFrame:

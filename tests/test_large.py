@@ -128,6 +128,22 @@ def test_dictionary_is_not_sent_by_way_of_the_driver(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+@pytest.mark.parametrize("fuzzy", [False, True])
+def test_runs_of_letters_are_not_broadcast(spark, monkeypatch, fuzzy):
+    """Under Spark's own threshold the runs of letters of the dictionary, estimated as no larger than it, went by way of the driver."""
+    plans, cut = [], dictionary.cut
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    for m in (dictionary, alike):
+        monkeypatch.setattr(m, "cut", lambda df, *a, **k: (plan(df), cut(df, *a, **k))[1])
+    x = made_names(60, 15)
+    known = spark.createDataFrame([(n, n, n) for n in x[:40]], "name string, canonical string, ord string")
+    got = dictionary.match_names(spark.createDataFrame([(n + e,) for n in x for e in ("", "S")], "n string"), known, "n", fuzzy=fuzzy)
+    plan(got)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") not in ("-1", "0")
+    assert "Join" in "".join(plans) and "Broadcast" not in "".join(plans)
+    assert {1, 2} <= {r["tier"] for r in got.collect()}
+
+
 def test_most_shared_words_equal_a_loop():
     known, names = made_names(300, 10), [*made_names(60, 11), "VEL VEL BOF", " VEL"]
     words = lambda t: set(re.split(r"\s+", t))
