@@ -149,7 +149,8 @@ def close_names(names: list[str], least: list[float], known: list[str]) -> list[
     """(name, known, similarity) of all pairs that share a word, from ``least`` on: 1 if equal, 0.9 if one contains the other, else the Jaccard similarity of their words.
 
     Of a text that another contains all words but the first and the last are whole
-    words there, which leaves few pairs to be looked at as texts.
+    words there, which leaves few pairs to be looked at as texts.  Pairs that share no
+    word are found by :func:`parts_of_words`.
     """
     of = [set(t.split(" ")) for t in known]
     having: dict[str, list[int]] = {}
@@ -199,3 +200,31 @@ def search(names: DataFrame, known: DataFrame, f: Callable[[list[str], list[floa
         return pd.DataFrame(got, columns=["name", "known", "ratio"])
 
     return x.groupBy("_p", "_q").cogroup(y.groupBy("_p", "_q")).applyInPandas(meet, "name string, known string, ratio double")
+
+
+def parts_of_words(names: DataFrame) -> DataFrame:
+    """(name, known): the pairs, both ways round, of distinct texts (column ``name``) of which one contains the other and that share no word.
+
+    The contained text has one word, which is part of a word of the other, or two, of
+    which the first ends a word and the second begins the next.  Parts of distinct
+    words are joined with such texts by equality; no text is compared with all others.
+    """
+    t = names.select("name", F.split("name", " ").alias("_ws"))
+    size = F.size("_ws")
+    one, two = t.filter(size == 1).select(F.col("name").alias("_p")), t.filter(size == 2).select(F.col("name").alias("_p"), F.col("_ws")[0].alias("_x"), F.col("_ws")[1].alias("_y"))
+
+    words = t.select("name", "_ws", F.explode(F.array_distinct("_ws")).alias("_w")).filter("_w <> ''")
+    n = F.length("_w")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda m: F.substr(F.col("_w"), i, m))))
+    within = words.select("_w").distinct().withColumn("_p", F.explode(F.array_distinct(parts))).filter("_p <> _w").join(one.hint("merge"), "_p")
+    a = within.join(words.hint("merge"), "_w").filter(~F.array_contains("_ws", F.col("_p"))).select("_p", "name")
+
+    beside = t.filter(size > 1).select("name", "_ws", F.explode(F.transform(F.sequence(F.lit(0), size - 2), lambda i: F.struct(F.get("_ws", i).alias("u"), F.get("_ws", i + 1).alias("v")))).alias("_b")).filter("length(_b.u) > 1 and length(_b.v) > 1")
+    u, v = F.col("_b.u"), F.col("_b.v")
+    # what the first word ends with, and the letter that the second begins with
+    ends = beside.select("_b").distinct().withColumn("_x", F.explode(F.transform(F.sequence(F.lit(2), F.length(u)), lambda i: F.substr(u, i)))).withColumn("_c", F.substring(v, 1, 1))
+    over = ends.join(two.withColumn("_c", F.substring("_y", 1, 1)).hint("merge"), ["_x", "_c"]).filter(F.startswith(v, F.col("_y"))).select("_b", "_p", "_x", "_y")
+    b = over.join(beside.hint("merge"), "_b").filter(~F.arrays_overlap("_ws", F.array("_x", "_y"))).select("_p", "name")
+
+    got = a.unionByName(b).distinct()
+    return got.select(F.col("_p").alias("name"), F.col("name").alias("known")).unionByName(got.select("name", F.col("_p").alias("known")))

@@ -181,6 +181,28 @@ def test_group_pairs_meet_once(spark, monkeypatch):
     assert "Distinct" not in j._jdf.queryExecution().logical().toString()
 
 
+def test_parts_of_words_equal_a_loop(spark):
+    """Of two texts without a common word one may still contain the other; these were left out."""
+    odd = ["TRATOR", "TRATORES LEPRAFI", "OR", "ORES LE", "RES LEPRA", "TRATORES LEPRA", "ÇÃO", "DRAÇÃO ÇÃOX", "AA", "AAA AAAA", "A AA", "AAAA AAA", "XVEL BOFX", "VEL BOF", "X"]
+    names = sorted({*odd, *(n for n in made_names(150, 16) if "  " not in n)})
+    shares = lambda n, k: bool({*n.split(" ")} & {*k.split(" ")})
+    want = [(n, k) for n in names for k in names if n != k and (n in k or k in n) and not shares(n, k)]
+    assert len({n.count(" ") for n, _ in want}) > 1 and ("ORES LE", "TRATORES LEPRAFI") in want
+    assert rows(alike.parts_of_words(spark.createDataFrame([(n,) for n in names], "name string"))) == want
+
+
+def test_group_pairs_of_names_without_a_common_word(spark, monkeypatch):
+    names = ["TRATOR", "TRATORES", "TRATORES LEPRAFI", "ORES LEPRA", "FERRAGENS LEPRAFI"]
+    docs = spark.createDataFrame([(i, "PENDING") for i in range(5)], "id long, status string")
+    t = spark.createDataFrame([(i, i, n, 1000, None) for i, n in enumerate(names)], "id long, doc_id long, supplier_clean string, amount_cents long, link_id long")
+    monkeypatch.setattr(reconcile, "load", lambda s, d, *n: docs)
+    monkeypatch.setattr(reconcile, "distinct_trans", lambda s, d: t)
+    want = sorted((a, b, 0.95) for a in range(5) for b in range(5) if a != b and (names[a] in names[b] or names[b] in names[a]))
+    assert rows(reconcile.group_scores(spark, "")) == want and {x for x, *_ in want} == {0, 1, 2, 3}
+    # groups take the surest candidate, the smallest id of several
+    assert rows(reconcile.auto_groups(spark, "").select("id", "partner", "confidence")) == [(0, 1, 0.95), (1, 0, 0.95), (2, 0, 0.95), (3, 2, 0.95)]
+
+
 def test_pair_sums_are_not_shuffled(spark, monkeypatch):
     """Target-item pairs and the result itself were shuffled, which filled the disk for a hot key."""
     r = random.Random(13)
